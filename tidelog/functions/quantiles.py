@@ -33,35 +33,38 @@ def grouped_quantiles(
     keys: list[str],
     value: str,
     quantiles: dict[str, float],
-    sums: dict[str, Column] | None = None,
+    counts: dict[str, Column] | None = None,
     maximum: str | None = None,
     counted: str | None = None,
 ) -> DataFrame:
     """One row per `keys` with exact interpolated quantiles of `value`.
 
-    `sums` are per-row numbers added up over the group (also for rows without a value),
-    `maximum` names the greatest value and `counted` the number of rows with a value.
-    Key columns must not be NULL.
+    `counts` are conditions whose rows are counted (also rows without a value), `maximum`
+    names the greatest value and `counted` the number of rows with a value. Key columns
+    must not be NULL.
+
+    The conditions travel as bits of one number that is part of the first grouping. Both
+    users of that grouping then need exactly the same columns of it, so Spark computes its
+    input and shuffles it once.
     """
-    sums = sums or {}
-    fed = df.select(
-        *keys,
-        F.col(value).cast("double").alias("_v"),
-        *[c.cast("bigint").alias(n) for n, c in sums.items()],
-    ).withColumn("_slot", _slot(F.col("_v")))
-    distinct = fed.groupBy(*keys, "_slot", "_v").agg(
-        F.count("_v").alias("_n"), *[F.sum(n).alias(n) for n in sums]
-    )
+    counts = counts or {}
+    bits = F.lit(0)
+    for i, condition in enumerate(counts.values()):
+        bits = bits + F.when(condition, F.lit(1 << i)).otherwise(F.lit(0))
+    fed = df.select(*keys, F.col(value).cast("double").alias("_v"), bits.alias("_bits"))
+    fed = fed.withColumn("_slot", _slot(F.col("_v")))
+    distinct = fed.groupBy(*keys, "_slot", "_v", "_bits").agg(F.count("*").alias("_n"))
 
     in_slot = (
         Window.partitionBy(*keys, "_slot")
-        .orderBy("_v")
+        .orderBy("_v", "_bits")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = distinct.withColumn("_upto", F.sum("_n").over(in_slot))
 
     of_key = Window.partitionBy(*keys)
-    slots = distinct.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_slot_n"))
+    valued = F.when(F.col("_slot") != _NO_VALUE, F.col("_n")).otherwise(F.lit(0))
+    slots = distinct.groupBy(*keys, "_slot").agg(F.sum(valued).alias("_slot_n"))
     slots = slots.select(
         *keys,
         "_slot",
@@ -79,7 +82,7 @@ def grouped_quantiles(
     placed = ranked.join(slots, [*keys, "_slot"]).withColumns({"_first": first, "_last": last})
 
     def at(position: Column) -> Column:
-        covers = (F.col("_n") > 0) & (F.col("_first") <= position) & (position < F.col("_last"))
+        covers = (F.col("_first") <= position) & (position < F.col("_last"))
         return F.max(F.when(covers, F.col("_v")))
 
     picked = []
@@ -89,8 +92,13 @@ def grouped_quantiles(
             at(F.floor(position)).alias(f"_lo_{name}"),
             at(F.ceil(position)).alias(f"_hi_{name}"),
         ]
+
+    def with_bit(i: int) -> Column:
+        is_set = F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
+        return F.sum(F.when(is_set, F.col("_n")).otherwise(F.lit(0)))
+
     grouped = placed.groupBy(*keys).agg(
-        *[F.sum(n).alias(n) for n in sums],
+        *[with_bit(i).alias(n) for i, n in enumerate(counts)],
         F.max("_total").alias("_total"),
         F.max("_v").alias("_max"),
         *picked,
@@ -101,7 +109,7 @@ def grouped_quantiles(
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return low + (high - low) * (position - F.floor(position))
 
-    out = [*keys, *sums, *[lerp(n, p).alias(n) for n, p in quantiles.items()]]
+    out = [*keys, *counts, *[lerp(n, p).alias(n) for n, p in quantiles.items()]]
     if maximum:
         out.append(F.col("_max").alias(maximum))
     if counted:

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 BUCKET_SECONDS = 300
 
 
-def bucket(ts: Column, width: str = "5 minutes") -> Column:
-    """Start of the tumbling bucket; five minutes divide the epoch, so no origin is needed."""
-    return F.window(ts, width).getField("start")
+def bucket(ts: Column, seconds: int = BUCKET_SECONDS) -> Column:
+    """Start of the tumbling bucket; five minutes divide the epoch, so no origin is needed.
+
+    The same buckets as `F.window(ts, ...)`, which only a watermarked stream needs.
+    """
+    at = F.unix_seconds(ts)
+    return F.timestamp_seconds(at - F.pmod(at, F.lit(seconds)))
 
 
 def utc(moment: datetime | str) -> datetime:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import text as X
 from tidelog.functions.quantiles import grouped_quantiles
-from tidelog.functions.timing import bucket
+from tidelog.functions.timing import BUCKET_SECONDS, bucket
 
 # The quantiles kept per bucket, and the Apdex target T with its limit 4T.
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
@@ -15,10 +15,6 @@ APDEX_T_MS = 500
 APDEX_4T_MS = 2000
 
 
-def _count(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("bigint")
-
-
 def _failed() -> Column:
     """Server error by status, or a line the parser judged an error."""
     return F.coalesce(F.col("status") >= 500, F.lit(False)) | F.coalesce(
@@ -26,22 +22,22 @@ def _failed() -> Column:
     )
 
 
-def service_rollup(resolved: DataFrame, width: str = "5 minutes") -> DataFrame:
+def service_rollup(resolved: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Counts, exact latency quantiles and Apdex counts per (bucket, host, service)."""
     timed = F.col("dur").isNotNull()
-    rows = resolved.withColumn("bucket", bucket(F.col("ts"), width))
+    rows = resolved.withColumn("bucket", bucket(F.col("ts"), seconds))
     out = grouped_quantiles(
         rows,
         ["bucket", "host", "service"],
         "dur",
         QUANTILES,
-        sums={
-            "errors": _count(X.is_error(F.col("severity"))),
-            "warns": _count(F.col("severity") == "WARN"),
-            "total": F.lit(1),
-            "req_errors": _count(timed & _failed()),
-            "apdex_s": _count(F.col("dur") <= APDEX_T_MS),
-            "apdex_t": _count((F.col("dur") > APDEX_T_MS) & (F.col("dur") <= APDEX_4T_MS)),
+        counts={
+            "errors": X.is_error(F.col("severity")),
+            "warns": F.col("severity") == "WARN",
+            "total": F.lit(True),
+            "req_errors": timed & _failed(),
+            "apdex_s": F.col("dur") <= APDEX_T_MS,
+            "apdex_t": (F.col("dur") > APDEX_T_MS) & (F.col("dur") <= APDEX_4T_MS),
         },
         maximum="max_ms",
         counted="timed",
@@ -52,7 +48,7 @@ def service_rollup(resolved: DataFrame, width: str = "5 minutes") -> DataFrame:
     )
 
 
-def endpoint_rollup(resolved: DataFrame, width: str = "5 minutes") -> DataFrame:
+def endpoint_rollup(resolved: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Calls, failures and exact quantiles per (bucket, host, service, method, route).
 
     One row per request counts: lines that open a request are left out, lines without a
@@ -62,7 +58,7 @@ def endpoint_rollup(resolved: DataFrame, width: str = "5 minutes") -> DataFrame:
         resolved.filter(
             F.col("route").isNotNull() & (F.coalesce(F.col("phase"), F.lit("end")) == "end")
         )
-        .withColumn("bucket", bucket(F.col("ts"), width))
+        .withColumn("bucket", bucket(F.col("ts"), seconds))
         .withColumn("method", F.coalesce("method", F.lit("")))
     )
     out = grouped_quantiles(
@@ -70,10 +66,10 @@ def endpoint_rollup(resolved: DataFrame, width: str = "5 minutes") -> DataFrame:
         ["bucket", "host", "service", "method", "route"],
         "dur",
         QUANTILES,
-        sums={
-            "calls": F.lit(1),
-            "errors": _count(_failed()),
-            "clienterr": _count(F.col("status").between(400, 499)),
+        counts={
+            "calls": F.lit(True),
+            "errors": _failed(),
+            "clienterr": F.col("status").between(400, 499),
         },
         maximum="max_ms",
     )
@@ -83,16 +79,15 @@ def endpoint_rollup(resolved: DataFrame, width: str = "5 minutes") -> DataFrame:
     )
 
 
-def combine_rollups(rollup: DataFrame, width: str = "1 hour") -> DataFrame:
+def combine_rollups(rollup: DataFrame, seconds: int = 3600) -> DataFrame:
     """Rollups of a coarser window: counts are added, rates and Apdex divided afterwards."""
-    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     names = ["errors", "warns", "total", "timed", "req_errors", "apdex_s", "apdex_t"]
-    summed = rollup.groupBy(F.window("bucket", width).alias("w"), "host", "service").agg(
+    summed = rollup.groupBy(bucket(F.col("bucket"), seconds).alias("bucket"), "host", "service").agg(
         *[F.sum(n).alias(n) for n in names], F.max("max_ms").alias("max_ms")
     )
     timed = F.nullif(F.col("timed"), F.lit(0))
     return summed.select(
-        F.col("w.start").alias("bucket"),
+        "bucket",
         "host",
         "service",
         *names,

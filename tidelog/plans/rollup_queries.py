@@ -191,7 +191,7 @@ def rollup_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM log_rollup GROUP BY 1, 2, 3)"""
 )
 def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    combined = rollup.combine_rollups(log_rollup(spark, sf_dir), "1 hour")
+    combined = rollup.combine_rollups(log_rollup(spark, sf_dir), 3600)
     return round_columns(combined, "req_per_sec", "error_rate", "apdex")
 
 

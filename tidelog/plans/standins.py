@@ -101,6 +101,7 @@ def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def from_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run SQL over base tables; every table named in `tables` is read from `sf_dir`."""
     prepare(spark)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for table in tables:
         sql = sql.replace(f"FROM {table}", "FROM {" + table + "}")
     return spark.sql(sql, **{t: base(spark, sf_dir, t) for t in tables})

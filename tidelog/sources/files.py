@@ -85,24 +85,27 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("row", order)
 
 
-def assemble_records(lines: DataFrame) -> DataFrame:
+def assemble_records(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Multi-line records: indented lines continue the line before them.
 
-    Input: file, block, row, message. Output: file, message, block, chunk, part (the last
-    three order the records of a file). No task ever holds a file: text is grouped by
-    chunks of at most 32,768 lines, and only the record that crosses a chunk edge is put
-    together afterwards. Empty lines are dropped; an indented line with nothing before it
-    in its file is a record of its own.
+    Input: file, block, row, message, and `carry` columns that are the same for a whole
+    file. Output: file, message, block, chunk, part (the last three order the records of a
+    file) and `carry`. No task ever holds a file: text is grouped by chunks of at most
+    32,768 lines, and only the record that crosses a chunk edge is put together afterwards.
+    Empty lines are dropped; an indented line with nothing before it in its file is a record
+    of its own.
     """
+    of_file = ["file", *carry]
+    place = [*of_file, "block", "chunk"]
     chunked = (
         lines.filter(F.col("message") != "")
         .withColumn("chunk", F.floor(F.col("row") / _CHUNK_LINES))
-        .groupBy("file", "block", "chunk")
+        .groupBy(*place)
         .agg(F.array_sort(F.collect_list(F.struct("row", "message"))).alias("rows"))
     )
     text = F.array_join(F.transform("rows", lambda r: r["message"]), "\n")
     pieces = (
-        chunked.select("file", "block", "chunk", F.split(text, r"\n(?=\S)").alias("parts"))
+        chunked.select(*place, F.split(text, r"\n(?=\S)").alias("parts"))
         .select("*", F.posexplode("parts").alias("part", "message"))
         .withColumn("is_last", F.col("part") == F.size("parts") - 1)
         .withColumn("continues", (F.col("part") == 0) & ~F.col("message").rlike(P.RECORD_START))
@@ -135,12 +138,12 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     # A chunk's last record starts at its last part; what follows comes from later chunks.
     joined = (
         edges.filter(F.col("owner").isNotNull())
-        .groupBy("file", "owner")
+        .groupBy(*of_file, "owner")
         .agg(
             F.array_sort(F.collect_list(F.struct("block", "chunk", "part", "message"))).alias("p")
         )
         .select(
-            "file",
+            *of_file,
             F.array_join(F.transform("p", lambda r: r["message"]), "\n").alias("message"),
             F.col("owner.block").alias("block"),
             F.col("owner.chunk").alias("chunk"),
@@ -148,12 +151,13 @@ def assemble_records(lines: DataFrame) -> DataFrame:
         )
     )
     orphans = edges.filter(F.col("owner").isNull()).select(
-        "file", F.explode(F.split("message", "\n")).alias("message"), "block", "chunk", "part"
+        *of_file, F.explode(F.split("message", "\n")).alias("message"), "block", "chunk", "part"
     )
+    columns = ["file", "message", "block", "chunk", "part", *carry]
     return (
-        whole.select("file", "message", "block", "chunk", "part")
-        .unionByName(joined)
-        .unionByName(orphans)
+        whole.select(*columns)
+        .unionByName(joined.select(*columns))
+        .unionByName(orphans.select(*columns))
     )
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import schemas
+from tidelog.functions.timing import time_range
+from tidelog.session import cut_lineage
 from tidelog.sources import ingest
 
 
@@ -76,38 +78,43 @@ def upsert_days(spark: SparkSession, path: str, table: str, new: DataFrame) -> N
     overwrite_days(merged, path)
 
 
-def replace_range(
-    spark: SparkSession, path: str, table: str, new: DataFrame, low, high
+def replace_buckets(
+    spark: SparkSession, path: str, table: str, new: DataFrame, buckets: DataFrame
 ) -> None:
-    """Buckets in [low, high) become exactly the rows of `new`, which must lie inside."""
-    from tidelog.functions.timing import instant, time_range, utc_day
+    """The given buckets become exactly the rows of `new`, which must lie inside them.
 
-    old = read_table(spark, path, table).filter(
-        F.col("day").between(F.lit(utc_day(low)), F.lit(utc_day(high)))
-    )
-    inside = (F.col("bucket") >= instant(low)) & (F.col("bucket") < instant(high))
-    kept = old.filter(~inside)
-    fresh = time_range(new, low, high, column="bucket").withColumn("day", F.to_date("bucket"))
-    overwrite_days(kept.unionByName(fresh.select(*old.columns)), path)
+    Rows of other buckets on the same days are kept; other days are not read. A bucket that
+    has no rows any more ends up empty.
+    """
+    old = read_table(spark, path, table)
+    days = buckets.select(F.to_date("bucket").alias("day")).distinct()
+    kept = old.join(days, "day", "left_semi").join(buckets, "bucket", "left_anti")
+    fresh = new.withColumn("day", F.to_date("bucket"))
+    overwrite_days(kept.select(*old.columns).unionByName(fresh.select(*old.columns)), path)
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Keyed tables without days: write a whole new version next to the old one, then point
-    to it. Readers see the old or the new version, never a mix."""
-    spark = df.sparkSession
+def stage_version(df: DataFrame, root: str) -> str:
+    """Write a whole new version of a keyed table next to the current one."""
     version = f"v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(f"{root}/{version}")
+    return version
+
+
+def publish_version(spark: SparkSession, root: str, version: str) -> None:
+    """Point readers to a staged version: they see the old or the new one, never a mix."""
     fs, _ = _filesystem(spark, root)
     path = spark._jvm.org.apache.hadoop.fs.Path
     pointer, temporary = path(f"{root}/_current"), path(f"{root}/_current.{version}")
     stream = fs.create(temporary, True)
     stream.write(bytearray(version.encode()))
     stream.close()
-    previous = current_version(spark, root)
-    if previous:
+    if fs.exists(pointer):
         fs.delete(pointer, False)
     fs.rename(temporary, pointer)
-    return version
+
+
+def write_version(df: DataFrame, root: str) -> None:
+    publish_version(df.sparkSession, root, stage_version(df, root))
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
@@ -159,17 +166,19 @@ def partition_sizes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def ingest_rows(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append the rows that are not stored yet. Running it twice changes nothing, so a batch
-    replayed after a failure leaves no duplicates."""
-    from tidelog.functions.timing import time_range
+def ingest_rows(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame | None:
+    """Append the rows that are not stored yet; returns the distinct rows, None if there are none.
 
-    fresh = ingest.dedup(ingest.split_undated(rows)[0])
+    Running it twice changes nothing, so a batch replayed after a failure leaves no
+    duplicates. The batch is written to the shared folder first: a retried task must not
+    parse it again and see another clock.
+    """
+    dated = ingest.split_undated(rows)[0]
+    fresh = cut_lineage(ingest.dedup(dated))
     span = fresh.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     if span["low"] is None:
-        return
-    stored = time_range(
-        read_table(spark, path, "log_entries"), span["low"].astimezone(), span["high"].astimezone(),
-        closed_high=True,
-    )
+        return None
+    low, high = span["low"].astimezone(timezone.utc), span["high"].astimezone(timezone.utc)
+    stored = time_range(read_table(spark, path, "log_entries"), low, high, closed_high=True)
     write_logs(ingest.only_new(fresh, stored), path)
+    return fresh

@@ -12,21 +12,23 @@ ESCAPE_TWO_BYTE = r"\x1b[@-Z\\-_]"
 
 # -- file names ---------------------------------------------------------------------------
 STREAM_SUFFIX = r"-(out|error)(-\d+)?(__[^/]*)?\.log\z"
-BASENAME = r"([^/]+)\z"
 NGINX_PREFIX = "/var/log/nginx"
-STDERR_MARK = r"-error"
+STDERR_MARK = "-error"
 ROTATED_ARCHIVE = r"(__\d{4}-\d{2}-\d{2}_.*|\.gz|\.zip)\z"
 DEFAULT_LOG_DIR = r"^(/root|/home/[^/]+)/\.pm2/logs\z"
 
 # -- records and time stamps ----------------------------------------------------------------
 RECORD_START = r"^\S"
-TS_BRACKET_SPACE = (
-    r"^\[(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2})(?:\.(\d{1,6})\d*)?(?:\s+([+-]\d{2}):?(\d{2}))?\]"
+# Groups: date, separator, time, fraction, white space, offset hours, offset minutes. A line
+# matches as a whole, so that replacing the match leaves only the groups.
+TS_BRACKETED = (
+    r"(?s)^\[(\d{4}-\d{2}-\d{2})([ T])(\d{2}:\d{2}:\d{2})(?:\.(\d{1,6})\d*)?"
+    r"(?:(\s*)([+-]\d{2}):?(\d{2}))?\].*\z"
 )
-TS_BRACKET_ISO = (
-    r"^\[(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d{1,6})\d*)?([+-]\d{2}):?(\d{2})\]"
+# Groups: date, time, fraction, UTC mark.
+TS_BARE = (
+    r"(?s)^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})\.(\d{1,6})\d*(?:\s*(UTC|Z))?.*\z"
 )
-TS_BARE = r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2})\.(\d{1,6})\d*\s*(UTC|Z)?"
 
 # -- severity: words looked up in the upper-cased line, first hit wins -----------------------
 SEVERITY_WORDS = [
@@ -54,12 +56,13 @@ REQUEST_ID = (
     r"([A-Za-z0-9_\-]{6,64})"
 )
 REQUEST_ID_WORD = r"(?i)(request_?id|req_?id|correlation_?id|trace_?id|x-request-id)"
-PHASE_START = r"(?i)(incoming request|request (start|started|received|begin))"
-PHASE_END = r"(?i)(request (completed|complete|finished|end|ended)|response sent)"
+# Wording of the two ends of a request, looked up in the upper-cased line (START also finds
+# STARTED, COMPLETE finds COMPLETED, END finds ENDED).
+PHASE_START = ["INCOMING REQUEST", "REQUEST START", "REQUEST RECEIVED", "REQUEST BEGIN"]
+PHASE_END = ["REQUEST COMPLETE", "REQUEST FINISHED", "REQUEST END", "RESPONSE SENT"]
 METHOD = r"(?i)\bmethod\"?\s*[=:]\s*\"?(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
 URL = r"(?i)\burl\"?\s*[=:]\s*\"?(/[^\s\",]*)"
 
-QUERY_STRING = r"\?.*\z"
 ROUTE_IDS = [
     r"/[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"/[0-9a-fA-F]{16,}",
@@ -67,6 +70,14 @@ ROUTE_IDS = [
 ]
 ROUTE_PLACEHOLDER = "/:id"
 
+# Words of which one must occur (in the upper-cased line) before a pattern above can match;
+# looking for a word costs a small part of what a failing pattern search costs.
+DURATION_WORDS = ["RESPONSE", "DURATION", "ELAPSED", "LATENCY", "TOOK", "RT"]
+STATUS_WORDS = ["STATUS"]
+REQUEST_ID_WORDS = ["REQ", "CORRELATION", "TRACE"]
+METHOD_WORDS = ["METHOD"]
+URL_WORDS = ["URL"]
+
 # Guards for request facts that arrive as text.
 DURATION_TEXT = r"^[0-9]+(\.[0-9]+)?\z"
 STATUS_TEXT = r"^[0-9]{3}\z"
@@ -82,6 +93,10 @@ REDACTIONS = [
     (r"AKIA[0-9A-Z]{16}", "***"),
     (r"://([^:/@\s]+):([^@/\s]+)@", "://$1:***@"),
 ]
+# One of these words, or both parts of one of these pairs, must occur before anything is
+# redacted (the words in the upper-cased text).
+REDACTION_WORDS = ["PASSW", "PWD", "SECRET", "TOKEN", "AUTHORIZATION", "BEARER"]
+REDACTION_PAIRS = [("API", "KEY"), ("EYJ", "."), ("AKIA", "A"), ("://", "@")]
 SECRET_WORDS = r"(?i)(password|secret|token|bearer|AKIA|eyJ)"
 
 # -- error fingerprint: variable parts and their stand-ins, in this order ---------------------

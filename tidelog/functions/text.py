@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import patterns as P
@@ -19,18 +20,33 @@ def any_contains(col: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(col, F.lit(w)) for w in words])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once per row, however often `body` uses it.
+
+    It also keeps expressions small where a filter on a derived column is pushed down: the
+    optimiser then copies every column such a filter is built from into the filter.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_escapes(col: Column) -> Column:
     """Text without terminal escapes: window titles, colours, two-byte sequences."""
-    for pattern in (P.ESCAPE_OSC, P.ESCAPE_CSI, P.ESCAPE_TWO_BYTE):
-        col = F.regexp_replace(col, pattern, "")
-    return col
+
+    def strip(text: Column) -> Column:
+        plain = text
+        for pattern in (P.ESCAPE_OSC, P.ESCAPE_CSI, P.ESCAPE_TWO_BYTE):
+            plain = F.regexp_replace(plain, pattern, "")
+        return F.when(F.contains(text, F.lit("\x1b")), plain).otherwise(text)
+
+    return let(col, strip)
 
 
 # -- file names ---------------------------------------------------------------------------
 
 
 def basename(path: Column) -> Column:
-    return F.coalesce(extract(path, P.BASENAME, 1), path)
+    """Text behind the last slash; a path that ends with one is its own name."""
+    return F.when(F.endswith(path, F.lit("/")), path).otherwise(F.substring_index(path, "/", -1))
 
 
 def file_stem(path: Column) -> Column:
@@ -45,57 +61,78 @@ def is_rotated(path: Column) -> Column:
 # -- time stamps ----------------------------------------------------------------------------
 
 
-def _instant(date: Column, clock: Column, fraction: Column, zone: Column) -> Column:
-    """Zone-qualified text cast to an instant, so the session time zone plays no part."""
-    text = F.concat(date, F.lit(" "), clock, F.lit("."), F.coalesce(fraction, F.lit("0")), zone)
-    return text.try_cast("timestamp")
+_MARK = "\x00"
+
+
+def _stamp_parts(line: Column) -> Column:
+    """Array of date, separator, time, fraction, white space, offset hours and minutes, UTC
+    mark, read at the start of a line; NULL for a line that starts with no time stamp."""
+    first = F.left(line, F.lit(1))
+    found = F.when(
+        first == "[", F.regexp_replace(line, P.TS_BRACKETED, _MARK + "$1|$2|$3|$4|$5|$6|$7|")
+    ).when(
+        first.between("0", "9"), F.regexp_replace(line, P.TS_BARE, _MARK + "$1|B|$2|$3||||$4")
+    )
+    return let(
+        found,
+        lambda f: F.when(
+            F.startswith(f, F.lit(_MARK)), F.split(F.substr(f, F.lit(2)), r"\|", 8)
+        ),
+    )
 
 
 def line_timestamp(line: Column, source_tz: str = "UTC", honour_utc_suffix: bool = False) -> Column:
-    """Time stamp at the start of a line: bracketed (with or without offset) or bare.
+    """The instant at the start of a line, bracketed or bare; NULL if there is none.
 
-    Lines without an offset are in `source_tz`. `honour_utc_suffix` makes a bare stamp
-    followed by `UTC` or `Z` an UTC one; by default the suffix is not looked at.
+    A stamp without an offset is in `source_tz`. The ISO form needs its offset, directly
+    behind the time; the spaced form may have one behind white space. `honour_utc_suffix`
+    makes a bare stamp followed by `UTC` or `Z` an UTC one; by default that is not looked at.
     """
-    local = F.lit(f" {source_tz}")
 
-    def part(pattern: str, group: int) -> Column:
-        return extract(line, pattern, group)
+    def instant(parts: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.get(parts, F.lit(i))
 
-    def offset(pattern: str, group: int) -> Column:
-        return F.concat(part(pattern, group), F.lit(":"), part(pattern, group + 1))
+        spaced, iso, has_offset = part(1) == " ", part(1) == "T", part(5) != ""
+        well_formed = F.when(iso, has_offset & (part(4) == "")).otherwise(
+            ~(spaced & has_offset & (part(4) == ""))
+        )
+        zone = F.when(has_offset, F.concat(part(5), F.lit(":"), part(6)))
+        if honour_utc_suffix:
+            zone = zone.when(part(7) != "", F.lit(" UTC"))
+        zone = zone.otherwise(F.lit(f" {source_tz}"))
+        fraction = F.when(part(3) == "", F.lit("0")).otherwise(part(3))
+        # Zone-qualified text is cast to an instant: the session time zone plays no part.
+        text = F.concat(part(0), F.lit(" "), part(2), F.lit("."), fraction, zone)
+        return F.when(well_formed, text.try_cast("timestamp"))
 
-    spaced = _instant(
-        part(P.TS_BRACKET_SPACE, 1), part(P.TS_BRACKET_SPACE, 2), part(P.TS_BRACKET_SPACE, 3),
-        F.coalesce(offset(P.TS_BRACKET_SPACE, 4), local),
-    )
-    iso = _instant(
-        part(P.TS_BRACKET_ISO, 1), part(P.TS_BRACKET_ISO, 2), part(P.TS_BRACKET_ISO, 3),
-        offset(P.TS_BRACKET_ISO, 4),
-    )
-    bare_zone = local
-    if honour_utc_suffix:
-        bare_zone = F.when(part(P.TS_BARE, 4).isNotNull(), F.lit(" UTC")).otherwise(local)
-    bare = _instant(part(P.TS_BARE, 1), part(P.TS_BARE, 2), part(P.TS_BARE, 3), bare_zone)
-    return (
-        F.when(F.startswith(line, F.lit("[")), F.coalesce(spaced, iso))
-        .otherwise(bare)
-    )
+    return let(let(line, _stamp_parts), instant)
 
 
 # -- severity -------------------------------------------------------------------------------
 
 
-def severity(line: Column) -> Column:
-    """Level word, else warning/error sign, else the HTTP status at the end, else INFO."""
-    upper = F.upper(line)
+def http_tail(line: Column) -> Column:
+    """The `(n ms) ddd` at the end of an access line; NULL or '' without one."""
+    return F.when(F.contains(line, F.lit(" ms)")), F.regexp_extract(line, P.HTTP_TAIL, 0))
+
+
+def tail_status(tail: Column) -> Column:
+    return F.regexp_extract(tail, P.HTTP_TAIL, 2).try_cast("int")
+
+
+def severity(line: Column, upper: Column, tail: Column) -> Column:
+    """Level word, else warning/error sign, else the HTTP status at the end, else INFO.
+
+    `upper` is the upper-cased line, `tail` what `http_tail` found.
+    """
     by_word = F.lit(None).cast("string")
     for level, words in reversed(P.SEVERITY_WORDS):
         by_word = F.when(any_contains(upper, words), F.lit(level)).otherwise(by_word)
     by_sign = F.when(any_contains(line, P.ERROR_SIGNS), F.lit("ERROR")).when(
         F.contains(line, F.lit(P.WARN_SIGN)), F.lit("WARN")
     )
-    code = extract(line, P.HTTP_TAIL, 2).try_cast("int")
+    code = tail_status(tail)
     by_code = F.when(code >= 500, F.lit("ERROR")).when(code >= 400, F.lit("WARN"))
     return F.coalesce(by_word, by_sign, by_code, F.lit("INFO"))
 
@@ -107,40 +144,76 @@ def is_error(level: Column) -> Column:
 # -- request facts ----------------------------------------------------------------------------
 
 
-def duration_ms(line: Column) -> Column:
-    """Duration: keyed value, else `(n ms)`, else a trailing `- n ms`."""
-    keyed = extract(line, P.DURATION_KEYED, 1).try_cast("double")
-    seconds = F.regexp_extract(line, P.DURATION_KEYED, 2) == F.lit("s")
-    return F.coalesce(
-        F.when(seconds, keyed * 1000.0).otherwise(keyed),
-        extract(line, P.DURATION_PAREN, 1).try_cast("double"),
-        extract(line, P.DURATION_TAIL, 1).try_cast("double"),
-    )
+def given(text: Column) -> Column:
+    """NULL for an empty text. `text` should be a plain column: it is looked at twice."""
+    return F.when(text != "", text)
 
 
-def http_status(line: Column) -> Column:
-    return F.coalesce(
-        extract(line, P.STATUS_KEYED, 1).try_cast("int"),
-        extract(line, P.HTTP_TAIL, 2).try_cast("int"),
-    )
-
+def if_any(upper: Column, words: list[str], found: Column) -> Column:
+    """`found` only for lines that hold one of the words."""
+    return F.when(any_contains(upper, words), found)
 
-def request_id(line: Column) -> Column:
-    return extract(line, P.REQUEST_ID, 1)
 
+def with_request_facts(df: DataFrame, line: str, upper: str, whole_segment: bool = False) -> DataFrame:
+    """Adds duration_ms, status, method, route, req_id, phase and `_tail` (see `http_tail`).
 
-def phase(line: Column) -> Column:
-    """start or end of a request; only lines that carry a request id have one."""
-    return F.when(
-        line.rlike(P.REQUEST_ID),
-        F.when(line.rlike(P.PHASE_START), F.lit("start")).when(
-            line.rlike(P.PHASE_END), F.lit("end")
+    In two projections: the first finds the piece of text that holds a fact, once per line;
+    the second takes the pieces apart.
+    """
+    text, up = F.col(line), F.col(upper)
+
+    def find(pattern: str, group: int) -> Column:
+        return F.regexp_extract(text, pattern, group)
+
+    found = df.withColumns(
+        {
+            "_keyed": if_any(up, P.DURATION_WORDS, find(P.DURATION_KEYED, 0)),
+            "_tail": http_tail(text),
+            "_rid": if_any(up, P.REQUEST_ID_WORDS, find(P.REQUEST_ID, 1)),
+            "_method": F.upper(if_any(up, P.METHOD_WORDS, find(P.METHOD, 1))),
+            "_url": if_any(up, P.URL_WORDS, find(P.URL, 1)),
+        }
+    )
+    keyed = F.regexp_extract("_keyed", P.DURATION_KEYED, 1).try_cast("double")
+    in_seconds = F.regexp_extract("_keyed", P.DURATION_KEYED, 2) == "s"
+    duration = F.coalesce(
+        F.when(in_seconds, keyed * 1000.0).otherwise(keyed),
+        F.when(
+            F.contains(text, F.lit("ms)")), find(P.DURATION_PAREN, 1).try_cast("double")
         ),
+        F.when(F.contains(text, F.lit("ms")), find(P.DURATION_TAIL, 1).try_cast("double")),
+    )
+    status = F.coalesce(
+        if_any(up, P.STATUS_WORDS, find(P.STATUS_KEYED, 1).try_cast("int")),
+        tail_status(F.col("_tail")),
     )
+    phase = F.when(
+        F.col("_rid") != "",
+        F.when(any_contains(up, P.PHASE_START), F.lit("start")).when(
+            any_contains(up, P.PHASE_END), F.lit("end")
+        ),
+    )
+    return found.withColumns(
+        {
+            "duration_ms": duration,
+            "status": status,
+            "method": given(F.col("_method")),
+            "route": F.when(F.col("_url") != "", normalise_route(F.col("_url"), whole_segment)),
+            "req_id": given(F.col("_rid")),
+            "phase": phase,
+        }
+    )
+
+
+FACTS = ["duration_ms", "status", "method", "route", "req_id", "phase"]
 
 
-def http_method(line: Column) -> Column:
-    return F.upper(extract(line, P.METHOD, 1))
+def pack_facts() -> Column:
+    """The facts as one struct; NULL when there is none (a method alone is none)."""
+    present = F.lit(False)
+    for name in ("duration_ms", "status", "route", "req_id"):
+        present = present | F.col(name).isNotNull()
+    return F.when(present, F.struct(*FACTS))
 
 
 def normalise_route(path: Column, whole_segment: bool = False) -> Column:
@@ -149,7 +222,7 @@ def normalise_route(path: Column, whole_segment: bool = False) -> Column:
     By default an id may be the beginning of a segment (`/2fa` gives `/:idfa`);
     `whole_segment` asks for the id to fill its segment.
     """
-    path = F.regexp_replace(path, P.QUERY_STRING, "")
+    path = F.substring_index(path, "?", 1)
     for pattern in P.ROUTE_IDS:
         if whole_segment:
             pattern += r"(?=/|\z)"
@@ -157,26 +230,6 @@ def normalise_route(path: Column, whole_segment: bool = False) -> Column:
     return path
 
 
-def route(line: Column, whole_segment: bool = False) -> Column:
-    return normalise_route(extract(line, P.URL, 1), whole_segment)
-
-
-def attrs(line: Column, whole_segment: bool = False) -> Column:
-    """All request facts in one struct; NULL when there is none (a method alone is none)."""
-    facts = {
-        "duration_ms": duration_ms(line),
-        "status": http_status(line),
-        "method": http_method(line),
-        "route": route(line, whole_segment),
-        "req_id": request_id(line),
-        "phase": phase(line),
-    }
-    present = F.coalesce(
-        *[facts[n].cast("string") for n in ("duration_ms", "status", "route", "req_id")]
-    ).isNotNull()
-    return F.when(present, F.struct(*[c.alias(n) for n, c in facts.items()]))
-
-
 def attrs_from_json(text: Column) -> Column:
     """Request facts of a JSON object, with malformed durations and statuses as NULL."""
 
@@ -195,10 +248,26 @@ def attrs_from_json(text: Column) -> Column:
     )
 
 
+def may_hold_secret(text: Column) -> Column:
+    def maybe(upper: Column) -> Column:
+        found = any_contains(upper, P.REDACTION_WORDS)
+        for one, other in P.REDACTION_PAIRS:
+            found = found | (F.contains(upper, F.lit(one)) & F.contains(upper, F.lit(other)))
+        return found
+
+    return let(F.upper(text), maybe)
+
+
 def redact(text: Column) -> Column:
-    for pattern, stand_in in P.REDACTIONS:
-        text = F.regexp_replace(text, pattern, stand_in)
-    return text
+    """Secrets replaced by `***`; texts without any secret word are passed on as they are."""
+
+    def clean(t: Column) -> Column:
+        out = t
+        for pattern, stand_in in P.REDACTIONS:
+            out = F.regexp_replace(out, pattern, stand_in)
+        return F.when(may_hold_secret(t), out).otherwise(t)
+
+    return let(text, clean)
 
 
 # -- identities -----------------------------------------------------------------------------

@@ -53,7 +53,7 @@ def service_and_kind(raw: DataFrame, name_map: DataFrame | None = None) -> DataF
     )
     stream = F.when(
         kind == "pm2",
-        F.when(path.rlike(P.STDERR_MARK), F.lit("stderr")).otherwise(F.lit("stdout")),
+        F.when(F.contains(path, F.lit(P.STDERR_MARK)), F.lit("stderr")).otherwise(F.lit("stdout")),
     )
     return raw.withColumns({"service": service, "kind": kind, "stream": stream}).drop(
         "_stem", "_named"
@@ -79,31 +79,38 @@ def parse_logs(
     `redact_first`.
     """
     named = service_and_kind(raw, name_map)
-    line = X.strip_escapes(F.coalesce(F.col("message"), F.lit("")))
-    named = named.withColumn("_line", line)
-    source = X.redact(F.col("_line")) if redact_first else F.col("_line")
+    staged = named.withColumn("_line", X.strip_escapes(F.coalesce("message", F.lit(""))))
+    staged = staged.withColumn("_clean", X.redact(F.col("_line")))
+    staged = staged.withColumn("_upper", F.upper("_line"))
+    if redact_first:
+        staged = staged.withColumn("_clean_upper", F.upper("_clean"))
+        staged = X.with_request_facts(staged, "_clean", "_clean_upper", whole_segment)
+        tail = X.http_tail(F.col("_line"))
+    else:
+        staged = X.with_request_facts(staged, "_line", "_upper", whole_segment)
+        tail = F.col("_tail")
 
-    event_ts = F.col("timestamp").cast("timestamp") if "timestamp" in raw.columns else None
     candidates = [X.line_timestamp(F.col("_line"), source_tz, honour_utc_suffix)]
-    if event_ts is not None:
-        candidates.append(event_ts)
+    if "timestamp" in raw.columns:
+        candidates.append(F.col("timestamp").cast("timestamp"))
     candidates.append(ingest_ts if ingest_ts is not None else F.current_timestamp())
-    host_col = F.lit(host) if host is not None else (
-        F.col("host") if "host" in raw.columns else F.lit("unknown")
-    )
+    if host is not None:
+        host_column = F.lit(host)
+    else:
+        host_column = F.col("host") if "host" in raw.columns else F.lit("unknown")
     out = {
         "ts": F.coalesce(*candidates),
-        "host": host_col,
+        "host": host_column,
         "service": F.col("service"),
         "kind": F.col("kind"),
-        "severity": X.severity(F.col("_line")),
-        "body": X.redact(F.col("_line")),
-        "attrs": X.attrs(source, whole_segment).cast(schemas.ATTRS_DDL),
+        "severity": X.severity(F.col("_line"), F.col("_upper"), tail),
+        "body": F.col("_clean"),
+        "attrs": X.pack_facts().cast(schemas.ATTRS_DDL),
     }
     if keep_stream:
         out["stream"] = F.col("stream")
     kept = [F.col("id")] if "id" in raw.columns else []
-    return named.select(*kept, *[c.alias(n) for n, c in out.items()])
+    return staged.select(*kept, *[c.alias(n) for n, c in out.items()])
 
 
 def only_selected(logs: DataFrame, selected: DataFrame) -> DataFrame:

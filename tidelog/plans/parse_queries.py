@@ -106,7 +106,8 @@ def _flat(parsed: DataFrame, *columns: str) -> DataFrame:
 
 
 def _parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PARSE.parse_logs(view(spark, sf_dir, "raw_lines"), host="host0", keep_stream=True)
+    lines = FILES.spread_out(view(spark, sf_dir, "raw_lines"))
+    return PARSE.parse_logs(lines, host="host0", keep_stream=True)
 
 
 _LINES_SQL = f"""
@@ -137,7 +138,7 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                {_KEPT_FACTS} FROM lines JOIN documents USING (doc_id)"""
 )
 def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = base(spark, sf_dir, "documents").select(
+    events = FILES.spread_out(base(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("message"),
         F.col("source").alias("container_name"),
@@ -149,7 +150,7 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {redact_sql('text')} AS body FROM documents")
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base(spark, sf_dir, "documents")
+    docs = FILES.spread_out(base(spark, sf_dir, "documents"))
     return docs.select("doc_id", X.redact(F.col("text")).alias("body"))
 
 

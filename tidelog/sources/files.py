@@ -85,6 +85,13 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("row", order)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give every core a share of a source that comes in fewer pieces than there are cores
+    (one small or unsplittable file). Larger sources are left alone: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def assemble_records(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Multi-line records: indented lines continue the line before them.
 

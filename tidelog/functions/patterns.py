@@ -81,6 +81,7 @@ URL_WORDS = ["URL"]
 # Guards for request facts that arrive as text.
 DURATION_TEXT = r"^[0-9]+(\.[0-9]+)?\z"
 STATUS_TEXT = r"^[0-9]{3}\z"
+NO_JSON_FIELDS = r"^\s*(\{\s*\}|null)?\s*\z"
 
 # -- redaction, applied in this order ---------------------------------------------------------
 REDACTIONS = [

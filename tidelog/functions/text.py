@@ -231,21 +231,24 @@ def normalise_route(path: Column, whole_segment: bool = False) -> Column:
 
 
 def attrs_from_json(text: Column) -> Column:
-    """Request facts of a JSON object, with malformed durations and statuses as NULL."""
+    """Request facts of a JSON object (parsed once), malformed durations and statuses as NULL.
+    No object, or one without fields, gives NULL."""
+    as_texts = "struct<" + ", ".join(f"{name}: string" for name in FACTS) + ">"
 
-    def field(name: str) -> Column:
-        return F.get_json_object(text, f"$.{name}")
+    def guarded(given_facts: Column) -> Column:
+        def field(name: str) -> Column:
+            return given_facts.getField(name)
 
-    duration = F.when(field("duration_ms").rlike(P.DURATION_TEXT), field("duration_ms"))
-    status = F.when(field("status").rlike(P.STATUS_TEXT), field("status"))
-    return F.when(
-        text.isNotNull() & ~text.rlike(r"^\s*(\{\s*\}|null)?\s*\z"),
-        F.struct(
+        duration = F.when(field("duration_ms").rlike(P.DURATION_TEXT), field("duration_ms"))
+        status = F.when(field("status").rlike(P.STATUS_TEXT), field("status"))
+        return F.struct(
             duration.try_cast("double").alias("duration_ms"),
             status.try_cast("int").alias("status"),
             *[field(n).alias(n) for n in ("method", "route", "req_id", "phase")],
-        ),
-    )
+        )
+
+    is_object = text.isNotNull() & ~text.rlike(P.NO_JSON_FIELDS)
+    return F.when(is_object, let(F.from_json(text, as_texts), guarded))
 
 
 def may_hold_secret(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,28 +49,44 @@ def align_up(moment: datetime | str, seconds: int = BUCKET_SECONDS) -> datetime:
     return low if low == utc(moment) else low + timedelta(seconds=seconds)
 
 
-def time_range(
+def in_time_range(
     df: DataFrame,
     low: datetime | str | None = None,
     high: datetime | str | None = None,
     column: str = "ts",
     open_low: bool = False,
     closed_high: bool = False,
-) -> DataFrame:
-    """Rows of [low, high), with the matching `day` predicate so whole partitions are skipped."""
+) -> Column:
+    """Condition for [low, high), with the matching one on `day` where `df` is partitioned by
+    it, so that whole partitions are skipped (also when such conditions are joined by OR)."""
+    at = F.col(column)
+    parts = []
     if low is not None:
-        edge = instant(low)
-        df = df.filter(F.col(column) > edge if open_low else F.col(column) >= edge)
+        parts.append(at > instant(low) if open_low else at >= instant(low))
         if "day" in df.columns:
-            df = df.filter(F.col("day") >= F.lit(utc_day(low)))
+            parts.append(F.col("day") >= F.lit(utc_day(low)))
     if high is not None:
-        edge = instant(high)
-        df = df.filter(F.col(column) <= edge if closed_high else F.col(column) < edge)
+        parts.append(at <= instant(high) if closed_high else at < instant(high))
         if "day" in df.columns:
-            df = df.filter(F.col("day") <= F.lit(utc_day(high)))
-    return df
+            parts.append(F.col("day") <= F.lit(utc_day(high)))
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def is_recent(df: DataFrame, as_of: datetime | str, seconds: int, column: str = "ts") -> Column:
+    """Condition for rows newer than `as_of - seconds` (open edge, no upper edge)."""
+    return in_time_range(df, utc(as_of) - timedelta(seconds=seconds), column=column, open_low=True)
+
+
+def time_range(
+    df: DataFrame,
+    low: datetime | str | None = None,
+    high: datetime | str | None = None,
+    column: str = "ts",
+    open_low: bool = False,
+    closed_high: bool = False,
+) -> DataFrame:
+    return df.filter(in_time_range(df, low, high, column, open_low, closed_high))
 
 
 def recent(df: DataFrame, as_of: datetime | str, seconds: int, column: str = "ts") -> DataFrame:
-    """Rows newer than `as_of - seconds` (open edge, no upper edge)."""
-    return time_range(df, utc(as_of) - timedelta(seconds=seconds), column=column, open_low=True)
+    return df.filter(is_recent(df, as_of, seconds, column))

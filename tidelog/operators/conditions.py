@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import text as X
-from tidelog.functions.timing import recent, time_range, utc
+from tidelog.functions.timing import in_time_range, is_recent, recent, utc
 
 Tables = Mapping[str, DataFrame]
 Moment = datetime | str
@@ -176,21 +176,22 @@ def traffic_drop(
 ) -> DataFrame:
     """Requests now against the same window a week earlier, in percent below.
 
-    One pass: both windows are summed side by side per service. A service without any
+    One scan: both windows are summed side by side per service. A service without any
     bucket now does not fire unless `include_silent`.
     """
     week_ago = utc(as_of) - timedelta(days=7)
-    now = recent(t["log_rollup"], as_of, window, "bucket")
-    before = time_range(
-        t["log_rollup"], week_ago - timedelta(seconds=window), week_ago, "bucket",
+    rollup = t["log_rollup"]
+    now = is_recent(rollup, as_of, window, "bucket")
+    before = in_time_range(
+        rollup, week_ago - timedelta(seconds=window), week_ago, "bucket",
         open_low=True, closed_high=True,
     )
-    none = F.lit(None).cast("bigint")
-    sides = now.select("service", F.coalesce("timed", F.lit(0)).alias("c"), none.alias("b"))
-    sides = sides.unionByName(
-        before.select("service", none.alias("c"), F.coalesce("timed", F.lit(0)).alias("b"))
+    timed = F.coalesce("timed", F.lit(0))
+    summed = (
+        rollup.filter(now | before)
+        .groupBy("service")
+        .agg(F.sum(F.when(now, timed)).alias("c"), F.sum(F.when(before, timed)).alias("b"))
     )
-    summed = sides.groupBy("service").agg(F.sum("c").alias("c"), F.sum("b").alias("b"))
     if include_silent:
         summed = summed.fillna(0, ["c"])
     drop = F.lit(100.0) * (F.col("b") - F.col("c")) / F.nullif("b", F.lit(0))

@@ -40,7 +40,7 @@ def touched_buckets(rows: DataFrame, max_gap_seconds: int = pairing.MAX_GAP_SECO
     later = F.when(F.col("attrs.phase") == "start", F.lit(ahead)).otherwise(F.lit(0))
     steps = F.sequence(F.lit(0), later)
     micros = F.unix_micros(own)
-    starts = F.transform(steps, lambda i: micros + i * (BUCKET_SECONDS * 1_000_000))
+    starts = F.transform(steps, lambda i: micros + i.cast("bigint") * (BUCKET_SECONDS * 1_000_000))
     found = rows.select(F.explode(starts).alias("at")).distinct().collect()
     return sorted(datetime.fromtimestamp(r["at"] / 1e6, timezone.utc) for r in found)
 

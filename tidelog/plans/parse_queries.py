@@ -284,7 +284,7 @@ _NDJSON = """
 def _ndjson(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # Spark SQL reads a backslash in a literal as an escape, so the JSON `\r` needs two.
     sql = _NDJSON.replace("\\r", "\\\\r")
-    return FILES.read_ndjson(from_sql(spark, sf_dir, sql, "events"))
+    return FILES.read_ndjson(FILES.spread_out(from_sql(spark, sf_dir, sql, "events")))
 
 
 @query(

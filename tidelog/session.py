@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +16,21 @@ RUNTIME_CONF = {
 }
 
 
+# Only a new session can have these.
+STATIC_CONF = {
+    # Plans here are long: keeping a stack trace for every column call multiplies build time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoints written to cut lineage go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def build_session(app: str = "tidelog", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; `conf` keys use `__` for the dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **STATIC_CONF}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -36,24 +44,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_made_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is used.
+    Only where the session names none (tests on one machine) a temporary folder is used.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tidelog-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _made_dirs:
+        _made_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidelog-")
+    return _made_dirs[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder once and go on from there (reliable checkpoint)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(df.sparkSession), "checkpoints"))
+        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
     return df.checkpoint(eager=True)

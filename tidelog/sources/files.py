@@ -104,9 +104,13 @@ def assemble_records(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     """
     of_file = ["file", *carry]
     place = [*of_file, "block", "chunk"]
+    placed = lines.withColumn("chunk", F.floor(F.col("row") / _CHUNK_LINES))
+    # The NULL tests that joins below would add to some of the uses stand here once for all of
+    # them: the uses stay equal, and the text is read and shuffled a single time.
+    for column in ("file", "block", "chunk"):
+        placed = placed.filter(F.col(column).isNotNull())
     chunked = (
-        lines.filter(F.col("message") != "")
-        .withColumn("chunk", F.floor(F.col("row") / _CHUNK_LINES))
+        placed.filter(F.col("message") != "")
         .groupBy(*place)
         .agg(F.array_sort(F.collect_list(F.struct("row", "message"))).alias("rows"))
     )
@@ -137,35 +141,31 @@ def assemble_records(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
     edges = (
         pieces.filter(F.col("is_last") | F.col("continues"))
         .join(owners, ["file", "block", "chunk"])
+        .withColumn("orphan", F.col("continues") & F.col("before").isNull())
         .withColumn(
             "owner",
-            F.when(F.col("continues"), F.col("before")).otherwise(F.struct("block", "chunk")),
+            F.when(F.col("continues") & ~F.col("orphan"), F.col("before")).otherwise(
+                F.struct("block", "chunk")
+            ),
         )
     )
     # A chunk's last record starts at its last part; what follows comes from later chunks.
-    joined = (
-        edges.filter(F.col("owner").isNotNull())
-        .groupBy(*of_file, "owner")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("block", "chunk", "part", "message"))).alias("p")
-        )
-        .select(
-            *of_file,
-            F.array_join(F.transform("p", lambda r: r["message"]), "\n").alias("message"),
-            F.col("owner.block").alias("block"),
-            F.col("owner.chunk").alias("chunk"),
-            F.col("p")[0]["part"].alias("part"),
-        )
+    # Lines with nothing before them in the file stay single.
+    gathered = edges.groupBy(*of_file, "owner", "orphan").agg(
+        F.array_sort(F.collect_list(F.struct("block", "chunk", "part", "message"))).alias("p")
     )
-    orphans = edges.filter(F.col("owner").isNull()).select(
-        *of_file, F.explode(F.split("message", "\n")).alias("message"), "block", "chunk", "part"
+    text = F.array_join(F.transform("p", lambda r: r["message"]), "\n")
+    joined = gathered.select(
+        *of_file,
+        F.explode(
+            F.when(F.col("orphan"), F.split(text, "\n")).otherwise(F.array(text))
+        ).alias("message"),
+        F.col("owner.block").alias("block"),
+        F.col("owner.chunk").alias("chunk"),
+        F.col("p")[0]["part"].alias("part"),
     )
     columns = ["file", "message", "block", "chunk", "part", *carry]
-    return (
-        whole.select(*columns)
-        .unionByName(joined.select(*columns))
-        .unionByName(orphans.select(*columns))
-    )
+    return whole.select(*columns).unionByName(joined.select(*columns))
 
 
 def _json_source(

@@ -50,6 +50,14 @@ def _bucket_frame(store: Store, buckets: list[datetime]) -> DataFrame:
     return F.broadcast(frame)  # bounded: 288 narrow rows for each day that is recomputed
 
 
+def _rows_of(logs: DataFrame, store: Store, buckets: list[datetime]) -> DataFrame:
+    """Log rows of the given buckets; days without any of them are not read."""
+    days = sorted({b.date() for b in buckets})
+    wanted = _bucket_frame(store, buckets).withColumnRenamed("bucket", "_bucket")
+    rows = logs.filter(F.col("day").isin(days)).withColumn("_bucket", bucket(F.col("ts")))
+    return rows.join(wanted, "_bucket", "left_semi").drop("_bucket")
+
+
 def recompute(
     store: Store,
     buckets: Iterable[datetime],
@@ -66,16 +74,14 @@ def recompute(
         return
     low, high = starts[0], starts[-1] + timedelta(seconds=BUCKET_SECONDS)
     chosen = _bucket_frame(store, starts)
-    stored = time_range(store.read("log_entries"), low - timedelta(seconds=max_gap_seconds), high)
-    has_holes = len(starts) * BUCKET_SECONDS < (high - low).total_seconds()
-
+    ahead = -(-max_gap_seconds // BUCKET_SECONDS)
+    stored = time_range(store.read("log_entries"), low - timedelta(seconds=BUCKET_SECONDS * ahead), high)
     inside = time_range(stored, low, high)
-    if has_holes:
-        inside = (
-            inside.withColumn("_b", bucket(F.col("ts")))
-            .join(chosen.withColumnRenamed("bucket", "_b"), "_b", "left_semi")
-            .drop("_b")
-        )
+    if len(starts) * BUCKET_SECONDS < (high - low).total_seconds():
+        # Scattered buckets (late lines of other days): only they and what may pair with them.
+        around = {b - timedelta(seconds=BUCKET_SECONDS * k) for b in starts for k in range(ahead + 1)}
+        stored = _rows_of(stored, store, sorted(around))
+        inside = _rows_of(inside, store, starts)
     pairs = pairing.pair_requests(stored, max_gap_seconds)
     resolved = pairing.resolve(inside, pairs).persist(StorageLevel.MEMORY_AND_DISK)
     try:

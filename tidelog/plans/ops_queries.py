@@ -48,7 +48,7 @@ _STATUS = """
               CAST(NULL AS INT) AS restarts,
               CASE WHEN p_partkey % 4 = 0 THEN 'running' WHEN p_partkey % 3 = 0 THEN 'unhealthy'
                    WHEN p_partkey % 3 = 1 THEN 'healthy' ELSE 'running' END AS status
-       FROM part WHERE p_partkey <> 1"""
+       FROM part WHERE concat(p_name, ' ', p_partkey) <> 'red widget 1'"""
 )
 def container_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts")
@@ -575,7 +575,7 @@ def rollup_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ROLLUPS
-    + f"""SELECT method, route, sum(calls) AS calls, round(100.0::DOUBLE * sum(errors) / sum(calls), 1) AS error_pct,
+    + f"""SELECT method, route, CAST(sum(calls) AS BIGINT) AS calls, round(100.0::DOUBLE * sum(errors) / sum(calls), 1) AS error_pct,
                  round(max(p95_ms), 6) AS worst_p95_ms FROM endpoint_rollup WHERE bucket > {_SINCE}
           GROUP BY 1, 2 ORDER BY calls DESC, method, route LIMIT 5"""
 )

@@ -164,7 +164,7 @@ def endpoint_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ROLLUPS
     + """
-    SELECT service, sum(timed) AS timed, sum(calls) AS calls FROM (
+    SELECT service, CAST(sum(timed) AS BIGINT) AS timed, CAST(sum(calls) AS BIGINT) AS calls FROM (
       SELECT service, timed, 0 AS calls FROM log_rollup
       UNION ALL SELECT service, 0, calls FROM endpoint_rollup) GROUP BY service"""
 )
@@ -185,9 +185,9 @@ def rollup_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
            round(req_errors / nullif(timed, 0), 6) AS error_rate,
            round((apdex_s + apdex_t / 2.0) / nullif(timed, 0), 6) AS apdex
     FROM (SELECT time_bucket(INTERVAL '1 hour', bucket) AS bucket, host, service,
-                 sum(errors) AS errors, sum(warns) AS warns, sum(total) AS total,
-                 sum(timed) AS timed, sum(req_errors) AS req_errors, sum(apdex_s) AS apdex_s,
-                 sum(apdex_t) AS apdex_t, max(max_ms) AS max_ms
+                 CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(warns) AS BIGINT) AS warns, CAST(sum(total) AS BIGINT) AS total,
+                 CAST(sum(timed) AS BIGINT) AS timed, CAST(sum(req_errors) AS BIGINT) AS req_errors, CAST(sum(apdex_s) AS BIGINT) AS apdex_s,
+                 CAST(sum(apdex_t) AS BIGINT) AS apdex_t, max(max_ms) AS max_ms
           FROM log_rollup GROUP BY 1, 2, 3)"""
 )
 def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

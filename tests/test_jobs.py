@@ -194,3 +194,16 @@ def test_verdicts_of_files(spark):
     early = diagnose.selected_activity(selected, logs, files, selected.limit(0), now, 100).collect()
     assert {r["service"]: r["verdict"] for r in early} == {"s1": "collected", "s2": "too early to judge", "s3": "too early to judge"}
     assert diagnose.rollup_lag(logs, spark.createDataFrame([], "bucket timestamp")).first()["verdict"] == "never"
+
+
+def test_versions_are_published_whole_and_old_ones_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    root = store.path("cert_expiry")
+    rows = [("d", "h", T0, 1, "i", T0, None)]
+    for n in range(5):
+        frame = spark.createDataFrame(rows * (n + 1), schemas.schema("cert_expiry"))
+        staged = tables.stage_version(frame, root)
+        assert store.read("cert_expiry").count() == n  # not visible yet
+        tables.publish_version(spark, root, staged)
+        assert store.read("cert_expiry").count() == n + 1
+    assert len(tables._versions(spark, root)) == tables.KEPT_VERSIONS

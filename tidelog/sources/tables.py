@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import date, timezone
 
@@ -13,6 +14,8 @@ from tidelog.functions.timing import time_range
 from tidelog.session import cut_lineage
 from tidelog.sources import ingest
 
+KEPT_VERSIONS = 3
+
 
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -94,23 +97,29 @@ def replace_buckets(
 
 
 def stage_version(df: DataFrame, root: str) -> str:
-    """Write a whole new version of a keyed table next to the current one."""
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    return version
+    """Write a whole new version of a keyed table where no reader looks yet."""
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(staged)
+    return staged
+
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    if not exists(spark, root):
+        return []
+    fs, where = _filesystem(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
+    return sorted(n for n in names if n.startswith("v-"))
 
-def publish_version(spark: SparkSession, root: str, version: str) -> None:
-    """Point readers to a staged version: they see the old or the new one, never a mix."""
+
+def publish_version(spark: SparkSession, root: str, staged: str) -> None:
+    """Make a staged version the newest one with a single rename: readers see the old or the
+    new table, never a mix. The last versions stay for queries still reading them."""
     fs, _ = _filesystem(spark, root)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    pointer, temporary = path(f"{root}/_current"), path(f"{root}/_current.{version}")
-    stream = fs.create(temporary, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(temporary, pointer)
+    if not fs.rename(path(staged), path(f"{root}/v-{time.time_ns():020d}")):
+        raise OSError(f"could not publish {staged}")
+    for old in _versions(spark, root)[:-KEPT_VERSIONS]:
+        fs.delete(path(f"{root}/{old}"), True)
 
 
 def write_version(df: DataFrame, root: str) -> None:
@@ -118,14 +127,7 @@ def write_version(df: DataFrame, root: str) -> None:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    if not exists(spark, f"{root}/_current"):
-        return None
-    fs, _ = _filesystem(spark, root)
-    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_current"))
-    try:
-        return bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
+    return max(_versions(spark, root), default=None)
 
 
 def read_version(spark: SparkSession, root: str, table: str) -> DataFrame:

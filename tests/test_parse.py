@@ -89,8 +89,8 @@ def test_source_time_zone_and_utc_suffix(spark):
         ("/root/.pm2/logs/api-out-3.log", "api", "pm2", "stdout"),
         ("/root/.pm2/logs/api-error.log", "api", "pm2", "stderr"),
         (
-            "/root/.pm2/logs/AtriaForce-Backend-Prod-out-17__2026-08-11_23-14-00.log",
-            "AtriaForce-Backend-Prod", "pm2", "stdout",
+            "/root/.pm2/logs/Shop-Backend-Prod-out-17__2026-08-11_23-14-00.log",
+            "Shop-Backend-Prod", "pm2", "stdout",
         ),
         ("/var/log/nginx/access.log", "access", "nginx", None),
         ("/var/log/app/prod-out.log", "backend", "pm2", "stdout"),

@@ -183,6 +183,13 @@ def sequence_hash(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def blocks(batches: Iterator, rows: int = 1000) -> Iterator:
+    """The Arrow batches of a task in blocks of few rows, so that memory stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def one_thread() -> None:
     """Native libraries of a Python worker must not start threads of their own."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import blocks
 from tidelog.llm.tokens import encoder
 
 _PIECES = (
@@ -124,22 +125,20 @@ def pack_documents(
         def frame(found: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(found, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
-            names = batch["doc_id"].tolist()
+        for batch in blocks(batches):
+            found: list[tuple] = []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for at in range(0, len(texts), 1000):
-                found: list[tuple] = []
-                for name, ids in zip(names[at : at + 1000], encode.encode(texts[at : at + 1000])):
-                    ids += end
-                    tokens = len(ids) // width
-                    document = held[row] = [name, ids, 0, tokens, tokens]
-                    found += rows(packer.place(row, tokens))
-                    if document[4]:  # what is still open is the end of the document
-                        document[2] = tokens - document[4]
-                        document[1] = ids[document[2] * width :]
-                    row += 1
-                if found:
-                    yield frame(found)
+            for name, ids in zip(batch["doc_id"].tolist(), encode.encode(texts)):
+                ids += end
+                tokens = len(ids) // width
+                document = held[row] = [name, ids, 0, tokens, tokens]
+                found += rows(packer.place(row, tokens))
+                if document[4]:  # what is still open is the end of the document
+                    document[2] = tokens - document[4]
+                    document[1] = ids[document[2] * width :]
+                row += 1
+            if found:
+                yield frame(found)
         if found := rows(packer.finish()):
             yield frame(found)
 

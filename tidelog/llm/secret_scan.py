@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import blocks
+
 KINDS = ("assign", "access", "hex")
 _NULL_ID = -(2**63) + 1  # inside tasks, for rows without doc_id
 _ASSIGN = re.compile(
@@ -229,7 +231,7 @@ def scan_secrets(docs: DataFrame, mask: str = "***") -> DataFrame:
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in blocks(batches):
             rows = []
             for name, text in zip(batch["doc_id"].tolist(), batch["text"]):
                 known = isinstance(text, str)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix, sequence_hash, word_hashes
+from tidelog.llm.common import blocks, mix, sequence_hash, word_hashes
 from tidelog.llm.fm_index import FmIndex
 
 WORDS = 13
@@ -70,25 +70,18 @@ class Runs:
         return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
 
 
-def _blocks(batch: pd.DataFrame, rows: int = 2000) -> Iterator[pd.DataFrame]:
-    for at in range(0, len(batch), rows):
-        yield batch.iloc[at : at + rows]
-
-
 def _minimizers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for part in _blocks(batch):
-            runs = Runs(part["text"].tolist())
-            yield pd.DataFrame({"minimizer": runs.minimizer, "doc_id": part["doc_id"].to_numpy()[runs.document]}).drop_duplicates()
+    for part in blocks(batches):
+        runs = Runs(part["text"].tolist())
+        yield pd.DataFrame({"minimizer": runs.minimizer, "doc_id": part["doc_id"].to_numpy()[runs.document]}).drop_duplicates()
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for part in _blocks(batch):
-            runs = Runs(part["text"].tolist())
-            yield pd.DataFrame(
-                {"minimizer": runs.minimizer, "key": part["key"].to_numpy()[runs.document], "place": runs.place.astype(np.int32)}
-            )
+    for part in blocks(batches):
+        runs = Runs(part["text"].tolist())
+        yield pd.DataFrame(
+            {"minimizer": runs.minimizer, "key": part["key"].to_numpy()[runs.document], "place": runs.place.astype(np.int32)}
+        )
 
 
 def _chosen(part: pd.DataFrame, runs: Runs) -> np.ndarray:
@@ -103,30 +96,28 @@ def _chosen(part: pd.DataFrame, runs: Runs) -> np.ndarray:
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct runs of a batch with their words and the smallest and largest document."""
-    for batch in batches:
-        for part in _blocks(batch):
-            runs = Runs(part["text"].tolist())
-            chosen = _chosen(part, runs)
-            frame = pd.DataFrame(
-                {"run": runs.hashes(chosen), "minimizer": runs.minimizer[chosen], "at": chosen, "doc_id": part["doc_id"].to_numpy()[runs.document[chosen]]}
-            )
-            frame = frame.groupby("run", sort=False).agg(
-                minimizer=("minimizer", "first"), low=("doc_id", "min"), high=("doc_id", "max"), at=("at", "first")
-            ).reset_index()
-            frame["words"] = [runs.packed(at) for at in frame.pop("at").tolist()]
-            if len(frame):
-                yield frame
+    for part in blocks(batches):
+        runs = Runs(part["text"].tolist())
+        chosen = _chosen(part, runs)
+        frame = pd.DataFrame(
+            {"run": runs.hashes(chosen), "minimizer": runs.minimizer[chosen], "at": chosen, "doc_id": part["doc_id"].to_numpy()[runs.document[chosen]]}
+        )
+        frame = frame.groupby("run", sort=False).agg(
+            minimizer=("minimizer", "first"), low=("doc_id", "min"), high=("doc_id", "max"), at=("at", "first")
+        ).reset_index()
+        frame["words"] = [runs.packed(at) for at in frame.pop("at").tolist()]
+        if len(frame):
+            yield frame
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for part in _blocks(batch):
-            runs = Runs(part["text"].tolist())
-            chosen = _chosen(part, runs)
-            document = runs.document[chosen]
-            yield pd.DataFrame(
-                {"run": runs.hashes(chosen), "key": part["key"].to_numpy()[document], "doc_id": part["doc_id"].to_numpy()[document], "place": runs.place[chosen].astype(np.int32)}
-            )
+    for part in blocks(batches):
+        runs = Runs(part["text"].tolist())
+        chosen = _chosen(part, runs)
+        document = runs.document[chosen]
+        yield pd.DataFrame(
+            {"run": runs.hashes(chosen), "key": part["key"].to_numpy()[document], "doc_id": part["doc_id"].to_numpy()[document], "place": runs.place[chosen].astype(np.int32)}
+        )
 
 
 def shard_answers(rows: pd.DataFrame) -> pd.DataFrame:
@@ -183,7 +174,7 @@ def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts without the words that windows at `starts` cover."""
-    for batch in batches:
+    for batch in blocks(batches):
         out = []
         for name, text, starts in zip(batch["name"], batch["text"], batch["starts"]):
             words = (text or "").encode("utf-8", "surrogatepass").split()

@@ -19,13 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh_folder
+from tidelog.llm.common import blocks, fresh_folder
 from tidelog.llm.tokens import encoder
 
 _NULL_ID = -(2**63) + 1  # in files, for rows without doc_id
 _ENTRY = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("count", "<i8")])
 _MANIFEST = "part long, ids string, sizes string, docs long, tokens long"
-_CHUNK = 1 << 22  # bytes of ids written at once
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -55,21 +54,19 @@ def write_token_files(
         target, where = _place(name)
         count = tokens = 0
         ids = sizes = None
-        for batch in batches:
+        for rows in blocks(batches):
             if ids is None:
                 ids = target.open_output_stream(where + ".ids")
                 sizes = target.open_output_stream(where + ".sizes")
-            for at in range(0, len(batch), 1000):
-                rows = batch.iloc[at : at + 1000]
-                found = encode.encode([t if isinstance(t, str) else "" for t in rows["text"]])
-                entry = np.zeros(len(rows), dtype=_ENTRY)
-                entry["doc_id"] = rows["doc_id"].to_numpy()
-                entry["count"] = [len(x) // width + 1 for x in found]
-                entry["start"] = tokens + np.cumsum(entry["count"]) - entry["count"]
-                ids.write(end.join(found) + end)
-                sizes.write(entry.tobytes())
-                count += len(rows)
-                tokens += int(entry["count"].sum())
+            found = encode.encode([t if isinstance(t, str) else "" for t in rows["text"]])
+            entry = np.zeros(len(rows), dtype=_ENTRY)
+            entry["doc_id"] = rows["doc_id"].to_numpy()
+            entry["count"] = [len(x) // width + 1 for x in found]
+            entry["start"] = tokens + np.cumsum(entry["count"]) - entry["count"]
+            ids.write(end.join(found) + end)
+            sizes.write(entry.tobytes())
+            count += len(rows)
+            tokens += int(entry["count"].sum())
         if ids is not None:
             ids.close()
             sizes.close()

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fit_logistic, is_held_out, sigmoid, training_rows
+from tidelog.llm.common import blocks, fit_logistic, is_held_out, sigmoid, training_rows
 
 SAMPLE_ROWS = 1500  # labelled texts of either class that a model is fitted on, at most
 LANDMARKS = 96
@@ -287,12 +287,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(shared.value) if shared.value else None
-        for batch in batches:
+        for batch in blocks(batches, 500):
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for at in range(0, len(texts), 500):
-                part = texts[at : at + 500]
-                values = scorer(part) if scorer else np.zeros(len(part))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + 500], "score": values})
+            values = scorer(texts) if scorer else np.zeros(len(texts))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": values})
 
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id")
     scored = docs.select(known, "text").mapInPandas(score, "doc_id long, score double")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix, sequence_hash, word_hashes, written
+from tidelog.llm.common import blocks, mix, sequence_hash, word_hashes, written
 
 WORDS = 5
 _SMALL = 200_000  # rows up to which a counted side is broadcast
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, node (signature of the set), n_shingles, for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in blocks(batches):
             nodes, counts = [], []
             for own in shingle_sets(batch["text"].tolist()):
                 nodes.append(_signature(own))
@@ -80,7 +80,7 @@ def screen(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in blocks(batches):
             tokens, nodes, needs = [], [], []
             for own in shingle_sets(batch["text"].tolist()):
                 n = len(own)
@@ -112,12 +112,11 @@ def full_sets(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """node, n, tokens (packed) of the sets in `marked`, which has one row (d, h) per node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                found = list(shingle_sets(batch["text"].iloc[at : at + 1000].tolist()))
-                yield pd.DataFrame(
-                    {"node": [_signature(s) for s in found], "n": [len(s) for s in found], "tokens": [s.tobytes() for s in found]}
-                )
+        for batch in blocks(batches):
+            found = list(shingle_sets(batch["text"].tolist()))
+            yield pd.DataFrame(
+                {"node": [_signature(s) for s in found], "n": [len(s) for s in found], "tokens": [s.tobytes() for s in found]}
+            )
 
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
     texts = docs.select("doc_id", "text").join(_few(marked), same).select("text")
@@ -138,28 +137,23 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                own = [_tokens(raw) for raw in part["tokens"]]
-                size = [len(x) for x in own]
-                yield pd.DataFrame({"token": np.concatenate(own), "node": np.repeat(part["node"].to_numpy(), size), "n": np.repeat(part["n"].to_numpy(), size)})
+        for batch in blocks(batches, 500):
+            own = [_tokens(raw) for raw in batch["tokens"]]
+            size = [len(x) for x in own]
+            yield pd.DataFrame({"token": np.concatenate(own), "node": np.repeat(batch["node"].to_numpy(), size), "n": np.repeat(batch["n"].to_numpy(), size)})
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in blocks(batches):
             out = []
-            for node, n, own in zip(batch["node"], batch["n"], batch["own"]):
-                known = sorted((e["count"], e["token"]) for e in own)
-                single, lack = n - len(known), missing(n)
-                count = np.array([c for c, _ in known[: max(0, lack + _LONGEST - single)]], dtype=float)
-                best = None
+            for node, n, single, counts, tokens in batch[["node", "n", "single", "counts", "tokens"]].itertuples(index=False):
+                lack, best = missing(n), None
                 for length in range(1, min(_LONGEST, n - lack) + 1):
-                    read = count[: max(0, lack + length - single)].sum()
+                    read = counts[: max(0, lack + length - single)].sum()
                     cost = read * (1.0 + _VERIFY / length)
                     if best is None or cost < best[0]:
                         best = (cost, length)
                 length = best[1]
-                for k, (_, token) in enumerate(known[: max(0, lack + length - single)]):
+                for k, token in enumerate(tokens[: max(0, lack + length - single)].tolist()):
                     out.append((token, node, n, single + k, length))
             if out:
                 yield pd.DataFrame(out, columns=["token", "node", "n", "place", "want"])
@@ -167,6 +161,12 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
     rows = sets.mapInPandas(explode, "token long, node long, n int")
     counts = rows.groupBy("token").count().where("count > 1")
     lists = rows.join(counts, "token").groupBy("node", "n").agg(F.collect_list(F.struct("count", "token")).alias("own"))
+    single = F.col("n") - F.size("own")
+    lack = F.col("n") - F.ceil(F.col("n") * F.lit(4) / F.lit(5) - F.lit(1e-9)).cast("int")
+    own = F.slice(F.sort_array("own"), 1, F.greatest(F.lit(0), lack + _LONGEST - single))
+    lists = lists.select("node", "n", single.alias("single"), own.alias("own"))
+    lists = lists.select("node", "n", "single", F.col("own.count").alias("counts"), F.col("own.token").alias("tokens"))
+    lists = lists.where(F.size("counts") > 0)
     return lists.mapInPandas(choose, "token long, node long, n int, place int, want int")
 
 

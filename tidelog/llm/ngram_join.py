@@ -10,8 +10,8 @@ asks for more matches; each document takes the length that promises the least wo
 2. The rest are put in the order of exact document frequency, rare ones first, and each chooses
    its l from the frequencies in its prefix.
 3. Within the documents of a shingle, links are looked for in three steps: every document with
-   its best pivot, every document with all its pivots, then whatever pairs of different
-   components are left. Pairs known to be connected are not compared again, so a large group of
+   its best pivot, documents with random pivots of other components, then whatever pairs of
+   different components are left. Pairs known to be connected are not compared again, so a large group of
    copies costs a number of comparisons in proportion to its size.
 """
 
@@ -30,6 +30,8 @@ WORDS = 5
 _SMALL = 200_000  # rows up to which a counted side is broadcast
 _SCREEN = 16  # in the first step l is n // 16, and at least 1
 _LONGEST = 4  # largest l of the second step
+_PIVOTS = 4  # random pivots of a shingle in each turn
+_TURNS = 2  # turns of the second step, at most
 _VERIFY = 8.0  # cost of comparing two sets, in list entries read
 
 
@@ -225,49 +227,60 @@ def _with_components(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.join(own, "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
 
 
-def _possible() -> Column:
-    """Whether a shingle can be one of the first l that (n, place, want) and (n2, place2, want2)
-    share if they are linked: fewer than l shared ones stand before it, the rest must suffice."""
+def _possible(before: Column) -> Column:
+    """Whether two sets can be linked if they share a shingle at places `place` and `place2` and
+    `before` shared ones stand before it: sizes must fit, and what follows must suffice."""
     least = F.ceil((F.col("n") + F.col("n2")) * F.lit(4) / F.lit(9) - F.lit(1e-9))
     rest = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    before = F.least(F.least("place", "place2"), F.least("want", "want2") - 1)
     return (5 * F.least("n", "n2") >= 4 * F.greatest("n", "n2")) & (before + rest >= least)
 
 
+def _stars(entries: DataFrame, order: Column) -> DataFrame:
+    """node, node2: each document of a shingle with the shingle's pivot, the least by `order`."""
+    own = F.struct(order.alias("order"), "node", "n", "place", "want")
+    pivots = entries.groupBy("token").agg(F.min(own).alias("p"), F.count("*").alias("many")).where("many > 1")
+    pivots = pivots.select("token", *[F.col(f"p.{c}").alias(f"{c}2") for c in ("node", "n", "place", "want")])
+    before = F.least(F.least("place", "place2"), F.least("want", "want2") - 1)
+    found = entries.join(pivots, "token").where("node <> node2").where(_possible(before))
+    return found.select("node", "node2")
+
+
 def alike_sets(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """node, component of all nodes in `marked` that have a link."""
     sets = written(full_sets(docs, marked), "sets")
     entries = written(prefix_entries(sets), "prefixes")
-    pivots = entries.groupBy("token").agg(F.min(F.struct("node", "n", "place", "want")).alias("p"), F.count("*").alias("many"))
-    pivots = pivots.where("many > 1").select(
-        "token", F.col("p.node").alias("node2"), F.col("p.n").alias("n2"), F.col("p.place").alias("place2"), F.col("p.want").alias("want2")
-    )
-    stars = entries.join(pivots, "token").where("node <> node2").where(_possible())
-    stars = stars.groupBy("node", "node2").agg(F.count("*").alias("met"))
-    stars = written(stars, "stars")
+    stars = _stars(entries, F.struct("node")).groupBy("node", "node2").agg(F.count("*").alias("met"))
     best = stars.groupBy("node").agg(F.max(F.struct("met", F.col("node2").alias("pivot"))).alias("m"))
     first = best.select(F.col("node").alias("a"), F.col("m.pivot").alias("b"))
     edges = written(linked(first, sets), "edges")
     known = written(components(edges), "components")
 
-    open_stars = _with_components(stars.select("node", "node2"), known)
-    other = known.select(F.col("node").alias("node2"), F.col("component").alias("c2"))
-    open_stars = open_stars.join(other, "node2", "left").where(F.col("component") != F.coalesce("c2", "node2"))
-    second = open_stars.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    edges = edges.union(written(linked(second, sets), "edges"))
-    known = written(components(edges), "components")
+    for turn in range(_TURNS):
+        pairs = None
+        for seed in range(turn * _PIVOTS, (turn + 1) * _PIVOTS):
+            found = _with_components(_stars(entries, F.struct(F.xxhash64(F.lit(seed), "token", "node"))), known)
+            other = known.select(F.col("node").alias("node2"), F.col("component").alias("c2"))
+            found = found.join(other, "node2", "left").where(F.col("component") != F.coalesce("c2", "node2"))
+            found = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+            pairs = found if pairs is None else pairs.union(found)
+        more = written(linked(written(pairs.distinct(), "pairs"), sets), "edges")
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+        known = written(components(edges), "components")
 
     third = written(remaining_pairs(entries, known), "pairs")
     if third.isEmpty():
         return known
     edges = edges.union(written(linked(third, sets), "edges"))
-    return components(edges)
+    return written(components(edges), "components")
 
 
 def remaining_pairs(entries: DataFrame, known: DataFrame) -> DataFrame:
     """Every pair (a, b) in different components that shares enough prefix shingles.
 
-    For each shingle, the documents outside its largest component meet all its documents.
+    For each shingle, the documents outside its largest component meet all its documents. A pair
+    comes out once, at the first shingle its prefixes share.
     """
     rows = _with_components(entries, known)
     sides = rows.groupBy("token", "component").agg(F.count("*").alias("many"))
@@ -275,17 +288,18 @@ def remaining_pairs(entries: DataFrame, known: DataFrame) -> DataFrame:
         F.max(F.struct("many", "component")).alias("m"), F.count("*").alias("sides")
     )
     main = main.where("sides > 1").select("token", F.col("m.component").alias("main"))
-    rows = written(rows.join(main, "token"), "entries")
+    listed = F.sort_array(F.collect_list(F.struct("place", "token")))
+    prefixes = entries.groupBy("node").agg(listed.alias("p")).select("node", F.col("p.token").alias("prefix"))
+    rows = written(rows.join(main, "token").join(prefixes, "node"), "entries")
     few = rows.where("component <> main")
-    all_rows = rows.select(
-        F.col("token").alias("token2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("place").alias("place2"),
-        F.col("want").alias("want2"), F.col("component").alias("component2"),
-    )
+    all_rows = rows.drop("main").toDF(*[f"{c}2" for c in rows.drop("main").columns])
     once = (F.col("component2") == F.col("main")) | (F.col("node") < F.col("node2"))
-    same = (F.col("token") == F.col("token2")) & (F.col("component") != F.col("component2")) & once & _possible()
-    met = few.join(all_rows, same).groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    met = met.agg(F.count("*").alias("met"), F.max(F.least("want", "want2")).alias("need"))
-    return met.where("met >= need").select("a", "b")
+    same = (F.col("token") == F.col("token2")) & (F.col("component") != F.col("component2")) & once
+    both = F.array_intersect("prefix", "prefix2")
+    first = F.element_at(both, 1) == F.col("token")
+    enough = F.size(both) >= F.least("want", "want2")
+    met = few.join(all_rows, same & _possible(F.lit(0)) & first & enough)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -59,7 +59,9 @@ class FmIndex:
 
     def __init__(self, symbols: np.ndarray, longest: int) -> None:
         self.longest = longest
-        alphabet = int(symbols.max(initial=0)) + 1
+        self.known = int(symbols.max(initial=0)) + 1
+        symbols = np.append(symbols, self.known)  # an end that no pattern contains
+        alphabet = self.known + 1
         rank, step = symbols.astype(np.int64), 1
         while step < longest:
             after = np.zeros_like(rank)
@@ -89,7 +91,7 @@ class FmIndex:
         Symbols outside the alphabet match nothing.
         """
         out = np.zeros(len(stream), dtype=np.int64)
-        known = (stream >= 0) & (stream < len(self.below) - 1)
+        known = (stream >= 0) & (stream < self.known)
         active = np.flatnonzero(known)
         for length in range(1, self.longest + 1):
             active = active[active + length <= len(stream)]

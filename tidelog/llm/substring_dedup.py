@@ -5,8 +5,10 @@ Windows are dealt to shards by content: a window belongs to its minimizer, the s
 its runs of five words. Neighbouring windows with one minimizer travel together as a run. Only
 minimizers that two documents have can hold a repeated window, so
 
-1. the minimizers of all documents are counted, and each document learns its shared ones;
-2. runs with shared minimizers go to the shard of the minimizer, equal runs of a batch once;
+1. the minimizers of all documents are counted, and each document learns its shared ones; very
+   frequent ones, found in a bounded sample, are known to be shared and are not dealt at all;
+2. every distinct run with a shared minimizer is sent by its first document to the shard of the
+   minimizer;
 3. each shard builds a compressed FM-index over its distinct runs, streams them through it by
    backward search, and reports for every window the smallest document in its interval;
 4. the answers go back to the documents, which drop the covered words.
@@ -21,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks, mix, sequence_hash, word_hashes
+from tidelog.llm.common import blocks, mix, sequence_hash, word_hashes, written
 from tidelog.llm.fm_index import FmIndex
 
 WORDS = 13
 _SEED = 5  # words of a minimizer
 _BYTES = 6  # bytes of a word's hash that a shard sees
+_SAMPLE = 20_000  # documents looked at to find minimizers that very many have
+_OFTEN = 40
 _SHARD = 2_000_000  # words in one index, about
 
 
@@ -70,17 +74,16 @@ class Runs:
         return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
 
 
-def _minimizers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in blocks(batches):
-        runs = Runs(part["text"].tolist())
-        yield pd.DataFrame({"minimizer": runs.minimizer, "doc_id": part["doc_id"].to_numpy()[runs.document]}).drop_duplicates()
-
-
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in blocks(batches):
         runs = Runs(part["text"].tolist())
         yield pd.DataFrame(
-            {"minimizer": runs.minimizer, "key": part["key"].to_numpy()[runs.document], "place": runs.place.astype(np.int32)}
+            {
+                "minimizer": runs.minimizer,
+                "doc_id": part["doc_id"].to_numpy()[runs.document],
+                "key": part["key"].to_numpy()[runs.document],
+                "place": runs.place.astype(np.int32),
+            }
         )
 
 
@@ -94,30 +97,39 @@ def _chosen(part: pd.DataFrame, runs: Runs) -> np.ndarray:
     return np.concatenate(picked) if picked else np.zeros(0, dtype=np.int64)
 
 
-def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct runs of a batch with their words and the smallest and largest document."""
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of each document at its listed places."""
     for part in blocks(batches):
         runs = Runs(part["text"].tolist())
         chosen = _chosen(part, runs)
-        frame = pd.DataFrame(
-            {"run": runs.hashes(chosen), "minimizer": runs.minimizer[chosen], "at": chosen, "doc_id": part["doc_id"].to_numpy()[runs.document[chosen]]}
+        document = runs.document[chosen]
+        yield pd.DataFrame(
+            {
+                "run": runs.hashes(chosen),
+                "doc_id": part["doc_id"].to_numpy()[document],
+                "key": part["key"].to_numpy()[document],
+                "place": runs.place[chosen].astype(np.int32),
+            }
         )
-        frame = frame.groupby("run", sort=False).agg(
-            minimizer=("minimizer", "first"), low=("doc_id", "min"), high=("doc_id", "max"), at=("at", "first")
-        ).reset_index()
-        frame["words"] = [runs.packed(at) for at in frame.pop("at").tolist()]
-        if len(frame):
-            yield frame
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of the runs that a document was chosen to give, as it has them first."""
     for part in blocks(batches):
         runs = Runs(part["text"].tolist())
         chosen = _chosen(part, runs)
         document = runs.document[chosen]
-        yield pd.DataFrame(
-            {"run": runs.hashes(chosen), "key": part["key"].to_numpy()[document], "doc_id": part["doc_id"].to_numpy()[document], "place": runs.place[chosen].astype(np.int32)}
+        frame = pd.DataFrame(
+            {
+                "run": runs.hashes(chosen),
+                "minimizer": runs.minimizer[chosen],
+                "low": part["doc_id"].to_numpy()[document],
+                "words": [runs.packed(at) for at in chosen.tolist()],
+            }
         )
+        high = {k: dict(zip(p.tolist(), h.tolist())) for k, (p, h) in enumerate(zip(part["places"], part["highs"]))}
+        frame["high"] = [high[d][p] for d, p in zip(document.tolist(), runs.place[chosen].tolist())]
+        yield frame
 
 
 def shard_answers(rows: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +156,7 @@ def shard_answers(rows: pd.DataFrame) -> pd.DataFrame:
     for at in range(0, len(start), 200_000):
         part = start[at : at + 200_000]
         left[at : at + len(part)], right[at : at + len(part)] = index.intervals(text[part[:, None] + np.arange(WORDS)])
-    run_at = np.repeat(np.arange(len(low)), length + 1)
+    run_at = np.append(np.repeat(np.arange(len(low)), length + 1), 0)  # the end is in no interval
     smallest = np.append(low["low"].to_numpy()[run_at[index.order]], np.iinfo(np.int64).max)
     edges, back = np.unique(left, return_inverse=True)
     ends = np.zeros(len(edges), dtype=np.int64)
@@ -193,6 +205,20 @@ def _strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["name", "n_words", "n_removed", "kept"])
 
 
+def hot_minimizers(docs: DataFrame) -> DataFrame:
+    """Minimizers that very many documents have, from about `_SAMPLE` documents chosen by key.
+
+    What `_OFTEN` documents of the sample share is shared for certain and need not be counted;
+    no other minimizer is likely to stand in more than a few thousandths of all documents. At
+    most sampled runs / `_OFTEN` rows, whatever the size of the table.
+    """
+    share = min(1.0, _SAMPLE / max(1, docs.count()))
+    few = docs.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    rows = few.mapInPandas(_places, "minimizer long, doc_id long, key long, place int")
+    counts = rows.groupBy("minimizer").agg(F.countDistinct("doc_id").alias("n"))
+    return written(counts.where(F.col("n") >= _OFTEN).select("minimizer"), "hot")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept for every row of `docs` (doc_id, text).
 
@@ -205,20 +231,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key")
     )
     usable = keyed.where("doc_id is not null and text is not null")
-    seen = usable.select("doc_id", "text").mapInPandas(_minimizers, "minimizer long, doc_id long")
-    shared = seen.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "minimizer long, doc_id long, key long, place int"
+    hot = F.broadcast(hot_minimizers(usable))
+    rows = usable.mapInPandas(_places, schema)
+    dealt_rows = rows.join(hot, "minimizer", "left_anti").repartition(parts, "minimizer")
+    shared = dealt_rows.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = shared.where("low < high").select("minimizer")
-    places = usable.select("key", "text").mapInPandas(_places, "minimizer long, key long, place int")
-    places = places.join(shared, "minimizer", "left_semi").groupBy("key")
+    places = dealt_rows.join(shared, "minimizer", "left_semi").select("key", "place")
+    places = places.union(rows.join(hot, "minimizer", "left_semi").select("key", "place")).groupBy("key")
     places = places.agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "key_")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     dealt = keyed.repartition(parts, "key")
     mine = dealt.join(places, F.col("key") == F.col("key_")).select("key", "doc_id", "text", "places")
-    contents = mine.select("doc_id", "text", "places").mapInPandas(
-        _contents, "run long, minimizer long, low long, high long, words binary"
-    )
+    runs = mine.mapInPandas(_occurrences, "run long, doc_id long, key long, place int")
+    givers = runs.groupBy("run").agg(F.min(F.struct("doc_id", "key", "place")).alias("m"), F.max("doc_id").alias("high"))
+    givers = givers.groupBy(F.col("m.key").alias("key_")).agg(F.collect_list(F.struct("m.place", "high")).alias("g"))
+    givers = givers.select("key_", F.col("g.place").alias("places"), F.col("g.high").alias("highs"))
+    giving = dealt.join(givers, F.col("key") == F.col("key_")).select("key", "doc_id", "text", "places", "highs")
+    contents = giving.mapInPandas(_contents, "run long, minimizer long, low long, words binary, high long")
     answers = contents.repartition(parts, "minimizer").mapInPandas(_answers, "run long, firsts array<long>")
-    found = mine.mapInPandas(_occurrences, "run long, key long, doc_id long, place int").join(answers, "run")
+    found = runs.join(answers, "run")
     starts = F.filter(
         F.transform("firsts", lambda first, k: F.when(first < F.col("doc_id"), F.col("place") + k)), lambda x: x.isNotNull()
     )

@@ -84,7 +84,10 @@ def fit_quality(rows: Sequence[tuple[int, int, str]]) -> QualityModel | None:
         for own in _own_lines(texts):
             samples = [p for t in own for p in _pieces(t)]
             size = min(_DICTIONARY, max(1024, sum(map(len, samples)) // 8))
-            made.append(zstandard.train_dictionary(size, samples).as_bytes())
+            try:
+                made.append(zstandard.train_dictionary(size, samples).as_bytes())
+            except zstandard.ZstdError:  # too little text to train on: the text itself serves
+                made.append(b"".join(samples)[:size] or b"\x00" * 8)
         return made
 
     halves = [[own[k::2] for own in sides] for k in (0, 1)]

@@ -28,7 +28,7 @@ from tidelog.llm.fm_index import FmIndex
 
 WORDS = 13
 _SEED = 5  # words of a minimizer
-_BYTES = 6  # bytes of a word's hash that a shard sees
+_BYTES = 5  # bytes of a word's hash that a shard sees
 _SAMPLE = 20_000  # documents looked at to find minimizers that very many have
 _OFTEN = 40
 _SHARD = 2_000_000  # words in one index, about
@@ -81,7 +81,6 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             {
                 "minimizer": runs.minimizer,
                 "doc_id": part["doc_id"].to_numpy()[runs.document],
-                "key": part["key"].to_numpy()[runs.document],
                 "place": runs.place.astype(np.int32),
             }
         )
@@ -214,7 +213,7 @@ def hot_minimizers(docs: DataFrame) -> DataFrame:
     """
     share = min(1.0, _SAMPLE / max(1, docs.count()))
     few = docs.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = few.mapInPandas(_places, "minimizer long, doc_id long, key long, place int")
+    rows = few.mapInPandas(_places, "minimizer long, doc_id long, place int")
     counts = rows.groupBy("minimizer").agg(F.countDistinct("doc_id").alias("n"))
     return written(counts.where(F.col("n") >= _OFTEN).select("minimizer"), "hot")
 
@@ -224,7 +223,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the words left by single spaces. A
     null text has no words. A document without id keeps all words and takes none from others;
-    documents that share an id do not take words from each other. Words are compared by 48 bits
+    documents that share an id do not take words from each other. Words are compared by 40 bits
     of their hashes inside one minimizer of 64 bits.
     """
     keyed = docs.select(
@@ -232,32 +231,38 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     usable = keyed.where("doc_id is not null and text is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "minimizer long, doc_id long, key long, place int"
+    schema = "minimizer long, doc_id long, place int"
     hot = F.broadcast(hot_minimizers(usable))
     rows = usable.mapInPandas(_places, schema)
     dealt_rows = rows.join(hot, "minimizer", "left_anti").repartition(parts, "minimizer")
     shared = dealt_rows.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = shared.where("low < high").select("minimizer")
-    places = dealt_rows.join(shared, "minimizer", "left_semi").select("key", "place")
-    places = places.union(rows.join(hot, "minimizer", "left_semi").select("key", "place")).groupBy("key")
-    places = places.agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "key_")
-
-    dealt = keyed.repartition(parts, "key")
-    mine = dealt.join(places, F.col("key") == F.col("key_")).select("key", "doc_id", "text", "places")
+    places = dealt_rows.join(shared, "minimizer", "left_semi").select("doc_id", "place")
+    places = places.union(rows.join(hot, "minimizer", "left_semi").select("doc_id", "place")).groupBy("doc_id")
+    places = places.agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "deal_")
+
+    # Rows with one doc_id share a list of places: it may name too many, which costs a look.
+    dealt = keyed.withColumn("deal", F.coalesce("doc_id", "key")).repartition(parts, "deal")
+    known = dealt.where("doc_id is not null and text is not null")
+    mine = known.join(places, F.col("deal") == F.col("deal_")).select("key", "doc_id", "text", "places")
     runs = mine.mapInPandas(_occurrences, "run long, doc_id long, key long, place int")
     givers = runs.groupBy("run").agg(F.min(F.struct("doc_id", "key", "place")).alias("m"), F.max("doc_id").alias("high"))
-    givers = givers.groupBy(F.col("m.key").alias("key_")).agg(F.collect_list(F.struct("m.place", "high")).alias("g"))
-    givers = givers.select("key_", F.col("g.place").alias("places"), F.col("g.high").alias("highs"))
-    giving = dealt.join(givers, F.col("key") == F.col("key_")).select("key", "doc_id", "text", "places", "highs")
+    givers = givers.groupBy(F.col("m.doc_id").alias("deal_"), F.col("m.key").alias("key_"))
+    givers = givers.agg(F.collect_list(F.struct("m.place", "high")).alias("g"))
+    givers = givers.select("deal_", "key_", F.col("g.place").alias("places"), F.col("g.high").alias("highs"))
+    # The second equality is written so that it does not ask for another shuffle of the texts.
+    same = (F.col("deal") == F.col("deal_")) & (F.col("key").bitwiseXOR(F.col("key_")) == 0)
+    giving = known.join(givers, same).select("key", "doc_id", "text", "places", "highs")
     contents = giving.mapInPandas(_contents, "run long, minimizer long, low long, words binary, high long")
     answers = contents.repartition(parts, "minimizer").mapInPandas(_answers, "run long, firsts array<long>")
     found = runs.join(answers, "run")
     starts = F.filter(
         F.transform("firsts", lambda first, k: F.when(first < F.col("doc_id"), F.col("place") + k)), lambda x: x.isNotNull()
     )
-    found = found.select("key", starts.alias("starts")).where(F.size("starts") > 0)
-    found = found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")).withColumnRenamed("key", "key_")
-    all_rows = dealt.join(found, F.col("key") == F.col("key_"), "left")
+    found = found.select("doc_id", "key", starts.alias("starts")).where(F.size("starts") > 0)
+    found = found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = found.withColumnsRenamed({"doc_id": "deal_", "key": "key_"})
+    all_rows = dealt.join(found, same, "left")
     all_rows = all_rows.select(F.col("doc_id").cast("string").alias("name"), "text", "starts")
     out = all_rows.mapInPandas(_strip, "name string, n_words long, n_removed long, kept string")
     return out.select(F.col("name").cast("long").alias("doc_id"), "n_words", "n_removed", "kept")

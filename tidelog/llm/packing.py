@@ -141,6 +141,7 @@ def pack_documents(
                 yield frame(found)
         if found := rows(packer.finish()):
             yield frame(found)
+        encode.cache.clear()  # the worker lives on; what it does next needs the memory
 
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id")
     pieces = docs.select(known, "text").mapInPandas(pack, _PIECES)

@@ -143,3 +143,29 @@ def test_day_predicate_prunes_partitions(spark, tmp_path):
     stored = tables.read_table(spark, path, "log_entries")
     plan = time_range(stored, "2026-01-02", "2026-01-02 12:00:00")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(ts)" in plan
+
+
+def test_days_of_any_century_are_listed(spark, tmp_path):
+    for name in ("day=1970-01-01", "day=2024-01-05", "day=__HIVE_DEFAULT_PARTITION__", "_temporary"):
+        (tmp_path / name).mkdir()
+    assert [str(d) for d in tables.list_days(spark, str(tmp_path))] == ["1970-01-01", "2024-01-05"]
+
+
+def test_container_without_name_is_not_excluded(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"message": "a"}\n{"message": "b", "container_name": "store"}\n')
+    rows = files.read_container_json(spark, str(tmp_path / "c.json"), exclude=["store"]).collect()
+    assert [r.message for r in rows] == ["a"]
+
+
+def test_size_beyond_a_long_counts_as_nothing(spark):
+    from tidelog.functions.text import size_bytes
+
+    rows = spark.createDataFrame([("1.5KiB",), ("9" * 400 + "GiB",)], "t string")
+    assert [r[0] for r in rows.select(size_bytes(F.col("t"))).collect()] == [1536, 0]
+
+
+def test_infinite_duration_is_none(spark):
+    from tidelog.operators.pairing import _own_duration
+
+    rows = spark.createDataFrame([((float("inf"),),), ((float("nan"),),), ((2.0,),)], "attrs struct<duration_ms: double>")
+    assert [r[0] for r in rows.select(_own_duration()).collect()] == [None, None, 2.0]

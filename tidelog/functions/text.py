@@ -320,4 +320,4 @@ def size_bytes(text: Column) -> Column:
     for name, size in P.SIZE_UNITS.items():
         factor = F.when(unit == name, F.lit(size)).otherwise(factor)
     number = extract(F.trim(text), P.SIZE_TEXT, 1).try_cast("double")
-    return F.coalesce((number * factor).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce((number * factor).try_cast("bigint"), F.lit(0).cast("bigint"))

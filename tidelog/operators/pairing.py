@@ -59,7 +59,9 @@ def pair_requests(logs: DataFrame, max_gap_seconds: int = MAX_GAP_SECONDS) -> Da
 
 
 def _own_duration() -> Column:
-    return F.when(F.col("attrs.duration_ms") >= 0, F.col("attrs.duration_ms"))
+    """Infinite and undefined durations count as none: no later step could rank them."""
+    own = F.col("attrs.duration_ms")
+    return F.when((own >= 0) & (own < float("inf")), own)
 
 
 def resolve(logs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -30,9 +30,8 @@ def service_and_kind(raw: DataFrame, name_map: DataFrame | None = None) -> DataF
     path = get("file")
     named = F.lit(None).cast("string")
     if name_map is not None and "file" in raw.columns:
-        names = name_map.select(
-            F.col("stem").alias("_stem"), F.col("name").alias("_named")
-        ).dropDuplicates(["_stem"])
+        # Of two names for one stem, always the same one.
+        names = name_map.groupBy(F.col("stem").alias("_stem")).agg(F.min("name").alias("_named"))
         raw = raw.withColumn("_stem", X.file_stem(path)).join(small_side(names), "_stem", "left")
         named = F.col("_named")
     nginx = F.startswith(path, F.lit(P.NGINX_PREFIX))

@@ -184,7 +184,8 @@ def read_container_json(
     """Container log export; the containers named in `exclude` (the log store's own) are left out."""
     events = _json_source(spark, path, schemas.CONTAINER_DDL, streaming)
     if exclude:
-        events = events.filter(~F.col("container_name").isin(*exclude))
+        # A container without a name is none of those to leave out.
+        events = events.filter(F.coalesce(~F.col("container_name").isin(*exclude), F.lit(True)))
     return events
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from datetime import date, timezone
@@ -137,13 +138,16 @@ def read_version(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schemas.schema(table)).parquet(f"{root}/{version}")
 
 
+_DAY_FOLDER = re.compile(r"day=\d{4}-\d{2}-\d{2}")
+
+
 def list_days(spark: SparkSession, path: str) -> list[date]:
     """Day partitions of a table, from the folder names alone (no data is read)."""
     if not exists(spark, path):
         return []
     fs, where = _filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()]
-    return sorted(date.fromisoformat(n[4:]) for n in names if n.startswith("day=2"))
+    return sorted(date.fromisoformat(n[4:]) for n in names if _DAY_FOLDER.fullmatch(n))
 
 
 def drop_days(spark: SparkSession, path: str, days: list[date]) -> None:

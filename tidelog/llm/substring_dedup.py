@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import blocks, mix, sequence_hash, word_hashes, written
@@ -231,27 +231,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     usable = keyed.where("doc_id is not null and text is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "minimizer long, doc_id long, place int"
     hot = F.broadcast(hot_minimizers(usable))
-    rows = usable.mapInPandas(_places, schema)
-    dealt_rows = rows.join(hot, "minimizer", "left_anti").repartition(parts, "minimizer")
-    shared = dealt_rows.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = shared.where("low < high").select("minimizer")
-    places = dealt_rows.join(shared, "minimizer", "left_semi").select("doc_id", "place")
-    places = places.union(rows.join(hot, "minimizer", "left_semi").select("doc_id", "place")).groupBy("doc_id")
-    places = places.agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "deal_")
-
-    # Rows with one doc_id share a list of places: it may name too many, which costs a look.
-    dealt = keyed.withColumn("deal", F.coalesce("doc_id", "key")).repartition(parts, "deal")
-    known = dealt.where("doc_id is not null and text is not null")
-    mine = known.join(places, F.col("deal") == F.col("deal_")).select("key", "doc_id", "text", "places")
+    rows = usable.mapInPandas(_places, "minimizer long, doc_id long, place int")
+    # A window, as a join back to the rows would shuffle them again; it spills a large group.
+    alike = Window.partitionBy("minimizer")
+    counted = rows.join(hot, "minimizer", "left_anti").select(
+        "doc_id", "place", F.min("doc_id").over(alike).alias("low"), F.max("doc_id").over(alike).alias("high")
+    )
+    places = counted.where("low < high").select("doc_id", "place")
+    places = places.union(rows.join(hot, "minimizer", "left_semi").select("doc_id", "place"))
+    places = places.repartition(parts, "doc_id").groupBy(F.col("doc_id").alias("deal_"))
+    places = places.agg(F.collect_set("place").alias("places"))
+
+    # Rows with one doc_id share a list of places: it may name too many, which costs a look. All
+    # three joins below use the same shuffle of the texts, so none may add a filter of its own.
+    known = usable.repartition(parts, "doc_id")
+    mine = known.join(places, F.col("doc_id") == F.col("deal_")).select("key", "doc_id", "text", "places")
     runs = mine.mapInPandas(_occurrences, "run long, doc_id long, key long, place int")
     givers = runs.groupBy("run").agg(F.min(F.struct("doc_id", "key", "place")).alias("m"), F.max("doc_id").alias("high"))
-    givers = givers.groupBy(F.col("m.doc_id").alias("deal_"), F.col("m.key").alias("key_"))
-    givers = givers.agg(F.collect_list(F.struct("m.place", "high")).alias("g"))
+    givers = givers.select(F.col("m.doc_id").alias("deal_"), F.col("m.key").alias("key_"), "m.place", "high")
+    givers = givers.repartition(parts, "deal_").groupBy("deal_", "key_").agg(F.collect_list(F.struct("place", "high")).alias("g"))
     givers = givers.select("deal_", "key_", F.col("g.place").alias("places"), F.col("g.high").alias("highs"))
     # The second equality is written so that it does not ask for another shuffle of the texts.
-    same = (F.col("deal") == F.col("deal_")) & (F.col("key").bitwiseXOR(F.col("key_")) == 0)
+    same = (F.col("doc_id") == F.col("deal_")) & (F.col("key").bitwiseXOR(F.col("key_")) == 0)
     giving = known.join(givers, same).select("key", "doc_id", "text", "places", "highs")
     contents = giving.mapInPandas(_contents, "run long, minimizer long, low long, words binary, high long")
     answers = contents.repartition(parts, "minimizer").mapInPandas(_answers, "run long, firsts array<long>")
@@ -260,9 +262,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.transform("firsts", lambda first, k: F.when(first < F.col("doc_id"), F.col("place") + k)), lambda x: x.isNotNull()
     )
     found = found.select("doc_id", "key", starts.alias("starts")).where(F.size("starts") > 0)
-    found = found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = found.repartition(parts, "doc_id").groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     found = found.withColumnsRenamed({"doc_id": "deal_", "key": "key_"})
-    all_rows = dealt.join(found, same, "left")
+    all_rows = known.join(found, same, "left").select("doc_id", "text", "starts")
+    rest = keyed.where("doc_id is null or text is null")
+    all_rows = all_rows.union(rest.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts")))
     all_rows = all_rows.select(F.col("doc_id").cast("string").alias("name"), "text", "starts")
     out = all_rows.mapInPandas(_strip, "name string, n_words long, n_removed long, kept string")
     return out.select(F.col("name").cast("long").alias("doc_id"), "n_words", "n_removed", "kept")

@@ -164,12 +164,23 @@ def test_latest_status_decides(spark):
     assert {r["key"] for r in conditions.unhealthy(t, 60, AS_OF).collect()} == {"c", "f"}
 
 
-def test_disk_key_for_one_and_for_several_hosts(spark):
+def test_hosts_are_judged_apart(spark):
+    ddl = "ts timestamp, host string, service string, kind string, restarts int, status string"
+    at = [NOW - timedelta(seconds=k) for k in (20, 10)]
+    rows = [(t, h, "api", "pm2", n, s) for h, n, s in (("A", 500, "unhealthy"), ("B", 2, "online")) for t in at]
+    rows += [(NOW - timedelta(seconds=1), "B", "api", "pm2", 5, "online")]
+    t = {"metrics": spark.createDataFrame(rows, ddl)}
+    assert [tuple(r) for r in conditions.crash_loop(t, 300, AS_OF).collect()] == [("api", 3.0, 3.0)]
+    for condition in (conditions.service_down, conditions.unhealthy):
+        assert [r["key"] for r in condition(t, 300, AS_OF).collect()] == ["api"]
+
+
+def test_disk_key_names_the_host(spark):
     ddl = "ts timestamp, host string, disk_used bigint, disk_total bigint"
     one = spark.createDataFrame([(NOW, "h1", 91, 100), (NOW - timedelta(seconds=9), "h1", 10, 100)], ddl)
     two = one.unionByName(spark.createDataFrame([(NOW, "h2", 5, 0)], ddl))
     got = conditions.disk({"host_metrics": one}, 300, AS_OF).collect()
-    assert [(r["key"], r["value"]) for r in got] == [("_host_", 91.0)]
+    assert [(r["key"], r["value"]) for r in got] == [("_host_:h1", 91.0)]
     got = conditions.disk({"host_metrics": two}, 300, AS_OF).collect()
     assert {r["key"]: r["value"] for r in got} == {"_host_:h1": 91.0, "_host_:h2": None}
 

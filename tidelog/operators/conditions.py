@@ -73,42 +73,48 @@ def error_rate(t: Tables, window: int, as_of: Moment) -> DataFrame:
 
 
 def crash_loop(t: Tables, window: int, as_of: Moment) -> DataFrame:
+    """Restarts on one host; the worst host speaks for the service."""
     rows = recent(t["metrics"], as_of, window).filter(
         (F.col("kind") == "pm2") & F.col("restarts").isNotNull()
     )
-    delta = rows.groupBy("service").agg((F.max("restarts") - F.min("restarts")).alias("n"))
-    return _measured(delta, "service", F.col("n"))
+    per_host = rows.groupBy("service", "host").agg((F.max("restarts") - F.min("restarts")).alias("n"))
+    return _measured(per_host.groupBy("service").agg(F.max("n").alias("n")), "service", F.col("n"))
 
 
 def _latest_status(t: Tables, seconds: int, as_of: Moment) -> DataFrame:
+    """Newest status of every service on every host."""
     return (
         recent(t["metrics"], as_of, seconds)
-        .groupBy("service")
+        .groupBy("service", "host")
         .agg(F.max(F.struct("ts", "status")).alias("last"))
         .select("service", F.col("last.status").alias("status"))
     )
 
 
 def service_down(t: Tables, window: int, as_of: Moment) -> DataFrame:
+    """Services that are down on at least one host."""
     last = _latest_status(t, max(window, DOWN_MIN_WINDOW), as_of)
-    return _measured(last.filter(~F.col("status").isin(*HEALTHY)), "service", F.lit(1))
+    down = last.filter(~F.col("status").isin(*HEALTHY)).select("service").distinct()
+    return _measured(down, "service", F.lit(1))
 
 
 def unhealthy(t: Tables, window: int, as_of: Moment) -> DataFrame:
+    """Services that are unhealthy on at least one host."""
     last = _latest_status(t, max(window, UNHEALTHY_MIN_WINDOW), as_of)
-    return _measured(last.filter(F.col("status") == "unhealthy"), "service", F.lit(1))
+    failing = last.filter(F.col("status") == "unhealthy").select("service").distinct()
+    return _measured(failing, "service", F.lit(1))
 
 
 def disk(t: Tables, window: int, as_of: Moment) -> DataFrame:
-    """Newest sample of each host; the key names the host when there are several."""
+    """Newest sample of each host. The key always names the host, so that an alert keeps its
+    key when other hosts come and go."""
     last = (
         recent(t["host_metrics"], as_of, window)
         .groupBy("host")
         .agg(F.max(F.struct("ts", "disk_used", "disk_total")).alias("l"))
         .withColumn("pct", F.lit(100.0) * F.col("l.disk_used") / F.nullif("l.disk_total", F.lit(0)))
     )
-    many = last.limit(2).count() > 1
-    key = F.concat(F.lit(HOST_KEY + ":"), F.col("host")) if many else F.lit(HOST_KEY)
+    key = F.concat(F.lit(HOST_KEY + ":"), F.coalesce("host", F.lit("unknown")))
     return _measured(last.withColumn("key", key), "key", F.col("pct"), F.round("pct"))
 
 

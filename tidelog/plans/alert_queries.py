@@ -54,8 +54,8 @@ LIMITS = {
 }
 
 _LATEST = f"""
-    SELECT service, arg_max(status, (ts, status)) AS status FROM metrics
-    WHERE ts > {_since(MONTH)} GROUP BY service"""
+    SELECT service, host, arg_max(status, (ts, status)) AS status FROM metrics
+    WHERE ts > {_since(MONTH)} GROUP BY service, host"""
 
 # kind -> (CTEs needed, SQL of key and value for rows that fire)
 _CONDITION_SQL = {
@@ -67,14 +67,15 @@ _CONDITION_SQL = {
                             AND starts_with(l.body, left(g.sample, 40)))
         GROUP BY 1 HAVING count(*) > {LIMITS["error_rate"]}""",
     "crash_loop": f"""
-        SELECT service AS key, CAST(max(restarts) - min(restarts) AS DOUBLE) AS value FROM metrics
-        WHERE ts > {_since(MONTH)} AND kind = 'pm2' AND restarts IS NOT NULL
-        GROUP BY 1 HAVING max(restarts) - min(restarts) > {LIMITS["crash_loop"]}""",
+        SELECT service AS key, CAST(max(n) AS DOUBLE) AS value FROM (
+          SELECT service, host, max(restarts) - min(restarts) AS n FROM metrics
+          WHERE ts > {_since(MONTH)} AND kind = 'pm2' AND restarts IS NOT NULL GROUP BY 1, 2)
+        GROUP BY 1 HAVING max(n) > {LIMITS["crash_loop"]}""",
     "service_down": f"""
-        SELECT service AS key, 1.0::DOUBLE AS value FROM ({_LATEST})
+        SELECT DISTINCT service AS key, 1.0::DOUBLE AS value FROM ({_LATEST})
         WHERE status NOT IN ('online', 'running', 'healthy')""",
     "unhealthy": f"""
-        SELECT service AS key, 1.0::DOUBLE AS value FROM ({_LATEST}) WHERE status = 'unhealthy'""",
+        SELECT DISTINCT service AS key, 1.0::DOUBLE AS value FROM ({_LATEST}) WHERE status = 'unhealthy'""",
     "disk": f"""
         SELECT concat('_host_:', host) AS key, round(v) AS value FROM (
           SELECT host, 100.0::DOUBLE * arg_max(disk_used, (ts, disk_used))

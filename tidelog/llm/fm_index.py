@@ -72,15 +72,20 @@ class FmIndex:
         self.matrix = WaveletMatrix(symbols[self.order - 1], alphabet)
         self.below = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=alphabet))))
 
-    def intervals(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range of the suffix order that begins with each row of `patterns`; empty if none does."""
-        low = np.zeros(len(patterns), dtype=np.int64)
-        high = np.full(len(patterns), len(self.order), dtype=np.int64)
-        active = np.arange(len(patterns))
-        for column in range(patterns.shape[1] - 1, -1, -1):
+    def intervals(self, patterns: np.ndarray, occur: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Range of the suffix order that begins with each row of `patterns`; empty if none does.
+
+        With `occur` all patterns are known to occur, so a range of one suffix stays one.
+        """
+        last = patterns[:, -1]
+        low, high = self.below[last].copy(), self.below[last + 1].copy()
+        active = np.flatnonzero(low < high)
+        for column in range(patterns.shape[1] - 2, -1, -1):
             symbol = patterns[active, column]
             new_low = self.below[symbol] + self.matrix.rank(symbol, low[active])
-            new_high = self.below[symbol] + self.matrix.rank(symbol, high[active])
+            new_high = new_low + 1
+            wide = np.flatnonzero(high[active] - low[active] > 1) if occur else np.arange(len(active))
+            new_high[wide] = self.below[symbol[wide]] + self.matrix.rank(symbol[wide], high[active[wide]])
             low[active], high[active] = new_low, new_high
             active = active[new_low < new_high]
         return low, high

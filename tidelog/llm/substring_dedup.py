@@ -6,7 +6,7 @@ its runs of five words. Neighbouring windows with one minimizer travel together
 minimizers that two documents have can hold a repeated window, so
 
 1. the minimizers of all documents are counted, and each document learns its shared ones; very
-   frequent ones, found in a bounded sample, are known to be shared and are not dealt at all;
+   frequent ones, found in a bounded sample, are known to be shared and are spread, not gathered;
 2. every distinct run with a shared minimizer is sent by its first document to the shard of the
    minimizer;
 3. each shard builds a compressed FM-index over its distinct runs, streams them through it by
@@ -29,6 +29,8 @@ from tidelog.llm.fm_index import FmIndex
 WORDS = 13
 _SEED = 5  # words of a minimizer
 _BYTES = 5  # bytes of a word's hash that a shard sees
+_SHORT = (1 << 48) - 1  # of a minimizer, when counted: one shared by chance only costs a look
+_SPREAD = 997  # parts of the rows of a very frequent minimizer
 _SAMPLE = 20_000  # documents looked at to find minimizers that very many have
 _OFTEN = 40
 _SHARD = 2_000_000  # words in one index, about
@@ -79,7 +81,7 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = Runs(part["text"].tolist())
         yield pd.DataFrame(
             {
-                "minimizer": runs.minimizer,
+                "minimizer": runs.minimizer & _SHORT,
                 "doc_id": part["doc_id"].to_numpy()[runs.document],
                 "place": runs.place.astype(np.int32),
             }
@@ -154,7 +156,7 @@ def shard_answers(rows: pd.DataFrame) -> pd.DataFrame:
     left, right = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
     for at in range(0, len(start), 200_000):
         part = start[at : at + 200_000]
-        left[at : at + len(part)], right[at : at + len(part)] = index.intervals(text[part[:, None] + np.arange(WORDS)])
+        left[at : at + len(part)], right[at : at + len(part)] = index.intervals(text[part[:, None] + np.arange(WORDS)], True)
     run_at = np.append(np.repeat(np.arange(len(low)), length + 1), 0)  # the end is in no interval
     smallest = np.append(low["low"].to_numpy()[run_at[index.order]], np.iinfo(np.int64).max)
     edges, back = np.unique(left, return_inverse=True)
@@ -223,23 +225,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; `kept` joins the words left by single spaces. A
     null text has no words. A document without id keeps all words and takes none from others;
-    documents that share an id do not take words from each other. Words are compared by 40 bits
-    of their hashes inside one minimizer of 64 bits.
+    documents that share an id do not take words from each other and are told apart by 32 bits of
+    their hashes. Words are compared by 40 bits of their hashes inside one minimizer of 64 bits.
     """
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")
     )
     usable = keyed.where("doc_id is not null and text is not null")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_minimizers(usable))
+    hot = hot_minimizers(usable)
     rows = usable.mapInPandas(_places, "minimizer long, doc_id long, place int")
+    part = F.when(F.col("hot"), F.pmod("doc_id", F.lit(_SPREAD))).otherwise(F.lit(-1)).alias("part")
+    rows = rows.join(hot.withColumn("hot", F.lit(True)).hint("broadcast"), "minimizer", "left").select("*", part).drop("hot")
     # A window, as a join back to the rows would shuffle them again; it spills a large group.
-    alike = Window.partitionBy("minimizer")
-    counted = rows.join(hot, "minimizer", "left_anti").select(
-        "doc_id", "place", F.min("doc_id").over(alike).alias("low"), F.max("doc_id").over(alike).alias("high")
-    )
-    places = counted.where("low < high").select("doc_id", "place")
-    places = places.union(rows.join(hot, "minimizer", "left_semi").select("doc_id", "place"))
+    alike = Window.partitionBy("minimizer", "part")
+    low, high = F.min("doc_id").over(alike).alias("low"), F.max("doc_id").over(alike).alias("high")
+    places = rows.select("doc_id", "place", "part", low, high).where("part >= 0 or low < high").select("doc_id", "place")
     places = places.repartition(parts, "doc_id").groupBy(F.col("doc_id").alias("deal_"))
     places = places.agg(F.collect_set("place").alias("places"))
 

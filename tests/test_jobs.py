@@ -196,6 +196,24 @@ def test_verdicts_of_files(spark):
     assert diagnose.rollup_lag(logs, spark.createDataFrame([], "bucket timestamp")).first()["verdict"] == "never"
 
 
+def test_a_day_without_rows_is_dropped_when_its_buckets_are_replaced(spark, tmp_path):
+    path, name = str(tmp_path / "t"), "error_group_bucket"
+    first, second = datetime(2026, 1, 9, 12), datetime(2026, 1, 10, 12)
+    columns = [f for f in schemas.schema(name).fields if f.name != "day"]
+
+    def counts(*buckets):
+        rows = spark.createDataFrame([("f", b, 1) for b in buckets], "fp string, bucket timestamp, occurrences bigint")
+        return rows.select(*[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns
+        ])
+
+    tables.replace_buckets(spark, path, name, counts(first, second), counts(first, second).select("bucket"))
+    assert tables.read_table(spark, path, name).count() == 2
+    tables.replace_buckets(spark, path, name, counts(second), counts(first, second).select("bucket"))
+    assert [r["bucket"] for r in tables.read_table(spark, path, name).collect()] == [second]
+    assert tables.list_days(spark, path) == [second.date()]
+
+
 def test_versions_are_published_whole_and_old_ones_go(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     root = store.path("cert_expiry")

@@ -88,13 +88,18 @@ def replace_buckets(
     """The given buckets become exactly the rows of `new`, which must lie inside them.
 
     Rows of other buckets on the same days are kept; other days are not read. A bucket that
-    has no rows any more ends up empty.
+    has no rows any more ends up empty, and a day without any row is dropped, since the
+    overwrite leaves days alone that it gets no row for.
     """
     old = read_table(spark, path, table)
     days = buckets.select(F.to_date("bucket").alias("day")).distinct()
     kept = old.join(days, "day", "left_semi").join(buckets, "bucket", "left_anti")
     fresh = new.withColumn("day", F.to_date("bucket"))
-    overwrite_days(kept.select(*old.columns).unionByName(fresh.select(*old.columns)), path)
+    result = cut_lineage(kept.select(*old.columns).unionByName(fresh.select(*old.columns)))
+    overwrite_days(result, path)
+    emptied = days.join(result.select("day"), "day", "left_anti").collect()  # at most the days given
+    stored = set(list_days(spark, path))
+    drop_days(spark, path, [row["day"] for row in emptied if row["day"] in stored])
 
 
 def stage_version(df: DataFrame, root: str) -> str:

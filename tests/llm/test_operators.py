@@ -319,6 +319,23 @@ def test_url_rules_and_model(spark):
     assert len(url_filter.labelled_by_rules(pages, rules, 10)) == 3
 
 
+def test_url_model_knows_bad_hosts_in_every_folder():
+    rows = url_filter.labelled_table()
+    for at in (lambda h, p: h.rsplit(".", 1)[1], lambda h, p: p[:4]):
+        shares: dict[str, list[int]] = {}
+        for host, path, label in rows:
+            shares.setdefault(at(host, path), []).append(label)
+        assert len(shares) >= 3 and {sum(own) * 3 == len(own) for own in shares.values()} == {True}
+    bad = ["casino-win", "cheap-pills", "spam-farm", "adult-x", "ads-track"]  # of the pages, not in the table
+    good = ["tiontion", "therly", "ththing", "tionble", "theror"]
+    assert not {h for h, *_ in rows if any(name in h for name in bad + good)}
+    model = url_filter.fit_url_model(rows)
+    for tld, folder in (("com", "en"), ("com", "es"), ("com", "fr"), ("org", "de"), ("org", "en"), ("org", "es")):
+        hosts = [f"{name}.example.{tld}" for name in bad + good]
+        found = url_filter.block_probability(model, hosts, [f"/{folder}/4033"] * len(hosts))
+        assert (found[: len(bad)] >= 0.5).all() and (found[len(bad) :] < 0.5).all()
+
+
 def test_kept_digest_of_nothing(spark):
     row = substring_dedup.remove_repeats(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()
     assert hashlib.sha256(row.kept.encode()).hexdigest() == hashlib.sha256(b"").hexdigest()

@@ -33,7 +33,6 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-LABELLED_URLS = 2000  # rule-judged URLs of either verdict that the model is fitted on, at most
 
 
 def _query(sql: str | None = None):
@@ -155,8 +154,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    labelled = url_filter.labelled_by_rules(pages, RULES, LABELLED_URLS)
-    return url_filter.judge_urls(pages, RULES, labelled)
+    return url_filter.judge_urls(pages, RULES, url_filter.labelled_table())
 
 
 @_query()

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import zlib
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import pytest
@@ -183,6 +186,61 @@ def test_secret_layers(spark, none):
     assert secret_scan.scan_secrets(none).count() == 0
 
 
+SECRET = "the password=abcdef12345 of wiki"
+
+
+def _lines(data: bytes, width: int, end: str = "\n") -> str:
+    coded = base64.b64encode(data).decode()
+    return end.join(coded[k : k + width] for k in range(0, len(coded), width))
+
+
+def _percent(data: bytes) -> str:
+    return quote(data, safe="")
+
+
+def _hidden() -> list[str]:
+    packed = gzip.compress(SECRET.encode() + b" " + words(5, 40).encode())
+    whole = base64.b64encode(packed).decode()
+    long = ("x" * 50 + SECRET + words(6, 20)).encode()
+    broken = bytearray(zlib.compress(SECRET.encode() + bytes(range(256)) * 4))
+    broken[-40] ^= 255
+    return [
+        *(_lines(long, w, end) for w in (20, 64, 76) for end in ("\n", "\r\n", "\n  ", "\\n")),
+        "-----BEGIN KEY-----\n" + _lines(long, 64) + "\n-----END KEY-----",
+        *(_lines(f(packed), 76) for f in (bytes, bz2.compress, lzma.compress, zlib.compress)),
+        *("id_abc"[:k] + base64.b64encode(SECRET.encode()).decode() for k in range(1, 7)),
+        *("data/"[:k] + whole for k in range(1, 6)),
+        *("abc"[:k] + SECRET.encode().hex() for k in range(1, 4)),
+        "\n".join(long.hex()[k : k + 60] for k in range(0, 2 * len(long), 60)),
+        *(_percent(f(packed)) for f in (bytes, bz2.compress, lzma.compress, zlib.compress)),
+        quote_plus(packed),
+        "b'" + "".join(f"\\x{b:02x}" for b in packed) + "'",
+        repr(packed),
+        "%ff%70%61ssword%3Dabcdef12345",
+        _percent(SECRET.encode("utf-16")),
+        *(base64.b64encode(SECRET.encode(c)).decode() for c in ("utf-16", "utf-16-be")),
+        base64.b64encode(SECRET.encode() + b"\xff\xfe\x00 end").decode(),
+        base64.b64encode(zlib.compress(SECRET.encode("utf-16"))).decode(),
+        whole[: len(whole) * 3 // 4],
+        base64.b64encode(bytes(broken)).decode(),
+    ]
+
+
+@pytest.mark.parametrize("k", range(len(_hidden())))
+def test_secret_in_hard_layers(k):
+    text = f"before it {_hidden()[k]} and after"
+    spans = [s for s in secret_scan.scan_text(text)[1] if s[2] == "assign"]
+    assert spans and all(s[0] >= 7 and s[1] <= len(text) - len(" and after") for s in spans)
+    assert not secret_scan.scan_text(secret_scan._without(text, secret_scan.ordered(spans), "***"))[1]
+
+
+def test_secret_lines_of_their_own():
+    coded = base64.b64encode(b"password=abcdef12345").decode()
+    for text in (f"some word\n{coded}\nmore", f"some-longer-word-here\n{coded}\n\nmore"):
+        at = text.index(coded)
+        assert secret_scan.scan_text(text)[1] == [(at, at + len(coded), "assign")]
+
+
 @pytest.mark.parametrize("name, width", [("byte_bpe_50k.json", 4), ("word_bpe_49k.json", 2)])
 def test_encoder_equals_library(name, width):
     own = Encoder(vocabulary(name), width)

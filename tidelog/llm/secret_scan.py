@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,8 +25,30 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # maximal runs, so the length can be
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#(\d{1,7});|&#x([0-9A-Fa-f]{1,6});")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEX_BYTES = re.compile(r"(?:[0-9a-fA-F]{2}){12,}")
+_ESCAPED_BYTES = (  # stretches that hold escaped bytes, and their units of one byte each
+    ("%", re.compile(r"[!-$&-~]*(?:%[0-9A-Fa-f]{2}[!-$&-~]*)+"), re.compile(r"%([0-9A-Fa-f]{2})|()()(.)")),
+    (
+        "\\x",
+        re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[^xuU\n]|[\x20-\[\]-~])+"),
+        re.compile(r"\\x([0-9A-Fa-f]{2})|\\([0-7]{1,3})|\\(.)|(.)"),
+    ),
+)
+_SIGNS = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13}
+_A, _X, _BREAK = r"[A-Za-z0-9+/_-]", r"[0-9a-fA-F]", r"(?:\r?\n|\\r\\n|\\n)[\x20\t>]*"
+_BASE64 = re.compile(rf"{_A}{{16,}}={{0,2}}")
+_BASE64_LINES = re.compile(rf"(?<!{_A}){_A}{{4,}}+(?:{_BREAK}{_A}++)+={{0,2}}")
+_BASE64_PART = re.compile(rf"(?:{_BREAK})?({_A}+)")
+_HEX_BYTES = re.compile(rf"{_X}{{24,}}")
+_HEX_LINES = re.compile(rf"(?<!{_X}){_X}{{4,}}+(?:{_BREAK}{_X}++)+")
+_HEX_PART = re.compile(rf"(?:{_BREAK})?({_X}+)")
+_PLAIN = rb"[\x09-\x0d\x20-\x7e]"
+_STRETCHES = (  # 12 bytes are the shortest find; finds and what encodes them are ASCII
+    re.compile(_PLAIN + rb"{12,}"),
+    re.compile(rb"(?:" + _PLAIN + rb"\0){12,}"),
+    re.compile(rb"(?:\0" + _PLAIN + rb"){12,}"),
+)
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78](?=.)", re.S)
+_STEP = 256  # packed bytes taken at once
 _BLOCK = 4 << 20  # bytes unpacked at once
 _OVERLAP = 64 << 10  # bytes that neighbouring blocks share
 
@@ -84,11 +103,8 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     return _Layer("".join(parts), places if keep else None, layer.whole)
 
 
-def _percent(m: re.Match) -> str | None:
-    try:
-        return unquote_to_bytes(m[0]).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
 
 def _escape(m: re.Match) -> str | None:
@@ -96,48 +112,107 @@ def _escape(m: re.Match) -> str | None:
     return chr(value) if value < 0x110000 and not 0xD800 <= value < 0xE000 else None
 
 
-def _unpacked(data: bytes) -> Iterator[bytes]:
-    """What compressed bytes hold, in overlapping blocks; nothing for any other bytes."""
+def _unpacker(data: bytes, at: int):
+    """What makes a worker for the compressed stream that may begin here, or None."""
     import zstandard
 
-    if data[:2] == b"\x1f\x8b":
-        reader = gzip.GzipFile(fileobj=_file(data))
-    elif data[:3] == b"BZh":
-        reader = bz2.BZ2File(_file(data))
-    elif data[:6] == b"\xfd7zXZ\x00":
-        reader = lzma.LZMAFile(_file(data))
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        reader = zstandard.ZstdDecompressor().stream_reader(_file(data))
-    elif len(data) > 2 and data[0] & 0x0F == 8 and (data[0] * 256 + data[1]) % 31 == 0:
-        yield from _inflated(data)
-        return
-    else:
-        return
-    tail = b""
-    try:
-        while block := reader.read(_BLOCK):
-            yield tail + block
-            tail = block[-_OVERLAP:]
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-        return
+    if data[at] == 0x1F:
+        return lambda: zlib.decompressobj(31)
+    if data.startswith(b"BZh", at):
+        return bz2.BZ2Decompressor
+    if data[at] == 0xFD:
+        return lzma.LZMADecompressor
+    if data.startswith(b"\x28\xb5\x2f\xfd", at):
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj if (data[at] * 256 + data[at + 1]) % 31 == 0 else None
 
 
-def _inflated(data: bytes) -> Iterator[bytes]:
-    worker, tail = zlib.decompressobj(), b""
-    try:
-        block = worker.decompress(data, _BLOCK)
-        while block:
-            yield tail + block
-            tail = block[-_OVERLAP:]
-            block = worker.decompress(worker.unconsumed_tail, _BLOCK)
-    except zlib.error:
-        return
+def _stream(make, data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of what a stream holds, each with the end of the stream if it is reached, else -1.
+
+    A broken stream gives all that comes before the broken byte, a cut one all that is there;
+    streams of one kind that follow each other are read on.
+    """
+    import zstandard
 
+    broken = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError)
+    mark, first, worker = data[at : at + 3], at, make()
+    while at < len(data):
+        try:
+            piece = worker.decompress(data[at : at + _STEP])
+        except broken:
+            try:
+                worker = make()
+                for k in range(first, at, _STEP):
+                    worker.decompress(data[k : min(k + _STEP, at)])
+                for k in range(at, min(at + _STEP, len(data))):
+                    yield worker.decompress(data[k : k + 1]), -1
+            except broken:
+                pass
+            return
+        at = min(at + _STEP, len(data))
+        if not worker.eof:
+            yield piece, -1
+            continue
+        at -= len(worker.unused_data)
+        yield piece, at
+        if data[at : at + 3] != mark:
+            return
+        first, worker = at, make()
+
+
+def _blocks(make, data: bytes, at: int) -> Iterator[bytes]:
+    """What a stream holds, in overlapping blocks."""
+    tail, held, size = b"", [], 0
+    for piece, _ in _stream(make, data, at):
+        held.append(piece)
+        size += len(piece)
+        if size >= _BLOCK:
+            block = tail + b"".join(held)
+            yield block
+            tail, held, size = block[-_OVERLAP:], [], 0
+    if size:
+        yield tail + b"".join(held)
+
+
+def _packed(data: bytes) -> Iterator[tuple[int, int, Iterator[bytes]]]:
+    """Compressed streams anywhere in the bytes: start, end, blocks of what they hold."""
+    last = 0
+    for m in _PACKED.finditer(data):
+        if m.start() < last or (make := _unpacker(data, m.start())) is None:
+            continue
+        size, end = 0, -1
+        for piece, reached in _stream(make, data, m.start()):
+            size, end = size + len(piece), max(end, reached)
+        if size:
+            last = max(last, end)
+            yield m.start(), end if end >= 0 else len(data), _blocks(make, data, m.start())
 
-def _file(data: bytes):
-    import io
 
-    return io.BytesIO(data)
+def _stretches(data: bytes, patterns=_STRETCHES) -> Iterator[tuple[str, int, int]]:
+    """ASCII text anywhere in the bytes, of one or two bytes (UTF-16) a character."""
+    for pattern in patterns:
+        for m in pattern.finditer(data):
+            yield m[0].replace(b"\0", b"").decode("ascii"), m.start(), m.end()
+
+
+def _texts(blocks: Iterator[bytes]) -> Iterator[str]:
+    """Texts of unpacked blocks and of packed data inside them, each block once. Packed data inside
+    a block is followed to the end of the block."""
+    work, seen = [blocks], set()
+    while work:
+        block = next(work[-1], None)
+        if block is None:
+            work.pop()
+            continue
+        mark = hashlib.blake2b(block, digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        yield block.decode("utf-8", "replace")
+        for text, *_ in _stretches(block, _STRETCHES[1:]):
+            yield text
+        work += [inner for *_, inner in _packed(block)]
 
 
 def _readable(data: bytes) -> str | None:
@@ -149,15 +224,108 @@ def _readable(data: bytes) -> str | None:
     return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
 
 
-def _decoded(run: str) -> list[bytes]:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    found = []
-    if len(body) % 4 != 1:
-        try:
-            found.append(base64.b64decode(body + "=" * (-len(body) % 4)))
-        except (binascii.Error, ValueError):
-            pass
-    return found
+def _base64(body: str, at: int) -> bytes:
+    part = body[at:].replace("-", "+").replace("_", "/")
+    part = part[: len(part) - (len(part) % 4 == 1)]
+    return base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _hex(body: str, at: int) -> bytes:
+    return bytes.fromhex(body[at : at + (len(body) - at) // 2 * 2])
+
+
+# Runs of one line, runs over lines, parts of those; decoder, its alignments, letters and bytes of a unit.
+_CODES = (
+    (_BASE64, _BASE64_LINES, _BASE64_PART, _base64, 4, 4, 3),
+    (_HEX_BYTES, _HEX_LINES, _HEX_PART, _hex, 2, 2, 1),
+)
+
+
+def _coded(layer: _Layer, code: tuple) -> Iterator[_Layer]:
+    """What base64 or hex runs hold, over line ends and at every alignment.
+
+    A run over several lines counts only for what really crosses a line end (four bytes on both
+    sides, or packed data that goes on); all else is found in its line, unless the line belongs
+    to such a longer range.
+    """
+    line, lines, part, decode, alignments, letters, size = code
+    text, taken = layer.text, []
+    runs = []
+    if "\n" in text or "\\n" in text:
+        for m in lines.finditer(text):
+            at, ends = [], []
+            for x in part.finditer(text, m.start(), m.end()):
+                at += range(x.start(1), x.end(1))
+                ends.append(len(at))
+            if len(at) >= 12 * letters // size:
+                runs.append((at, ends[:-1], m.end()))
+    for at, ends, stop in runs:
+        yield from _run(layer, "".join([text[k] for k in at]), at, ends, stop, taken, decode, alignments, letters, size)
+    for m in line.finditer(text):
+        if not any(a <= m.start() and m.end() <= b for a, b in taken):
+            body = m[0].rstrip("=")
+            at = range(m.start(), m.start() + len(body))
+            yield from _run(layer, body, at, [], m.end(), [], decode, alignments, letters, size)
+
+
+def _run(layer, body, at, ends, stop, taken, decode, alignments, letters, size) -> Iterator[_Layer]:
+    for offset in range(alignments):
+        data = decode(body, offset)
+
+        def place(a: int, b: int) -> tuple[int, int]:
+            """The letters that hold bytes a to b; the padding belongs to the last byte."""
+            last = offset + -(-b * letters // size)
+            end = stop if b == len(data) and last + (size > 1) >= len(body) else at[min(last, len(body)) - 1] + 1
+            return at[offset + a * letters // size], end
+
+        def crosses(a: int, b: int, least: int) -> bool:
+            edges = [(k - offset) * size / letters for k in ends]
+            return not ends or any(a + least <= k <= b - least for k in edges)
+
+        plain = _readable(data)
+        if plain is not None and offset == 0:
+            if crosses(0, len(data), 0):
+                where = place(0, len(data))
+                taken.append(where)
+                yield _Layer(plain, None, layer.span(*where))
+                return
+        for inner, a, b in _stretches(data):
+            if crosses(a, b, 4):
+                taken.append(place(a, b))
+                yield _Layer(inner, None, layer.span(*place(a, b)))
+        for a, b, blocks in _packed(data):
+            if crosses(a, b, 1):
+                where = place(a, b) if a or offset or ends else (at[0], stop)
+                if data[a] & 0x0F != 8:  # zlib's mark is too short to be sure
+                    taken.append(where)
+                for inner in _texts(blocks):
+                    yield _Layer(inner, None, layer.span(*where))
+
+
+def _escaped(layer: _Layer) -> Iterator[_Layer]:
+    """What percent- or backslash-escaped bytes hold that are packed or UTF-16."""
+    for sign, stretch, unit in _ESCAPED_BYTES:
+        if sign not in layer.text:
+            continue
+        for m in stretch.finditer(layer.text):
+            if sign not in m[0]:
+                continue
+            units = list(unit.finditer(layer.text, m.start(), m.end()))
+            data = bytes(
+                int(u[1], 16) if u[1] else int(u[2], 8) & 255 if u[2] else _SIGNS.get(u[3], ord(u[3]) & 255) if u[3] else ord(u[4])
+                for u in units
+            )
+            if _readable(data) is not None:
+                continue
+            forms = [data]
+            if sign == "%" and "+" in m[0]:  # forms write a blank as +
+                forms.append(bytes(32 if u[0] == "+" else x for u, x in zip(units, data)))
+            for form in forms:
+                for inner, a, b in _stretches(form, _STRETCHES[1:]):
+                    yield _Layer(inner, None, layer.span(units[a].start(), units[b - 1].end()))
+                for a, b, blocks in _packed(form):
+                    for inner in _texts(blocks):
+                        yield _Layer(inner, None, layer.span(units[a].start(), units[b - 1].end()))
 
 
 def _inner(layer: _Layer) -> Iterator[_Layer]:
@@ -167,23 +335,17 @@ def _inner(layer: _Layer) -> Iterator[_Layer]:
         yield new
     if ("\\" in text or "&#" in text) and (new := _rewritten(layer, _UNICODE, _escape)):
         yield new
-    for pattern, decode in ((_BASE64, _decoded), (_HEX_BYTES, lambda run: [bytes.fromhex(run)])):
-        for m in pattern.finditer(text):
-            for data in decode(m[0]):
-                whole = layer.span(m.start(), m.end())
-                plain = _readable(data)
-                if plain is not None:
-                    yield _Layer(plain, None, whole)
-                    continue
-                for block in _unpacked(data):
-                    yield _Layer(block.decode("utf-8", "replace"), None, whole)
+    yield from _escaped(layer)
+    for code in _CODES:
+        yield from _coded(layer, code)
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: the base ones and those of every inner layer.
 
-    A worklist unwraps URL escapes, Unicode escapes, base64, hex bytes and compressed data until
-    nothing new comes out. A layer with the same text at the same place is taken once, which
+    A worklist unwraps URL escapes, Unicode escapes, base64, hex bytes (both over line ends and glued
+    to letters of their own alphabet) and compressed data, also cut or broken, until nothing new
+    comes out. A layer with the same text at the same place is taken once, which
     ends cycles; apart from that every step makes a text shorter, or unpacks it. A find in an
     inner layer is mapped to the range of the original that encodes it.
     """

@@ -13,6 +13,7 @@ from urllib.parse import quote, quote_plus
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidelog.llm import (
     decontaminate,
@@ -249,6 +250,16 @@ def test_encoder_equals_library(name, width):
     assert own.encode(texts) == want and own.encode(texts) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_fresh_library(name):
+    fresh = Tokenizer.from_file(vocabulary(name))
+    fresh.encode_special_tokens = True  # as the files' README has it
+    texts = ["a \u0130stanbul b", "x DE\u011e\u0130L, y", "q \u0130", "x <|endoftext|> y", "x<|endoftext|>, <|startoftext|>"]
+    texts += [f"a {chr(c)}b x{chr(c)}y. {chr(c)}{chr(c)}" for c in range(1, 0x300)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert Encoder(vocabulary(name), 4).encode(texts) == want
+
+
 def test_packing_round_trip(docs, none):
     path = vocabulary("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, path, end_id=0, size=256, open_windows=4).collect()

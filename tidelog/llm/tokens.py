@@ -12,6 +12,7 @@ from tidelog.llm.common import one_thread
 
 _ODD_SPACE = re.compile(r" \s|[^\S ] |^ | $")
 _LATIN = 0x250  # code points below: composed already, lower case does not depend on neighbours
+_LONGER = {c for c in map(chr, range(_LATIN)) if len(c.lower()) > 1}  # U+0130: its lower case holds a mark
 _MARKS = ".,;:!?%$#&*|"  # runs of these are one unit after a word
 _CACHED = 1_000_000  # pieces a worker remembers
 
@@ -31,7 +32,8 @@ class Encoder:
     gives a space to the word after it, the other drops it. A piece therefore has the same ids
     in every text, and a worker encodes it once. A new piece that is one word of Latin letters,
     with or without marks at its end, goes straight to the library's model; all others go
-    through its whole chain. Texts with other runs of white space are encoded by themselves
+    through its whole chain, also words with a letter whose lower case is more than one
+    character. Strings of special tokens in a text are ordinary text. Texts with other runs of white space are encoded by themselves
     where the byte-level rule could look across a space.
     """
 
@@ -70,7 +72,7 @@ class Encoder:
         others = []
         for piece in pieces:
             body = piece.rstrip(_MARKS)
-            if body.isalpha() and ord(max(body)) < _LATIN:
+            if body.isalpha() and ord(max(body)) < _LATIN and _LONGER.isdisjoint(body):
                 mark = piece[len(body) :]
                 if mark not in marks:
                     marks[mark] = self._chain([mark])[0]

@@ -321,6 +321,16 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(200)]
+    same = rows[0][1]
+    rows += [(300, same)] * 30 + [(k, same) for k in range(301, 311)]  # one id 30 times beside ten others
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest_neighbours(table, F.col("vec_id") % 20 == 0).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found[:11]] == list(range(300, 311)) and len({r.vec_id for r in found}) == len(found) == 20
+
+
 def _labelled(spark, bad, good, label):
     texts = [bad(k) if k % 2 else good(k) for k in range(400)]
     docs = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)] + [(None, None, "a"), (900, "", "a")], "doc_id long, text string, score string")

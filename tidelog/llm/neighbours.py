@@ -197,7 +197,7 @@ def nearest_neighbours(
     vectors only the k + 1 smallest ids can be an answer, so the others leave before the search.
     Leaves and the queries that visit them are cut into cells of bounded size. Ties go to the
     smaller vec_id. A repeated vec_id is a candidate once per distinct vector. Tables without two
-    usable vectors give no rows.
+    usable vectors give no rows. Repeated rows count once, here and in the samples.
     """
     base = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
@@ -205,6 +205,7 @@ def nearest_neighbours(
         is_query.alias("is_query"),
     )
     base = base.where(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
+    base = base.groupBy("vec_id", "embedding").agg(F.max("is_query").alias("is_query"))
     lengths = base.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").take(1)
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -250,7 +251,7 @@ def nearest_neighbours(
             out.append(own)
         return pd.Series(out)
 
-    probes = base.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    probes = base.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding")
     probes = probes.withColumn("leaf", F.explode(leaves_of("embedding")))
     asking = {r.leaf: r["count"] for r in probes.groupBy("leaf").count().collect()}
     sizes = [(n, -(-counts[n] // _CELL), -(-asking.get(n, 0) // _CELL)) for n in counts if asking.get(n)]

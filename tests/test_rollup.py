@@ -167,3 +167,13 @@ def test_rollup_counts(spark):
     assert ends["", "/b"]["p95_ms"] is None
     hour = rollup.combine_rollups(rollup.service_rollup(resolved)).first()
     assert (hour["total"], hour["timed"], hour["apdex"]) == (6, 4, (1 + 2 / 2) / 4)
+
+
+def test_quantiles_of_null_keys(spark):
+    rows = [(None, "a", 1.0), (None, "a", 3.0), (None, None, 5.0), ("h", "a", 7.0), ("h", None, None)]
+    df = spark.createDataFrame(rows, "host string, service string, v double")
+    got = grouped_quantiles(df, ["host", "service"], "v", {"p50": 0.5}, maximum="top", counted="n")
+    assert got.columns == ["host", "service", "p50", "top", "n"]
+    assert {tuple(r) for r in got.collect()} == {
+        (None, "a", 2.0, 3.0, 2), (None, None, 5.0, 5.0, 1), ("h", "a", 7.0, 7.0, 1), ("h", None, None, None, 0)
+    }

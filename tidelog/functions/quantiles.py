@@ -40,8 +40,8 @@ def grouped_quantiles(
     """One row per `keys` with exact interpolated quantiles of `value`.
 
     `counts` are conditions whose rows are counted (also rows without a value), `maximum`
-    names the greatest value and `counted` the number of rows with a value. Key columns
-    must not be NULL.
+    names the greatest value and `counted` the number of rows with a value. NULL in a key
+    column is a group like any other: the keys travel as one struct, which joins on NULL fields too.
 
     The conditions travel as bits of one number that is part of the first grouping. Both
     users of that grouping then need exactly the same columns of it, so Spark computes its
@@ -51,22 +51,22 @@ def grouped_quantiles(
     bits = F.lit(0)
     for i, condition in enumerate(counts.values()):
         bits = bits + F.when(condition, F.lit(1 << i)).otherwise(F.lit(0))
-    fed = df.select(*keys, F.col(value).cast("double").alias("_v"), bits.alias("_bits"))
+    fed = df.select(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("_v"), bits.alias("_bits"))
     fed = fed.withColumn("_slot", _slot(F.col("_v")))
-    distinct = fed.groupBy(*keys, "_slot", "_v", "_bits").agg(F.count("*").alias("_n"))
+    distinct = fed.groupBy("_k", "_slot", "_v", "_bits").agg(F.count("*").alias("_n"))
 
     in_slot = (
-        Window.partitionBy(*keys, "_slot")
+        Window.partitionBy("_k", "_slot")
         .orderBy("_v", "_bits")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = distinct.withColumn("_upto", F.sum("_n").over(in_slot))
 
-    of_key = Window.partitionBy(*keys)
+    of_key = Window.partitionBy("_k")
     valued = F.when(F.col("_slot") != _NO_VALUE, F.col("_n")).otherwise(F.lit(0))
-    slots = distinct.groupBy(*keys, "_slot").agg(F.sum(valued).alias("_slot_n"))
+    slots = distinct.groupBy("_k", "_slot").agg(F.sum(valued).alias("_slot_n"))
     slots = slots.select(
-        *keys,
+        "_k",
         "_slot",
         (
             F.sum("_slot_n").over(
@@ -79,7 +79,7 @@ def grouped_quantiles(
 
     last = F.col("_before") + F.col("_upto")
     first = last - F.col("_n")
-    placed = ranked.join(slots, [*keys, "_slot"]).withColumns({"_first": first, "_last": last})
+    placed = ranked.join(slots, ["_k", "_slot"]).withColumns({"_first": first, "_last": last})
 
     def at(position: Column) -> Column:
         covers = (F.col("_first") <= position) & (position < F.col("_last"))
@@ -97,7 +97,7 @@ def grouped_quantiles(
         is_set = F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
         return F.sum(F.when(is_set, F.col("_n")).otherwise(F.lit(0)))
 
-    grouped = placed.groupBy(*keys).agg(
+    grouped = placed.groupBy("_k").agg(
         *[with_bit(i).alias(n) for i, n in enumerate(counts)],
         F.max("_total").alias("_total"),
         F.max("_v").alias("_max"),
@@ -109,7 +109,7 @@ def grouped_quantiles(
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return low + (high - low) * (position - F.floor(position))
 
-    out = [*keys, *counts, *[lerp(n, p).alias(n) for n, p in quantiles.items()]]
+    out = ["_k.*", *counts, *[lerp(n, p).alias(n) for n, p in quantiles.items()]]
     if maximum:
         out.append(F.col("_max").alias(maximum))
     if counted:

@@ -25,19 +25,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def logs_frame(spark, rows):
-    """log_entries rows from short tuples: id, ts, service, severity, body, attrs dict."""
-    from tidelog import schemas
-
-    names = ["duration_ms", "status", "method", "route", "req_id", "phase"]
-    data = []
-    for number, ts, service, severity, body, attrs in rows:
-        packed = tuple(attrs.get(n) for n in names) if attrs else None
-        data.append((number, ts, "h1", service, "pm2", severity, body, packed))
-    ddl = (
-        "id bigint, ts timestamp, host string, service string, kind string, severity string, "
-        f"body string, attrs {schemas.ATTRS_DDL}"
-    )
-    return spark.createDataFrame(data, ddl)

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import logs_frame
+from frames import logs_frame
 from pyspark.sql import functions as F
 
 from tidelog import schemas

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from conftest import logs_frame
+from frames import logs_frame
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

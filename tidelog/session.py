@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Texts have a few KB: a batch for a Python worker is then a few MB on both sides.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

@@ -260,6 +260,22 @@ def test_encoder_equals_fresh_library(name):
     assert Encoder(vocabulary(name), 4).encode(texts) == want
 
 
+def test_encoder_forgets_and_splits_long_texts():
+    fresh = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    fresh.encode_special_tokens = True
+    pieces = ["ab", " ", "\n", "Cé.", " ", "it's", "\t", "\n\n", "  ", " x", "\nNext", "12", "\u00a0", "%%"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(pieces, n)) for n in rng.integers(0, 40, 500)]
+    texts.append("words, one\nAfter another. " * 30_000)  # longer than a part
+    texts.append(" ".join(words(k, 50) for k in range(200)))
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    own = Encoder(vocabulary("byte_bpe_50k.json"), 4, cache_bytes=1 << 14)
+    for at in range(0, len(texts), 50):
+        assert own.encode(texts[at : at + 50]) == want[at : at + 50]
+    own.encode(["a b"])  # what one group brought has aged
+    assert own.young_bytes < 1 << 14
+
+
 def test_packing_round_trip(docs, none):
     path = vocabulary("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, path, end_id=0, size=256, open_windows=4).collect()

@@ -190,6 +190,16 @@ def blocks(batches: Iterator, rows: int = 1000) -> Iterator:
             yield batch.iloc[at : at + rows]
 
 
+def text_blocks(batches: Iterator, chars: int = 1 << 20) -> Iterator:
+    """The batches of a task in blocks whose texts have about `chars` characters together."""
+    for batch in batches:
+        sizes = batch["text"].str.len().fillna(0).to_numpy(dtype=np.int64, na_value=0) + 64
+        number = (np.cumsum(sizes) - sizes) // chars
+        for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(number)) + 1):
+            if len(rows):
+                yield batch.iloc[rows[0] : rows[-1] + 1]
+
+
 def one_thread() -> None:
     """Native libraries of a Python worker must not start threads of their own."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

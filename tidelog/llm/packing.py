@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks
+from tidelog.llm.common import text_blocks
 from tidelog.llm.tokens import encoder
 
 _PIECES = (
@@ -125,7 +125,7 @@ def pack_documents(
         def frame(found: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame(found, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in blocks(batches):
+        for batch in text_blocks(batches):
             found: list[tuple] = []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
             for name, ids in zip(batch["doc_id"].tolist(), encode.encode(texts)):
@@ -141,7 +141,6 @@ def pack_documents(
                 yield frame(found)
         if found := rows(packer.finish()):
             yield frame(found)
-        encode.cache.clear()  # the worker lives on; what it does next needs the memory
 
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id")
     pieces = docs.select(known, "text").mapInPandas(pack, _PIECES)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks, fresh_folder
+from tidelog.llm.common import fresh_folder, text_blocks
 from tidelog.llm.tokens import encoder
 
 _NULL_ID = -(2**63) + 1  # in files, for rows without doc_id
@@ -54,7 +54,7 @@ def write_token_files(
         target, where = _place(name)
         count = tokens = 0
         ids = sizes = None
-        for rows in blocks(batches):
+        for rows in text_blocks(batches):
             if ids is None:
                 ids = target.open_output_stream(where + ".ids")
                 sizes = target.open_output_stream(where + ".sizes")

@@ -14,7 +14,20 @@ _ODD_SPACE = re.compile(r" \s|[^\S ] |^ | $")
 _LATIN = 0x250  # code points below: composed already, lower case does not depend on neighbours
 _LONGER = {c for c in map(chr, range(_LATIN)) if len(c.lower()) > 1}  # U+0130: its lower case holds a mark
 _MARKS = ".,;:!?%$#&*|"  # runs of these are one unit after a word
-_CACHED = 1_000_000  # pieces a worker remembers
+_RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_LONE_SPACE = re.compile(r"\S(?= \S)")
+_CACHE_BYTES = 48 << 20  # what a worker remembers of pieces, about
+_ENTRY_BYTES = 130  # of a piece and its ids beyond their lengths: two objects and a place in a dict
+_PART = 1 << 18  # characters of text split into pieces together
+
+
+def _is_even(text: str) -> bool:
+    """White space is single blanks and line breaks between words, and nothing else."""
+    if text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        return False
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in _RARE_SPACES)
 
 
 def _byte_letters() -> list[str]:
@@ -29,15 +42,19 @@ class Encoder:
     """Ids as little-endian bytes of fixed width, equal to encoding each text by itself.
 
     Neither pre-tokenizer used here joins what a single space separates: the byte-level one
-    gives a space to the word after it, the other drops it. A piece therefore has the same ids
-    in every text, and a worker encodes it once. A new piece that is one word of Latin letters,
+    gives a space to the word after it, the other drops it. A line break alone is a unit. A piece therefore has the same ids
+    in every text, and a worker need not encode it again. A new piece that is one word of Latin letters,
     with or without marks at its end, goes straight to the library's model; all others go
     through its whole chain, also words with a letter whose lower case is more than one
-    character. Strings of special tokens in a text are ordinary text. Texts with other runs of white space are encoded by themselves
-    where the byte-level rule could look across a space.
+    character. Strings of special tokens in a text are ordinary text. Texts with other runs of
+    white space are encoded by themselves where the byte-level rule could look across a space.
+
+    The cache has two halves, young and old, of `cache_bytes` together: a piece asked for moves
+    to the young half, and when that is full the old one is dropped. Texts are worked on in
+    parts and groups of a bounded length, so memory follows neither a text nor a batch.
     """
 
-    def __init__(self, path: str, width: int = 4) -> None:
+    def __init__(self, path: str, width: int = 4, cache_bytes: int = _CACHE_BYTES) -> None:
         one_thread()
         from tokenizers import Tokenizer
 
@@ -47,6 +64,7 @@ class Encoder:
         self.dtype = np.dtype({2: "<u2", 4: "<u4"}[width])
         if self.tokenizer.get_vocab_size() > 2 ** (8 * width):
             raise ValueError("ids do not fit into the width asked for")
+        self.cache_bytes = cache_bytes
         self.model = self.tokenizer.model
         letters = _byte_letters()
         latin = [chr(c) if self.keeps_space else chr(c).lower() for c in range(_LATIN)]
@@ -54,7 +72,10 @@ class Encoder:
         self.lead = letters[0x20] if self.keeps_space else ""
         size = self.tokenizer.get_vocab_size()
         self.packed = [n.to_bytes(width, "little") for n in range(size)]
-        self.cache: dict[str, bytes] = {}  # pieces after a space
+        self.line_break = self._chain(["\n"])[0]
+        self.young: dict[str, bytes] = {}  # pieces after a space, or with the line break before them
+        self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
 
     def _chain(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -67,38 +88,94 @@ class Encoder:
         return b"".join([packed[t.id] for t in self.model.tokenize(letters)])
 
     def _learn(self, pieces: set[str]) -> None:
-        cache, letters, lead, word = self.cache, self.letters, self.lead, self._word
+        """Gives every piece an entry in the young half: from the old half, or encoded anew."""
+        young, old, letters, lead, word = self.young, self.old, self.letters, self.lead, self._word
         marks = {"": b""}
         others = []
         for piece in pieces:
-            body = piece.rstrip(_MARKS)
-            if body.isalpha() and ord(max(body)) < _LATIN and _LONGER.isdisjoint(body):
-                mark = piece[len(body) :]
+            ids = old.get(piece)
+            if ids is None:
+                bare = piece.rstrip(_MARKS)
+                body = bare.removeprefix("\n")
+                if not body.isalpha() or ord(max(body)) >= _LATIN or not _LONGER.isdisjoint(body):
+                    others.append(piece)
+                    continue
+                mark = piece[len(bare) :]
                 if mark not in marks:
                     marks[mark] = self._chain([mark])[0]
-                cache[piece] = word(lead + body.translate(letters)) + marks[mark]
-            else:
-                others.append(piece)
-        cache.update(zip(others, self._chain([" " + p for p in others])))
+                ids = young.get(bare) or old.get(bare)
+                if ids is None:
+                    begin = lead if body is bare else ""
+                    ids = word(begin + body.translate(letters))
+                    if body is not bare:
+                        ids = self.line_break + ids
+                ids += marks[mark]
+            young[piece] = ids
+            self.young_bytes += _ENTRY_BYTES + len(piece) + len(ids)
+        for piece, ids in zip(others, self._chain([p if p[:1] == "\n" else " " + p for p in others])):
+            young[piece] = ids
+            self.young_bytes += _ENTRY_BYTES + len(piece) + len(ids)
+
+    def _age(self) -> None:
+        """A full young half becomes the old one; what was not asked for since is forgotten."""
+        if self.young_bytes > self.cache_bytes // 2:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+
+    def _parts(self, text: str) -> list[str]:
+        """A long text in parts that begin with a lone space, where no id crosses."""
+        if len(text) <= _PART:
+            return [text]
+        parts, begin = [], 0
+        while len(text) - begin > _PART and (cut := _LONE_SPACE.search(text, begin + _PART)):
+            parts.append(text[begin : cut.start() + 1])
+            begin = cut.start() + 1
+        return [*parts, text[begin:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > _CACHED:
-            self.cache.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if self.keeps_space and _ODD_SPACE.search(t)]
-        for k, ids in zip(whole, self._chain([texts[k] for k in whole])):
-            out[k] = ids
-        rest = [k for k in range(len(texts)) if out[k] is None]
-        if self.keeps_space:
-            parts = [texts[k].split(" ") for k in rest]
-        else:  # white space only separates
-            parts = [texts[k].replace("\n", " ").split(" ") for k in rest]
-        first = self._chain([own.pop(0) for own in parts])
-        self._learn(set(chain.from_iterable(parts)).difference(self.cache))
-        get = self.cache.__getitem__
-        for k, begin, own in zip(rest, first, parts):
-            out[k] = b"".join([begin, *map(get, own)])
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, str, bool]] = []  # text, part of it, whether it is the first
+        size = 0
+        for k, text in enumerate(texts):
+            for n, part in enumerate(self._parts(text)):
+                group.append((k, part, n == 0))
+                size += len(part)
+                if size > _PART:
+                    self._encode_group(group, out)
+                    group, size = [], 0
+        self._encode_group(group, out)
+        return [own[0] if len(own) == 1 else b"".join(own) for own in out]
+
+    def _encode_group(self, group: list[tuple[int, str, bool]], out: list[list[bytes]]) -> None:
+        self._age()
+        odd = [False] * len(group)  # left to the library as it is
+        split = []
+        for n, (_, text, first) in enumerate(group):
+            if not self.keeps_space:  # white space only separates
+                split.append(text.replace("\n", " ").split(" "))
+            elif _is_even(text if first else text[1:]):
+                split.append(text.replace("\n", " \n").split(" "))
+            elif not _ODD_SPACE.search(text, 0 if first else 1):
+                split.append(text.split(" "))
+            else:
+                odd[n] = True
+        whole = iter(self._chain([t for (_, t, _), o in zip(group, odd) if o]))
+        begins = iter(self._chain([own.pop(0) for own in split]))
+        found = [list(map(self.young.get, own)) for own in split]
+        gaps = []
+        for own, ids in zip(split, found):
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    gaps.append((ids, at, own[at]))
+            except ValueError:
+                pass
+        self._learn({piece for *_, piece in gaps})
+        for ids, at, piece in gaps:
+            ids[at] = self.young[piece]
+        pieces = iter(found)
+        for (k, _, _), o in zip(group, odd):
+            out[k].append(next(whole) if o else b"".join([next(begins), *next(pieces)]))
 
 
 @lru_cache(maxsize=2)

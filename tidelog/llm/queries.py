@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import (
+    conversations,
     decontaminate,
     neighbours,
     ngram_join,
@@ -161,3 +162,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     return token_files.token_files(table(spark, sf_dir, "documents"), path, end_id=1)
+
+
+@_query()
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.repair_conversations(conversations.damaged(rows))
+    every = rows.select(F.col("conv_id").alias("_conv_id")).distinct()
+    nothing = {name: F.lit(0).cast("long") for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    nothing |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    joined = every.join(found, F.col("_conv_id").eqNullSafe(F.col("conv_id")), "left")
+    return joined.select(F.col("_conv_id").alias("conv_id"), *[F.coalesce(name, value).alias(name) for name, value in nothing.items()])

@@ -18,19 +18,17 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.llm.common import written
+from tidelog.llm.streams import map_records, names, runs
 
 DELETE, INSERT, REROLE, TRUNCATED = 2, 5, 1, 5  # costs; keeping is free
 SHORT_ROWS = 1000  # distinct rows of a conversation solved at once
 SHORT_CHARS = 1 << 22
 SEGMENT_ROWS = 512
-_BLOCK_ROWS = 500
 _POSITION_BITS = 40
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -229,56 +227,6 @@ _MESSAGE = "position long, role string, text string"
 _CELL = "turn long, role string, text string, copies long, is_blank boolean, is_truncated boolean"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, _BLOCK_ROWS):
-            yield from batch.slice(at, _BLOCK_ROWS).to_pylist()
-
-
-def _runs(records: Iterator[dict], key: str) -> Iterator[tuple[object, Iterator[dict]]]:
-    """Neighbours of equal `key`, each run as a stream."""
-    held = next(records, None)
-    while held is not None:
-        value, rest = held[key], [held]
-
-        def run() -> Iterator[dict]:
-            while rest and rest[0][key] == value:
-                row = rest.pop()
-                if (following := next(records, None)) is not None:
-                    rest.append(following)
-                yield row
-
-        own = run()
-        yield value, own
-        for _ in own:  # whatever the caller left
-            pass
-        held = rest[0] if rest else None
-
-
-def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += len(row.get("text") or "")
-        if len(held) >= _BLOCK_ROWS or size > SHORT_CHARS:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
-
-
-def _map(df: DataFrame, function, ddl: str) -> DataFrame:
-    """`function` over the rows of each task, as dictionaries in their order."""
-
-    schema = df.sparkSession.createDataFrame([], ddl).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(function(_records(batches)), to_arrow_schema(schema))
-
-    return df.mapInArrow(run, schema)
-
-
 def _lattice_cell(row: dict) -> tuple:
     return (row["is_blank"] or row["again"], row["role"][:1], row["is_truncated"], row["copies"])
 
@@ -324,7 +272,7 @@ def _solve_short(messages: bool, short_rows: int, segment_rows: int):
                 yield {**row, "pos": number, "segment": segment}
                 number += 1
 
-        for conv_id, run in _runs(records, "conv_id"):
+        for conv_id, run in runs(records, "conv_id"):
             if pending is not None:
                 yield from opened(pending[1]) if is_edge else whole(*pending)
                 is_edge = False
@@ -350,7 +298,7 @@ def _solve_short(messages: bool, short_rows: int, segment_rows: int):
 
 
 def _costs(records: Iterator[dict]) -> Iterator[dict]:
-    for segment, run in _runs(records, "segment"):
+    for segment, run in runs(records, "segment"):
         rows = list(run)
         costs = segment_costs(list(map(_lattice_cell, rows)))
         yield {"conv_id": rows[0]["conv_id"], "segment": segment, "costs": [c for own in costs for c in own]}
@@ -358,7 +306,7 @@ def _costs(records: Iterator[dict]) -> Iterator[dict]:
 
 def _fold(records: Iterator[dict]) -> Iterator[dict]:
     """Prices of the states after each segment, from the last segment of a conversation on."""
-    for _, run in _runs(records, "conv_id"):
+    for _, run in runs(records, "conv_id"):
         ends: list[int | None] = [0, 2 * INSERT, INSERT, 0]
         is_last = True
         for row in run:
@@ -370,7 +318,7 @@ def _fold(records: Iterator[dict]) -> Iterator[dict]:
 
 
 def _edits(records: Iterator[dict]) -> Iterator[dict]:
-    for _, run in _runs(records, "segment"):
+    for _, run in runs(records, "segment"):
         rows = list(run)
         edits = segment_edits(list(map(_lattice_cell, rows)), rows[0]["ends"], rows[0]["is_last"])
         for row, own in zip(rows, edits):
@@ -381,7 +329,7 @@ def _join_up(messages: bool):
     """Walks long conversations: before each row comes what its segment decided for it."""
 
     def walk_all(records: Iterator[dict]) -> Iterator[dict]:
-        for conv_id, run in _runs(records, "conv_id"):
+        for conv_id, run in runs(records, "conv_id"):
             walk, edits, again = Walk(), None, False
             for row in run:
                 if row["edits"] is not None:
@@ -415,9 +363,8 @@ def _repair(rows: DataFrame, messages: bool, short_rows: int, segment_rows: int)
     cells = cells.repartitionByRange("conv_id", "turn", "role", F.left("text", F.lit(64))).sortWithinPartitions(*order)
     found_ddl = f"{key}, pos long, segment long, {_CELL}"
     found_ddl += ", position long" if messages else f", {_REPORT}"
-    found = written(_map(cells, _solve_short(messages, short_rows, segment_rows), found_ddl), "conversations")
-    names = [f.name for f in rows.sparkSession.createDataFrame([], result).schema]
-    short = found.where(F.col("pos").isNull()).select(*names)
+    found = written(map_records(cells, _solve_short(messages, short_rows, segment_rows), found_ddl), "conversations")
+    short = found.where(F.col("pos").isNull()).select(*names(result))
 
     opened = found.where(F.col("pos").isNotNull())
     first = opened.groupBy("conv_id", "role", F.sha2("text", 256), F.length("text")).agg(F.min("pos").alias("pos"))
@@ -425,20 +372,16 @@ def _repair(rows: DataFrame, messages: bool, short_rows: int, segment_rows: int)
     first = first.select("pos", F.lit(False).alias("again"))
     small = small.join(first, "pos", "left").withColumn("again", F.coalesce("again", F.lit(True)))
     small = written(small, "conversation-cells")
-    costs = _map(
+    costs = map_records(
         small.repartition("segment").sortWithinPartitions("segment", "pos"), _costs, f"{key}, segment long, costs array<long>"
     )
     costs = costs.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("segment"))
-    ends = _map(costs, _fold, "segment long, ends array<long>, is_last boolean")
+    ends = map_records(costs, _fold, "segment long, ends array<long>, is_last boolean")
     placed = small.join(ends, "segment").repartition("segment").sortWithinPartitions("segment", "pos")
-    edits = _map(placed, _edits, f"{key}, pos long, again boolean, edits array<string>")
-    both = opened.select("conv_id", "pos", "segment", *_names(_CELL)).unionByName(edits, allowMissingColumns=True)
+    edits = map_records(placed, _edits, f"{key}, pos long, again boolean, edits array<string>")
+    both = opened.select("conv_id", "pos", "segment", *names(_CELL)).unionByName(edits, allowMissingColumns=True)
     both = both.repartition("conv_id").sortWithinPartitions("conv_id", "pos", F.col("edits").isNull())
-    return short.unionByName(_map(both, _join_up(messages), result))
-
-
-def _names(ddl: str) -> list[str]:
-    return [part.split()[0] for part in ddl.split(", ")]
+    return short.unionByName(map_records(both, _join_up(messages), result))
 
 
 def repair_conversations(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidelog.llm import (
     conversations,
     decontaminate,
+    fingerprints,
+    hard_negatives,
     neighbours,
     ngram_join,
     packing,
@@ -173,3 +175,35 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
     joined = every.join(found, F.col("_conv_id").eqNullSafe(F.col("conv_id")), "left")
     return joined.select(F.col("_conv_id").alias("conv_id"), *[F.coalesce(name, value).alias(name) for name, value in nothing.items()])
+
+
+@_query(
+    """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(
+            list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM e a JOIN e c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank,
+           s.vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id)
+    QUALIFY row_number() OVER w <= 10
+    """
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, lambda ids: ids % 100 == 0)
+
+
+@_query()
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -152,25 +152,28 @@ def _buckets(docs: DataFrame) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at.cast("long") * parts + part).cast("long")
 
 
-def with_next(rows: DataFrame, *columns: str) -> DataFrame:
-    """Each row with `columns` of the next document as `next_*`: descending doc_id, nulls last, ties
-    by text; after the last comes the first.
+def with_next(docs: DataFrame, derive, *columns: str) -> DataFrame:
+    """Rows of `derive(docs)`, each with `columns` of the next document as `next_*`: descending
+    doc_id, nulls last, ties by text; after the last comes the first.
 
-    Rows meet in buckets of neighbouring ids, one shuffle of the texts. The first row of each
-    bucket, one per bucket, goes to the bucket before it.
+    Rows meet in buckets of neighbouring ids, one shuffle of the texts. The first document of each
+    bucket, one per bucket, is found by its id, derived again and given to the bucket before.
     """
-    rows = rows.withColumn("_bucket", _buckets(rows))
-    order = [F.desc_nulls_last("doc_id"), F.col("text")]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
+    bucket = _buckets(docs)
+    ids = docs.select("doc_id", bucket.alias("_bucket")).groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
+    heads = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_head")))
+    heads = heads.groupBy("_bucket", "doc_id").agg(F.min("text").alias("text"))
     here = F.struct(*columns)
-    near = rows.withColumn("_next", F.lead(here).over(inside)).withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
-    ids = rows.groupBy("_bucket").agg(F.max("doc_id").alias("doc_id"))
-    first_ids = ids.withColumn("_after", F.lead("_bucket").over(Window.orderBy(F.desc("_bucket"))))
-    top = first_ids.agg(F.max("_bucket").alias("_top"))
-    links = first_ids.select(F.col("_bucket").alias("_of"), F.coalesce("_after", top.scalar()).alias("_bucket"))
-    heads = rows.join(ids.withColumnRenamed("doc_id", "_head"), "_bucket")
-    heads = heads.where(F.col("doc_id").eqNullSafe(F.col("_head"))).groupBy("_bucket").agg(F.min_by(here, "text").alias("_first"))
+    heads = derive(heads).select("_bucket", here.alias("_first"))
+    links = ids.withColumn("_after", F.lead("_bucket").over(Window.orderBy(F.desc("_bucket"))))
+    top = ids.agg(F.max("_bucket")).scalar()
+    links = links.select(F.col("_bucket").alias("_of"), F.coalesce("_after", top).alias("_bucket"))
     jumps = links.join(heads, "_bucket").select(F.col("_of").alias("_bucket"), F.lit(True).alias("_last"), "_first")
+
+    rows = derive(docs).withColumn("_bucket", bucket)
+    inside = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), F.col("text"))
+    near = rows.withColumn("_next", F.lead(here).over(inside))
+    near = near.withColumn("_last", F.col("_next").isNull())
     out = near.join(jumps, ["_bucket", "_last"], "left").withColumn("_next", F.coalesce("_next", "_first"))
     named = [F.col("_next").getField(c).alias(f"next_{c}") for c in columns]
     return out.select(*[c for c in rows.columns if c != "_bucket"], *named)
@@ -185,7 +188,7 @@ def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> Da
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     table = lexicon(given, band)
-    rows = with_next(with_hashes(given, "text", "hashes", table), "text", "hashes")
+    rows = with_next(given, lambda rows: with_hashes(rows, "text", "hashes", table), "text", "hashes")
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.left("text", size - half), F.left("next_text", half))

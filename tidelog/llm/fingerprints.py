@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
 
-BAND = (0.0005, 0.1)  # share of the documents that hold a term: inverse document frequency 2.3 to 7.6
+BAND = (0.001, 0.1)  # share of the documents that hold a term: inverse document frequency 2.3 to 6.9
 SUBSETS = 40
 _PER_HALF = 4  # subset k keeps a term with probability 2 ** (-k / this)
 _STEP = 3  # halvings between the lists that thinner subsets are drawn from
-_TABLE_BITS = 23
+_TABLE_BITS = 21
 _SCALE = 1 << 20
 _BUCKET_ROWS = 2000
 _CUTS = 256
@@ -46,7 +46,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
 
     A term of few documents must be in two at least. There are at most (mean distinct terms of
     a document / lower share) such terms, however many documents there are, and the table has
-    2**23 bits: a term outside the band has a bit by chance as often as the table is full.
+    2**21 bits: a term outside the band has a bit by chance as often as the table is full.
     """
     low, high = band
     # Every document has the term null too, so the count of all documents comes from the same job.
@@ -56,7 +56,7 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
     kept = counts.where(F.col("term").isNotNull() & (F.col("n") >= F.lit(low) * total) & (F.col("n") <= F.greatest(F.lit(high) * total, F.lit(2))))
     bit = F.expr("shiftleft(1L, cast(pmod(term, 64) as int))")
     bits = kept.groupBy(_word(F.col("term")).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    # 2**17 numbers at most, whatever the corpus; the optimiser folds the text into one constant.
+    # 2**15 numbers at most, whatever the corpus; the optimiser folds the text into one constant.
     found = dict(bits.collect())
     packed = ",".join(str(found.get(k, 0)) for k in range(1 << (_TABLE_BITS - 6)))
     return F.split(F.lit(packed), ",").cast("array<long>")

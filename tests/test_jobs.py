@@ -224,4 +224,7 @@ def test_versions_are_published_whole_and_old_ones_go(spark, tmp_path):
         assert store.read("cert_expiry").count() == n  # not visible yet
         tables.publish_version(spark, root, staged)
         assert store.read("cert_expiry").count() == n + 1
+    assert len(tables._versions(spark, root)) == 5  # a query may still read any of them
+    staged = tables.stage_version(store.read("cert_expiry"), root)
+    tables.publish_version(spark, root, staged, keep_seconds=0)
     assert len(tables._versions(spark, root)) == tables.KEPT_VERSIONS

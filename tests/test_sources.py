@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import re
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def _rows(spark, bodies):
 def test_stored_duplicates_are_absorbed(spark, tmp_path):
     path = str(tmp_path / "logs")
     rows = _rows(spark, ["a", "b", "c", "a"])
-    tables.ingest_rows(spark, rows.unionByName(rows), path)
+    tables.ingest_rows(spark, rows, path)
     tables.ingest_rows(spark, rows, path)
     tables.ingest_rows(spark, _rows(spark, ["a", "b", "c", "a", "new"]), path)
     stored = tables.read_table(spark, path, "log_entries")
@@ -116,6 +117,48 @@ def test_stored_duplicates_are_absorbed(spark, tmp_path):
     assert set(sizes) == {"2026-01-01", "2026-01-02", "2026-01-03"} and min(sizes.values()) > 0
 
 
+def _bodies(spark, path):
+    return sorted(r["body"] for r in tables.read_table(spark, path, "log_entries").collect())
+
+
+def test_equal_lines_of_a_delivery_all_stay(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    line = [("2026-01-01T00:00:00", h, "s", "same", o) for h, o in (("h1", "a"), ("h1", "a"), ("h2", "a"), ("h1", "b"))]
+    events = spark.createDataFrame(line, "ts string, host string, service string, body string, origin string")
+    rows = ingest.to_log_rows(events)
+    for delivery in (rows.limit(1), rows, rows):
+        tables.ingest_rows(spark, delivery, path)
+    stored = tables.read_table(spark, path, "log_entries").collect()
+    assert len(stored) == 4 == len({r["id"] for r in stored})
+    tables.ingest_rows(spark, rows.unionByName(rows), path)  # a delivery that really holds more
+    assert len(_bodies(spark, path)) == 8
+
+
+def test_ingest_that_broke_off_is_made_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "logs")
+    rows = _rows(spark, ["a", "b"]).unionByName(_rows(spark, ["a", "b"]))
+    write = tables.write_logs
+
+    def after_the_rows(fresh, where):
+        write(fresh, where)
+        raise OSError("lost here")
+
+    monkeypatch.setattr(tables, "write_logs", after_the_rows)
+    with pytest.raises(OSError):
+        tables.ingest_rows(spark, rows, path)
+    monkeypatch.setattr(tables, "write_logs", write)
+    for _ in range(2):
+        tables.ingest_rows(spark, rows, path)
+        assert _bodies(spark, path) == ["a", "a", "b", "b"]
+
+
+def test_ingest_reads_the_ledger_of_its_days_only(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    tables.ingest_rows(spark, _rows(spark, ["a", "b", "c"]), path)
+    known = tables._known_copies(spark, path, [date(2026, 1, 2)])
+    assert known.count() == 1 and "PartitionFilters: [isnotnull(day" in known._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_rewrites_only_touched_days(spark, tmp_path):
     path = str(tmp_path / "t")
     ddl = "bucket timestamp, fp string, occurrences bigint"

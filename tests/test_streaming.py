@@ -51,8 +51,12 @@ def test_stream_equals_batch_and_replays_leave_nothing(spark, tmp_path):
     write_file(folder, "web-out__2026-01-10_00-00-00.log", some_lines(0)[:9] + [line(50, "late WARN")])
     run_stream(spark, folder, store, str(tmp_path / "cp"))
 
-    batch = parse.parse_logs(pipeline.assembled(files.read_lines(spark, f"{folder}/*.log")), host="h1")
-    rows = ingest.dedup(ingest.to_log_rows(batch))
+    def delivered(name):
+        records = pipeline.assembled(files.read_lines(spark, f"{folder}/{name}.log"))
+        parsed = parse.parse_logs(records, host="h1", origin=ingest.origin(records))
+        return ingest.to_log_rows(parsed)
+
+    rows = ingest.merge_deliveries(*map(delivered, ("web-out", "api-out", "web-out__2026-01-10_00-00-00"))).drop("origin")
     columns = ["ts", "service", "severity", "body", "fp", "id"]
     assert sorted(map(repr, store.read("log_entries").select(columns).collect())) == sorted(
         map(repr, rows.select(columns).collect())
@@ -75,16 +79,17 @@ def test_stream_equals_batch_and_replays_leave_nothing(spark, tmp_path):
     assert store.read("error_groups").agg(F.sum("occurrences")).first()[0] == errors
 
 
-def test_append_stream_drops_repeated_lines(spark, tmp_path):
+def test_append_stream_keeps_equal_lines_and_takes_none_twice(spark, tmp_path):
     folder = tmp_path / "in"
     write_file(folder, "a-out.log", [line(1, "x"), line(1, "x"), line(2, "y")])
     write_file(folder, "a-out-1.log", [line(1, "x"), line(3, "z")])
     raw = files.read_lines(spark, f"{folder}/*.log", streaming=True, max_files_per_trigger=1)
-    rows = ingest.to_log_rows(parse.parse_logs(raw, host="h"))
+    rows = ingest.to_log_rows(parse.parse_logs(raw, host="h", origin=ingest.origin(raw)))
     out = str(tmp_path / "out")
-    pipeline.append_stream(rows, out, str(tmp_path / "cp"), every=None).awaitTermination()
+    for run in ("cp", "cp2"):  # the second time all files are new again
+        pipeline.append_stream(rows, out, str(tmp_path / run), every=None).awaitTermination()
     stored = spark.read.parquet(out)
-    assert sorted(r["body"][-1] for r in stored.collect()) == ["x", "y", "z"]
+    assert sorted(r["body"][-1] for r in stored.collect()) == ["x", "x", "x", "y", "z"]
     assert "day" in stored.columns
 
 

@@ -128,3 +128,6 @@ SIZE_UNITS = {
 }
 SERVER_NAME = r"^\s*server_name\s+([^;]+)"
 SKIPPED_DOMAIN = r"^(_|localhost|\*)"
+
+# What a rotation adds to the name of a log file.
+ROTATION_MARK = r"__[^/]*(?=\.log$)"

@@ -69,6 +69,7 @@ def parse_logs(
     whole_segment: bool = False,
     honour_utc_suffix: bool = False,
     redact_first: bool = False,
+    origin: Column | None = None,
 ) -> DataFrame:
     """(ts, host, service, kind, severity, body, attrs) of raw lines or events.
 
@@ -108,6 +109,8 @@ def parse_logs(
     }
     if keep_stream:
         out["stream"] = F.col("stream")
+    if origin is not None:
+        out["origin"] = origin
     kept = [F.col("id")] if "id" in raw.columns else []
     return staged.select(*kept, *[c.alias(n) for n, c in out.items()])
 

@@ -165,6 +165,7 @@ def run_retention(store: Store, as_of: Moment, log_days: int | None = None) -> D
             (keep or 0) if table == "log_entries" else None,
         )
         entries = dropped if entries is None else entries.unionByName(dropped)
+    tables.expire_ledger(store.spark, store.path("log_entries"))
     if tables.current_version(store.spark, store.path("error_groups")):
         groups = retention.prune_rows(store.read("error_groups"), "error_groups", as_of)
         store.replace("error_groups", groups)

@@ -316,17 +316,18 @@ def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ndjson(spark, sf_dir)[1]
 
 
-# Documents delivered as log lines: exact copies are one line delivered several times.
+# Documents delivered as log lines, twice: every line stays, exact copies too, and none comes double.
 @query(
-    """SELECT sha1(concat('2024-01-01 00:00:00|', source, '|', text)) AS fp, any_value(source) AS service,
-              md5(any_value(replace(text, chr(13), ''))) AS body_md5 FROM documents GROUP BY 1"""
+    """SELECT sha1(concat('2024-01-01 00:00:00|', source, '|', text)) AS fp, source AS service,
+              md5(replace(text, chr(13), '')) AS body_md5, count(*) AS n FROM documents GROUP BY 1, 2, 3"""
 )
 def deduplicated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = base(spark, sf_dir, "documents").select(
         F.lit("2024-01-01 00:00:00").alias("ts"), F.col("source").alias("service"), F.col("text").alias("body")
     )
-    rows = ingest.dedup(ingest.to_log_rows(events))
-    return rows.select("fp", "service", F.md5("body").alias("body_md5"))
+    rows = ingest.to_log_rows(events)
+    lines = ingest.merge_deliveries(rows, rows)
+    return lines.groupBy("fp", "service", F.md5("body").alias("body_md5")).agg(F.count("*").alias("n"))
 
 
 # -- snapshots ------------------------------------------------------------------------------------------
@@ -374,15 +375,15 @@ def process_log_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH idx AS (
          SELECT DISTINCT p_name, concat('/srv/', CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END)
-                AS stem FROM part WHERE p_size % 10 <> 0 AND p_name = 'small ring'),
-       m AS (SELECT stem, p_name FROM idx WHERE stem <> concat('/srv/', p_name)),
+                AS stem FROM part WHERE p_size % 10 <> 0),
+       m AS (SELECT stem, min(p_name) AS p_name FROM idx WHERE stem <> concat('/srv/', p_name) GROUP BY 1),
        lines AS (SELECT p_partkey, concat('/srv/', p_type) AS stem, p_type FROM part)
        SELECT p_partkey AS id, coalesce(m.p_name, l.p_type) AS service
        FROM lines l LEFT JOIN m USING (stem)"""
 )
 def named_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = PARSE.pm2_log_index(_process_lists(spark, sf_dir))
-    names = PARSE.name_map(index.filter(F.col("service") == "small ring"))
+    names = PARSE.name_map(index)
     lines = base(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
         F.concat(F.lit("/srv/"), "p_type", F.lit("-out-1.log")).alias("file"),

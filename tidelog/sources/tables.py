@@ -5,17 +5,17 @@ from __future__ import annotations
 import re
 import time
 import uuid
-from datetime import date, timezone
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import schemas
-from tidelog.functions.timing import time_range
 from tidelog.session import cut_lineage
 from tidelog.sources import ingest
 
 KEPT_VERSIONS = 3
+KEPT_SECONDS = 86400  # a version that was current so long ago may still be read by a query
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -117,15 +117,21 @@ def _versions(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if n.startswith("v-"))
 
 
-def publish_version(spark: SparkSession, root: str, staged: str) -> None:
+def publish_version(
+    spark: SparkSession, root: str, staged: str, keep_seconds: int = KEPT_SECONDS
+) -> None:
     """Make a staged version the newest one with a single rename: readers see the old or the
-    new table, never a mix. The last versions stay for queries still reading them."""
+    new table, never a mix. A version goes when it is not among the last ones and the one after
+    it was published more than `keep_seconds` ago, so no query of that length loses its files."""
     fs, _ = _filesystem(spark, root)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    if not fs.rename(path(staged), path(f"{root}/v-{time.time_ns():020d}")):
+    now = time.time_ns()
+    if not fs.rename(path(staged), path(f"{root}/v-{now:020d}")):
         raise OSError(f"could not publish {staged}")
-    for old in _versions(spark, root)[:-KEPT_VERSIONS]:
-        fs.delete(path(f"{root}/{old}"), True)
+    versions = _versions(spark, root)
+    for old, following in zip(versions[:-KEPT_VERSIONS], versions[1:]):
+        if now - int(following[2:]) >= keep_seconds * 10**9:
+            fs.delete(path(f"{root}/{old}"), True)
 
 
 def write_version(df: DataFrame, root: str) -> None:
@@ -177,19 +183,69 @@ def partition_sizes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def ingest_rows(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame | None:
-    """Append the rows that are not stored yet; returns the distinct rows, None if there are none.
+def _ledger(path: str) -> str:
+    return f"{path}.keys"
+
+
+_LEDGER_DDL = "key string, copies bigint, day date, prefix string"
+_LEDGER_PREFIX = 1  # hexadecimal digits: 16 folders a day
+
+
+def _known_copies(spark: SparkSession, path: str, days: list[date]) -> DataFrame:
+    """How often each line of the given days is stored: read from the ledger of these days. After
+    a run that did not end, the stored rows of the days count too."""
+    ledger = _ledger(path)
+    if not exists(spark, ledger):
+        return spark.createDataFrame([], "day date, key string, known bigint")
+    kept = spark.read.schema(_LEDGER_DDL).parquet(ledger).filter(F.col("day").isin(days))
+    kept = kept.select("day", "prefix", "key", "copies")
+    if _open_marks(spark, ledger) and exists(spark, path):
+        rows = spark.read.schema("key string, day date").parquet(path).filter(F.col("day").isin(days))
+        prefix = F.left("key", F.lit(_LEDGER_PREFIX)).alias("prefix")
+        stored = rows.filter(F.col("key").isNotNull()).groupBy("day", prefix, "key")
+        kept = kept.unionByName(stored.agg(F.count(F.lit(1)).alias("copies")))
+    return kept.groupBy("day", "key").agg(F.max("copies").alias("known"))
 
-    Running it twice changes nothing, so a batch replayed after a failure leaves no
-    duplicates. The batch is written to the shared folder first: a retried task must not
-    parse it again and see another clock.
+
+def _open_marks(spark: SparkSession, ledger: str) -> list:
+    fs, where = _filesystem(spark, ledger)
+    return [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("_open-")]
+
+
+def expire_ledger(spark: SparkSession, path: str) -> None:
+    """Drop the ledger's days before the oldest day of the table."""
+    days = list_days(spark, path)
+    if days:
+        drop_days(spark, _ledger(path), [d for d in list_days(spark, _ledger(path)) if d < days[0]])
+
+
+def ingest_rows(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame | None:
+    """Append the rows that are not stored yet; returns the delivery's distinct rows, None if
+    there are none.
+
+    A ledger beside the table says how often each line is stored, by day and first digit of its
+    key; a delivery reads the days it has lines of. Running it twice changes nothing: a mark
+    stands from before the rows are written until the ledger has them, and where a mark is left
+    over, the next run counts the stored rows themselves. One delivery at a time. It is
+    written to the shared folder first: a retried task must not parse it again and see another
+    clock.
     """
     dated = ingest.split_undated(rows)[0]
-    fresh = cut_lineage(ingest.dedup(dated))
-    span = fresh.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    if span["low"] is None:
+    lines = cut_lineage(ingest.counted(dated))
+    days = [r["day"] for r in lines.select("day").distinct().collect()]  # one row a day
+    if not days:
         return None
-    low, high = span["low"].astimezone(timezone.utc), span["high"].astimezone(timezone.utc)
-    stored = time_range(read_table(spark, path, "log_entries"), low, high, closed_high=True)
-    write_logs(ingest.only_new(fresh, stored), path)
-    return fresh
+    known = _known_copies(spark, path, days)
+    known = lines.join(known, ["day", "key"], "left").withColumn("known", F.coalesce("known", F.lit(0).cast("bigint")))
+    ledger = _ledger(path)
+    fs, _ = _filesystem(spark, ledger)
+    old = _open_marks(spark, ledger) if exists(spark, ledger) else []
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/_open-{uuid.uuid4().hex}")
+    fs.create(mark, False).close()
+    write_logs(ingest.numbered(known).drop("origin", "occurrence"), path)
+    more = known.filter(F.col("copies") > F.col("known")) if not old else known
+    entries = more.select("key", F.greatest("copies", "known").alias("copies"), "day", F.left("key", F.lit(_LEDGER_PREFIX)).alias("prefix"))
+    entries.hint("rebalance", "day", "prefix").write.mode("append").partitionBy("day", "prefix").parquet(ledger)
+    for done in [*old, mark]:
+        fs.delete(done, False)
+    return lines.drop("copies", "key", "origin")

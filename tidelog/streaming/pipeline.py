@@ -62,7 +62,9 @@ def ingest_stream(
         rows = assembled(batch) if multiline else batch
         if "modified" in rows.columns and "timestamp" not in rows.columns:
             rows = rows.withColumnRenamed("modified", "timestamp")
-        parsed = parse.parse_logs(rows, name_map=name_map, source_tz=source_tz, host=host)
+        parsed = parse.parse_logs(
+            rows, name_map=name_map, source_tz=source_tz, host=host, origin=ingest.origin(rows)
+        )
         if selected is not None:
             parsed = parse.only_selected(parsed, selected)
         rows = ingest.to_log_rows(parsed)
@@ -79,18 +81,18 @@ def ingest_stream(
 
 
 def append_stream(
-    rows: DataFrame, path: str, checkpoint: str, every: str | None = TRIGGER,
-    watermark: str = "1 day",
+    rows: DataFrame, path: str, checkpoint: str, every: str | None = TRIGGER
 ) -> StreamingQuery:
-    """`log_entries` rows straight to the file sink, without duplicates inside the watermark.
-    The sink writes every row exactly once; the rollups are then a batch job."""
-    writer = (
-        ingest.dedup(rows, watermark)
-        .writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("day")
-    )
+    """`log_entries` rows straight to the day table; the rollups are then a batch job.
+
+    No watermark, so no row is too late. A batch that comes again, or lines delivered again by
+    another file, are found in the ledger of `tables.ingest_rows` and add nothing.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        tables.ingest_rows(batch.sparkSession, batch, path)
+
+    writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 

@@ -197,9 +197,9 @@ def alert_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # State before this run, from the data: services with a low error count were firing, each
-# with a different rule; the others had recovered.
+# with any of the rules; the others had recovered.
 _STATE_SQL = f"""
-    SELECT CAST(1 + user_id % 3 AS INT) AS rule_id,
+    SELECT CAST(1 + user_id % 24 AS INT) AS rule_id,
            concat('svc', CAST(user_id % 8 AS STRING)) AS service,
            CASE WHEN count(*) % 2 = 0 THEN 'firing' ELSE 'resolved' END AS state,
            max(CAST(ts AS TIMESTAMP)) AS since, min(CAST(ts AS TIMESTAMP)) AS notified_at
@@ -210,56 +210,53 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_sql(spark, sf_dir, _STATE_SQL, "events")
 
 
-_FIRST_KINDS = ["error_rate", "crash_loop", "service_down", "disk", "cpu"]
-
-
-def _few_rules(spark: SparkSession) -> DataFrame:
-    return _rules(spark).filter((F.col("id") <= 12) & F.col("kind").isin(*_FIRST_KINDS))
-
-
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rules = _few_rules(spark)
-    needed = {n for k in _FIRST_KINDS for n in _NEEDS[k]}
-    done = A.evaluate(rules, tables(spark, sf_dir, *sorted(needed)), AS_OF)
+    rules = _rules(spark)
+    done = A.evaluate(rules, _all_tables(spark, sf_dir), AS_OF)
     return A.transitions(_state(spark, sf_dir), done.firing, rules, AS_OF, done.evaluated, "hub")
 
 
-_FEW_FIRING = " UNION ALL ".join(
-    f"SELECT {_KINDS.index(k) + 1} AS rule_id, '{k}' AS kind, key, value FROM ({_CONDITION_SQL[k]})"
-    for k in _FIRST_KINDS
-)
 _MARKED = f"""
     SELECT coalesce(s.rule_id, f.rule_id) AS rule_id, coalesce(s.service, f.key) AS service,
-           s.state AS was, s.since, s.notified_at, f.value, r.kind, r.silenced,
-           CASE WHEN r.kind IS NULL THEN NULL
+           s.state AS was, s.since, s.notified_at, f.value, r.name, r.kind, r.silenced,
+           CASE WHEN NOT coalesce(r.enabled, false) THEN NULL
                 WHEN f.key IS NOT NULL AND coalesce(s.state, '') <> 'firing' THEN 'firing'
                 WHEN f.key IS NULL AND s.state = 'firing' THEN 'resolved' END AS change
     FROM state s FULL JOIN firing f ON s.rule_id = f.rule_id AND s.service = f.key
     LEFT JOIN rules r ON r.rule_id = coalesce(s.rule_id, f.rule_id)"""
 _RULES_SQL = " UNION ALL ".join(
-    f"SELECT {_KINDS.index(k) + 1} AS rule_id, '{k}' AS kind, {str(_KINDS.index(k) % 4 == 0).lower()} AS silenced"
-    for k in _FIRST_KINDS
+    f"SELECT {i + 1} AS rule_id, 'all {k}' AS name, '{k}' AS kind, {str(i % 4 == 0).lower()} AS silenced, true AS enabled"
+    f" UNION ALL SELECT {i + 13}, 'svc3 {k}', '{k}', false, {str(i % 3 != 2).lower()}"
+    for i, k in enumerate(_KINDS)
 )
 _TRANSITION_CTES = ctes(
     "logs", "metrics", "host_metrics", "cert_expiry",
     errors=ERRORS_SQL, stats=GROUPS_SQL, error_groups=TRIAGED_SQL,
-    state=_STATE_SQL, firing=_FEW_FIRING, rules=_RULES_SQL, marked=_MARKED,
+    pairs=PAIRS_SQL, resolved=RESOLVED_SQL, log_rollup=SERVICE_SQL, endpoint_rollup=ENDPOINT_SQL,
+    state=_STATE_SQL, firing=_firing_sql(), rules=_RULES_SQL, marked=_MARKED,
 )
-_TEXT = """CASE kind
-    WHEN 'error_rate' THEN concat(service, ': ', CAST(CAST(value AS BIGINT) AS VARCHAR), ' errors in the last 30d')
-    WHEN 'crash_loop' THEN concat(service, ': restarted ', CAST(CAST(value AS BIGINT) AS VARCHAR), ' times in the last 30d')
+_WHOLE = "CAST(CAST(value AS BIGINT) AS VARCHAR)"
+_TEXT = f"""CASE kind
+    WHEN 'error_rate' THEN concat(service, ': ', {_WHOLE}, ' errors in the last 30d')
+    WHEN 'crash_loop' THEN concat(service, ': restarted ', {_WHOLE}, ' times in the last 30d')
     WHEN 'service_down' THEN concat(service, ': not running')
-    WHEN 'disk' THEN concat('disk ', CAST(CAST(value AS BIGINT) AS VARCHAR), '% full')
-    WHEN 'cpu' THEN concat(service, ': CPU ', CAST(CAST(value AS DECIMAL(20, 1)) AS VARCHAR), '% sustained') END"""
+    WHEN 'unhealthy' THEN concat(service, ': health check failing')
+    WHEN 'disk' THEN concat('disk ', {_WHOLE}, '% full')
+    WHEN 'cpu' THEN concat(service, ': CPU ', CAST(CAST(value AS DECIMAL(20, 1)) AS VARCHAR), '% sustained')
+    WHEN 'memory' THEN concat(service, ': memory ', {_WHOLE}, '% of host')
+    WHEN 'endpoint_errors' THEN concat(service, ': ', {_WHOLE}, '% of calls failing')
+    WHEN 'traffic_drop' THEN concat(service, ': requests ', {_WHOLE}, '% below the same 7d last week')
+    WHEN 'cert_expiry' THEN concat(service, ': TLS certificate expires in ', {_WHOLE}, ' days')
+    ELSE concat(service, ': p95 latency ', {_WHOLE}, ' ms') END"""
 
 
 @query(
     _TRANSITION_CTES
     + f"""SELECT {_NOW} AS ts, rule_id, service, 'hub' AS host,
                  CASE WHEN change = 'firing' THEN value END AS value, change AS state,
-                 concat('all ', kind) AS name, kind, NOT silenced AS notify,
+                 name, kind, NOT silenced AS notify,
                  CASE WHEN change = 'firing' THEN concat('🔴 ', {_TEXT})
-                      ELSE concat('✅ ', service, ': all ', kind, ' recovered') END AS message
+                      ELSE concat('✅ ', service, ': ', name, ' recovered') END AS message
           FROM marked WHERE change IS NOT NULL"""
 )
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,28 +280,28 @@ def alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
          FROM rules r LEFT JOIN marked m USING (rule_id) GROUP BY 1, 2"""
 )
 def rule_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = A.list_rules(_few_rules(spark), _run(spark, sf_dir)[0])
+    listed = A.list_rules(_rules(spark), _run(spark, sf_dir)[0])
     return listed.select("id", "kind", "firing")
 
 
 @query(
     _TRANSITION_CTES
     + f"""SELECT {_NOW} AS ts, service, 'hub' AS host, CASE WHEN change = 'firing' THEN value END AS value,
-                 change AS state, concat('all ', kind) AS name, kind
+                 change AS state, name, kind
           FROM marked WHERE change IS NOT NULL ORDER BY ts DESC, rule_id, service LIMIT 100"""
 )
 def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.event_history(_run(spark, sf_dir)[1], _few_rules(spark))
+    return A.event_history(_run(spark, sf_dir)[1], _rules(spark))
 
 
 @query(
     _TRANSITION_CTES
     + f"""SELECT service, CASE WHEN change IS NULL THEN since ELSE {_NOW} END AS since,
-                 concat('all ', kind) AS name, kind
+                 name, kind
           FROM marked WHERE kind IS NOT NULL AND coalesce(change, was) = 'firing'"""
 )
 def firing_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.firing_now(_run(spark, sf_dir)[0], _few_rules(spark))
+    return A.firing_now(_run(spark, sf_dir)[0], _rules(spark))
 
 
 _ON = _KINDS + [k for i, k in enumerate(_KINDS) if i % 3 != 2]

@@ -18,7 +18,7 @@ from tidelog.plans.rollup_queries import (
     log_rollup,
     triaged_groups,
 )
-from tidelog.plans.standins import AS_OF, MONTH, base, ctes, from_sql, logs, view
+from tidelog.plans.standins import AS_OF, MONTH, VIEWS, base, ctes, from_sql, logs, view
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 _SINCE = f"{_NOW} - to_seconds({MONTH})"
@@ -491,14 +491,18 @@ def _files_now(spark: SparkSession, sf_dir: str) -> str:
     return view(spark, sf_dir, "files").agg(F.max("mtime").cast("string").alias("t")).first()["t"]
 
 
-def _two_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs(spark, sf_dir).filter(F.col("service") < "svc2")
+# Selected services: some with logs and files, some with files but no logs, some with neither.
+_WIDE_FILES = VIEWS["files"].replace("o_custkey % 8", "o_custkey % 12")
+_WIDE_SELECTED = "SELECT DISTINCT concat('svc', CAST(o_custkey % 14 AS STRING)) AS service FROM orders"
 
 
-# "Now" is the newest file write, long before the logs, so all of them count as recent. Only
-# the rows of svc0 and svc1 are handed over: the other services are the ones without rows.
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(from_sql(spark, sf_dir, sql, "orders") for sql in (_WIDE_SELECTED, _WIDE_FILES))
+
+
+# "Now" is the newest file write, long before the logs, so all of them count as recent.
 @query(
-    ctes("files", "selected", "logs")
+    ctes("logs", files=_WIDE_FILES, selected=_WIDE_SELECTED)
     + f""", newest AS (SELECT service, arg_max(path, (mtime, path, size)) AS path,
                               arg_max(size, (mtime, path, size)) AS size, max(mtime) AS mtime
                        FROM files GROUP BY 1)
@@ -508,15 +512,12 @@ def _two_services(spark: SparkSession, sf_dir: str) -> DataFrame:
          FROM (SELECT s.service, coalesce(n, 0) AS n_rows, path, size,
                       CAST(epoch({_FILES_NOW}) - epoch(mtime) AS BIGINT) AS age_secs
                FROM selected s LEFT JOIN newest USING (service)
-               LEFT JOIN (SELECT service, count(*) AS n FROM logs WHERE service < 'svc2'
-                          AND ts > {_FILES_NOW} - INTERVAL '1 hour' GROUP BY 1) USING (service))"""
+               LEFT JOIN (SELECT service, count(*) AS n FROM logs WHERE ts > {_FILES_NOW} - INTERVAL '1 hour' GROUP BY 1) USING (service))"""
 )
 def selected_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     containers = base(spark, sf_dir, "part").select(F.col("p_name").alias("service"))
-    return D.selected_activity(
-        view(spark, sf_dir, "selected"), _two_services(spark, sf_dir), view(spark, sf_dir, "files"),
-        containers, _files_now(spark, sf_dir),
-    )
+    selected, files = _wide(spark, sf_dir)
+    return D.selected_activity(selected, logs(spark, sf_dir), files, containers, _files_now(spark, sf_dir))
 
 
 _VERDICT_WINDOW = f"epoch({_FILES_NOW}) - epoch(mtime)"
@@ -549,18 +550,16 @@ def stalled_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ctes("files", "selected", "logs")
+    ctes("logs", files=_WIDE_FILES, selected=_WIDE_SELECTED)
     + f""", newest AS (SELECT service, arg_max(path, (mtime, path, size)) AS path, max(mtime) AS mtime
                        FROM files GROUP BY 1)
          SELECT service, path, CAST({_VERDICT_WINDOW} AS BIGINT) AS age_secs
          FROM newest JOIN selected USING (service) WHERE {_VERDICT_WINDOW} < 120 AND service NOT IN
-           (SELECT service FROM logs WHERE service < 'svc2' AND ts > {_FILES_NOW} - INTERVAL '15 minutes')"""
+           (SELECT service FROM logs WHERE ts > {_FILES_NOW} - INTERVAL '15 minutes')"""
 )
 def silent_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.silent_while_writing(
-        view(spark, sf_dir, "selected"), _two_services(spark, sf_dir), view(spark, sf_dir, "files"),
-        _files_now(spark, sf_dir),
-    )
+    selected, files = _wide(spark, sf_dir)
+    return D.silent_while_writing(selected, logs(spark, sf_dir), files, _files_now(spark, sf_dir))
 
 
 @query(

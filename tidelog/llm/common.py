@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fresh_folder(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -59,6 +67,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     found = texts.join(F.broadcast(picked), "_id").where(F.col("_text").isNotNull())
+    # One text an id, the least in byte order: repeated rows don't add to what is collected.
+    found = found.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     return sorted((r[0], r[1], r[2]) for r in found.select("_id", "_label", "_text").collect())
 
 

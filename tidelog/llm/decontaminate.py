@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import spare, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -104,9 +104,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no item."""
+    """The rows of `docs`, all columns, that hold no item. Columns of any name may come along."""
+    d, h = spare(docs, "_d"), spare(docs, "_h")
     bad = contained_items(docs, items, threshold)
-    bad = bad.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    bad = bad.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
     bad = _few(written(bad, "contaminated"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h))
     return docs.join(bad, same, "left_anti")

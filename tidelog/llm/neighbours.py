@@ -224,6 +224,8 @@ def nearest_neighbours(
 
     asked = base.where("is_query").select("vec_id", "embedding").orderBy(*order).limit(CALIBRATION_QUERIES)
     asked = [(r.vec_id, r.embedding) for r in asked.collect()]
+    if not asked:
+        return spark.createDataFrame([], schema)
     known = exact_neighbours(asked, rows, k).select("query_id", "vec_id").join(rows, "vec_id")
     known = [(r.query_id, r.embedding) for r in known.select("query_id", "embedding").collect()]
     visits = calibrated_visits(tree, asked, known, target) if known else tree.leaves

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks, mix, sequence_hash, word_hashes, written
+from tidelog.llm.common import blocks, mix, sequence_hash, spare, word_hashes, written
 
 WORDS = 5
 _SMALL = 200_000  # rows up to which a counted side is broadcast
@@ -332,17 +332,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, with one document of each group of near-duplicates.
 
     Kept is the smallest doc_id (one with an id before one without); texts without words are no
-    duplicates of anything and all stay.
+    duplicates of anything and all stay. Columns of any name may come along.
     """
+    d, h = spare(docs, "_d"), spare(docs, "_h")
     found = written(near_duplicates(docs), "near-duplicates").where("group is not null")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("m")
-    kept = found.groupBy("group").agg(best).select(F.col("m.doc_id").alias("_d"), F.col("m.text_hash").alias("_h"))
+    kept = found.groupBy("group").agg(best).select(F.col("m.doc_id").alias(d), F.col("m.text_hash").alias(h))
     kept = written(kept, "kept")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h))
     rows = docs.where(worded).join(_few(kept), same, "left_semi")
     copies = found.groupBy("doc_id", "text_hash").count().where("count > 1")
-    again = copies.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
+    again = copies.join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("text_hash") == F.col(h)), "left_semi")
     if not again.isEmpty():  # whole rows that repeat
         rows = rows.dropDuplicates(["doc_id", "text"])
     return rows.union(docs.where(~worded))

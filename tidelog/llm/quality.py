@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fit_logistic, is_held_out, sigmoid, training_rows
+from tidelog.llm.common import fit_logistic, is_held_out, sigmoid, spare, training_rows
 
 SAMPLE_ROWS = 1500  # labelled texts of either class that a model is fitted on, at most
 _PIECE = 2048  # bytes compressed by themselves, so that the dictionary counts along the whole text
@@ -143,6 +143,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs`, all columns, that the model does not reject."""
+    """The rows of `docs`, all columns, that the model does not reject. Columns of any name may
+    come along; null texts are judged as empty ones."""
     score = quality_column(docs, labels, F.col("text"))
-    return docs.withColumn("_score", score).where(F.col("_score") >= threshold).drop("_score")
+    name = spare(docs, "_score")
+    return docs.withColumn(name, score).where(F.col(name) >= threshold).drop(name)

@@ -168,13 +168,13 @@ def with_next(docs: DataFrame, derive, *columns: str) -> DataFrame:
     links = ids.withColumn("_after", F.lead("_bucket").over(Window.orderBy(F.desc("_bucket"))))
     top = ids.agg(F.max("_bucket")).scalar()
     links = links.select(F.col("_bucket").alias("_of"), F.coalesce("_after", top).alias("_bucket"))
-    jumps = links.join(heads, "_bucket").select(F.col("_of").alias("_bucket"), F.lit(True).alias("_last"), "_first")
+    jumps = links.join(heads, "_bucket").select(F.col("_of").alias("_bucket"), "_first")
 
     rows = derive(docs).withColumn("_bucket", bucket)
     inside = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), F.col("text"))
     near = rows.withColumn("_next", F.lead(here).over(inside))
-    near = near.withColumn("_last", F.col("_next").isNull())
-    out = near.join(jumps, ["_bucket", "_last"], "left").withColumn("_next", F.coalesce("_next", "_first"))
+    # One jump a bucket, joined on what the rows are dealt by already: their texts stay where they are.
+    out = near.join(jumps, "_bucket", "left").withColumn("_next", F.coalesce("_next", "_first"))
     named = [F.col("_next").getField(c).alias(f"next_{c}") for c in columns]
     return out.select(*[c for c in rows.columns if c != "_bucket"], *named)
 

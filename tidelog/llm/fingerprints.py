@@ -161,6 +161,7 @@ def with_next(docs: DataFrame, derive, *columns: str) -> DataFrame:
     """
     bucket = _buckets(docs)
     ids = docs.select("doc_id", bucket.alias("_bucket")).groupBy("_bucket").agg(F.max("doc_id").alias("_head"))
+    ids = written(ids, "bucket-heads")  # its size is known then: while it is small, no text moves for it
     heads = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_head")))
     heads = heads.groupBy("_bucket", "doc_id").agg(F.min("text").alias("text"))
     here = F.struct(*columns)

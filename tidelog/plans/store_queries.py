@@ -5,8 +5,11 @@ Each run uses a new folder below the shared one.
 
 from __future__ import annotations
 
+import glob
+import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +17,10 @@ from tidelog.operators import retention
 from tidelog.plans import jobs
 from tidelog.plans.registry import query
 from tidelog.plans.rollup_queries import ROLLUPS
-from tidelog.plans.standins import AS_OF, PAIR_GAP, VIEWS, base, ctes, logs
+from tidelog.plans.standins import AS_OF, PAIR_GAP, VIEWS, base, ctes, logs, view
 from tidelog.plans.store import Store
 from tidelog.session import shared_dir
-from tidelog.sources import ingest, tables
+from tidelog.sources import growing, ingest, tables
 from tidelog.streaming.pipeline import append_stream
 
 
@@ -123,3 +126,56 @@ def redelivered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("host", "service").agg(
         F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.sum(F.length("body")).alias("chars")
     )
+
+
+def _append(parts):
+    """Writes lines behind what their files hold; a retried task writes the same again."""
+    ends: dict[str, int] = {}
+    for part in parts:
+        for path, rows in part.groupby("path", sort=False):
+            text = "".join(f"{line}\n" for line in rows["line"]).encode()
+            with open(path, "r+b") as file:
+                file.seek(ends.setdefault(path, int(rows["size"].iloc[0])))
+                ends[path] += file.write(text)
+        yield pd.DataFrame({"n": [len(part)]})
+
+
+# Files of each service, followed while they grow: one run on two thirds of the lines, then the
+# rest is appended and every second file renamed, then a run that finds nothing new. Every fifth
+# line has a trace of two more lines; the last record of a file stays open until the last run.
+@query(
+    ctes("raw_lines")
+    + """SELECT regexp_extract(file, '(svc\\d)', 1) AS service, count(*) AS n, count(DISTINCT id) AS n_ids,
+                sum(length(CAST(id AS VARCHAR)) + 1 + length(message) + CASE WHEN id % 5 = 0 THEN 26 ELSE 0 END) AS chars
+         FROM raw_lines GROUP BY 1"""
+)
+def followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _new_folder(spark).removeprefix("file:")
+    trace = F.when(F.col("id") % 5 == 0, F.lit("\n   at one.js\n   at two.js")).otherwise(F.lit(""))
+    lines = view(spark, sf_dir, "raw_lines").select(
+        "id", F.regexp_extract("file", r"(svc\d)", 1).alias("service"), F.concat_ws(" ", "id", F.concat("message", trace)).alias("line")
+    )
+    lines.filter("id % 3 > 0").select("service", "line").write.partitionBy("service").text(f"{folder}/in")
+
+    def follow(**options) -> None:
+        raw = growing.follow_lines(spark, f"{folder}/in/*/*.txt*", multiline=True, **options)
+        writer = raw.writeStream.option("checkpointLocation", f"{folder}/progress")
+        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+
+    follow()
+    # One name a task and service: the list of files, not their lines.
+    paths = sorted(glob.glob(f"{folder}/in/*/*.txt"))
+    files = spark.createDataFrame([(p, os.path.getsize(p), p.split("service=")[1][:4]) for p in paths], "path string, size long, service string")
+    files = files.groupBy("service").agg(F.collect_list(F.struct("path", "size")).alias("files"))
+    rest = lines.filter("id % 3 = 0").join(files, "service")
+    rest = rest.select("line", F.get("files", F.pmod(F.hash("id"), F.size("files"))).alias("file"))
+    rest = rest.select("file.path", "file.size", "line").repartition("path")
+    rest.mapInPandas(_append, "n long").agg(F.sum("n")).collect()
+    for path in paths[::2]:
+        os.rename(path, f"{path}.1")
+    follow()
+    follow(progress=f"{folder}/ended", idle_seconds=0)
+    found = spark.read.parquet(f"{folder}/out")
+    return found.groupBy(F.regexp_extract("file", r"(svc\d)", 1).alias("service")).agg(
+        F.count("*").alias("n"), F.countDistinct(F.regexp_extract("message", r"^\d+", 0)).alias("n_ids"), F.sum(F.length("message")).alias("chars")
+    )

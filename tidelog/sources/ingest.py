@@ -70,7 +70,12 @@ def split_undated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def origin(raw: DataFrame) -> Column:
-    """What a line came through: its file without the mark of a rotation, else container or unit."""
+    """What a line came through: its file without the mark of a rotation, else container or unit.
+
+    A file that is followed gives a line a place of its own, which no renaming changes; equal lines
+    of it come in different batches and are still different."""
+    if {"file_id", "position"} <= set(raw.columns):
+        return F.concat_ws("@", "file_id", "position")
     given = {
         "file": F.regexp_replace("file", P.ROTATION_MARK, ""),
         "container_name": F.col("container_name"),

@@ -41,7 +41,7 @@ def ingest_stream(
     raw: DataFrame,
     store: Store,
     checkpoint: str,
-    host: str,
+    host: str | None,
     multiline: bool = False,
     selected: DataFrame | None = None,
     name_map: DataFrame | None = None,
@@ -53,6 +53,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Raw lines or events to `log_entries`, rollups and error groups.
 
+    `host=None` takes the host of each line from `raw`. Lines of `growing.follow_lines` are records
+    already if it was asked for them: `multiline` stays off here.
     `every=None` handles what is there and stops. `after_batch` gets the batch number when a
     batch is stored (to evaluate alerts, for example). A replayed batch finds its rows
     already stored and appends nothing.

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
+from frames import logs_frame
 from pyspark.sql import functions as F
 
 from tidelog.operators import pairing, parse, rollup, serve
@@ -93,6 +95,43 @@ def test_append_stream_keeps_equal_lines_and_takes_none_twice(spark, tmp_path):
     assert "day" in stored.columns
 
 
+def test_pairs_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    pick = random.Random(3)
+
+    def requests(low, high, count):
+        rows = []
+        for _ in range(count):
+            facts = {"req_id": pick.choice(["a", "b", "c", None]), "phase": pick.choice(["start", "end", None])}
+            facts["route"] = f"/{pick.randint(0, 9)}"
+            ts = T0 + timedelta(seconds=pick.randint(low, high))
+            rows.append((pick.randint(0, 10**6), ts, pick.choice(["web", "api"]), "INFO", "", facts))
+        return rows
+
+    # Out of order within the delay; a start that comes after its end; an end whose start is too old.
+    batches = [requests(0, 400, 60), requests(250, 900, 60), requests(700, 5000, 60)]
+    batches[1].append((1, T0 + timedelta(seconds=300), "late", "INFO", "", {"req_id": "x", "phase": "end"}))
+    batches[2].append((2, T0 + timedelta(seconds=290), "late", "INFO", "", {"req_id": "x", "phase": "start"}))
+    batches[2].append((3, T0 + timedelta(seconds=890), "late", "INFO", "", {"req_id": "x", "phase": "end"}))
+    last = (0, T0 + timedelta(days=9), "web", "INFO", "", {"req_id": "z", "phase": "end"})
+    schema = logs_frame(spark, [last]).schema
+    # The watermark follows the latest row: the third batch starts 100 s behind the second's end.
+    for rows in [*batches, [last], [(9, *last[1:])]]:
+        logs_frame(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        raw = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        pairs = pipeline.paired_stream(raw, 300, "11 minutes", unpaired=True)
+        writer = pairs.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+        writer.start(str(tmp_path / "out")).awaitTermination()
+    every = [row for rows in batches for row in rows]
+    want = pairing.pair_requests(logs_frame(spark, every), 300)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = out.filter("gap_ms IS NOT NULL").select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert ("late", 10.0) in {(r["service"], r["gap_ms"] / 1000) for r in got.collect()}
+    ends = {(r[2], r[5]["req_id"], r[1]) for r in every if r[5]["phase"] == "end" and r[5]["req_id"]}
+    assert {(r["service"], r["req_id"], r["ts"]) for r in out.collect()} == ends
+    assert out.count() == len(ends)
+
+
 def test_live_counts_and_tail(spark, tmp_path):
     folder = tmp_path / "in"
     write_file(folder, "web-out.log", [line(1, "ERROR a"), line(2, "b"), line(301, "WARN c")])

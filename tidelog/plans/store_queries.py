@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from tidelog.operators import retention
 from tidelog.plans import jobs
 from tidelog.plans.registry import query
-from tidelog.plans.rollup_queries import ROLLUPS
+from tidelog.plans.rollup_queries import PAIRS_SQL, ROLLUPS
 from tidelog.plans.standins import AS_OF, PAIR_GAP, VIEWS, base, ctes, logs, view
 from tidelog.plans.store import Store
 from tidelog.session import shared_dir
 from tidelog.sources import growing, ingest, tables
-from tidelog.streaming.pipeline import append_stream
+from tidelog.streaming.pipeline import append_stream, paired_stream
 
 
 def _new_folder(spark: SparkSession) -> str:
@@ -179,3 +179,25 @@ def followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.regexp_extract("file", r"(svc\d)", 1).alias("service")).agg(
         F.count("*").alias("n"), F.countDistinct(F.regexp_extract("message", r"^\d+", 0)).alias("n_ids"), F.sum(F.length("message")).alias("chars")
     )
+
+
+# Lines in three deliveries: the earlier half without half of its last five hours, the rest, and
+# one line of a day later, after which every end has left the stream.
+@query(ctes("logs", pairs=PAIRS_SQL) + "SELECT * FROM pairs")
+def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _new_folder(spark)
+    rows = logs(spark, sf_dir)
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    middle, at = F.lit(((low or 0) + (high or 0)) // 2), F.unix_micros("ts")
+    held = F.coalesce((at >= middle) | ((at >= middle - PAIR_GAP * 1_000_000) & (F.col("id") % 2 == 0)), F.lit(True))
+    late = F.timestamp_micros(F.lit((high or 0) + 86_400_000_000))
+    given = {"req_id": F.lit("closing"), "phase": F.lit("end")}
+    facts = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema["attrs"].dataType]
+    last = spark.range(1).select("id", late.alias("ts"), F.lit("closing").alias("service"), F.struct(*facts).alias("attrs"))
+    columns = ["id", "ts", "service", "attrs"]
+    for delivery in (rows.filter(~held), rows.filter(held), last):
+        delivery.select(*columns).write.mode("append").parquet(f"{folder}/in")
+        lines = spark.readStream.schema(rows.select(*columns).schema).parquet(f"{folder}/in")
+        writer = paired_stream(lines, PAIR_GAP, "6 hours").writeStream.option("checkpointLocation", f"{folder}/progress")
+        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

@@ -114,3 +114,54 @@ def live_counts(rows: DataFrame, watermark: str = "15 minutes", width: str = "5
         )
         .select(F.col("w.start").alias("bucket"), "host", "service", "total", "errors", "warns")
     )
+
+
+def paired_stream(
+    logs: DataFrame,
+    max_gap_seconds: int = pairing.MAX_GAP_SECONDS,
+    watermark: str = "10 minutes",
+    unpaired: bool = False,
+) -> DataFrame:
+    """`pairing.pair_requests` of a stream: an end line leaves once no start can come for it any more.
+
+    Starts and ends are reduced to distinct moments, joined over the gap, and the latest start
+    of each end is kept. State goes with the watermark, so it holds the gap and the watermark's
+    delay, not the stream. `unpaired` also gives the ends without a start, `gap_ms` NULL. Lines
+    later than the watermark are missing here, not in stored rollups; lines without a service or
+    a request id take no part. A request id that is
+    on many lines meets all starts of one gap at each end: what the batch form avoids.
+    """
+    requests = logs.select(
+        "service",
+        F.col("attrs.req_id").alias("req_id"),
+        "ts",
+        "id",
+        F.col("attrs.phase").alias("phase"),
+        F.col("attrs.route").alias("route"),
+        F.col("attrs.method").alias("method"),
+    ).filter(F.col("service").isNotNull() & F.col("req_id").isNotNull())
+    requests = requests.withWatermark("ts", watermark)
+    key = ["service", "req_id", "ts"]
+    ends = requests.filter(F.col("phase") == "end").select(*key).dropDuplicates(key)
+    starts = (
+        requests.filter(F.col("phase") == "start")
+        .groupBy(F.col("service").alias("_service"), F.col("req_id").alias("_req_id"), F.col("ts").alias("_ts"))
+        .agg(F.max(F.struct("id", "route", "method")).alias("_line"))
+    )
+    gap = F.make_dt_interval(secs=F.lit(max_gap_seconds))
+    near = (
+        (F.col("service") == F.col("_service"))
+        & (F.col("req_id") == F.col("_req_id"))
+        & (F.col("_ts") <= F.col("ts"))
+        & (F.col("_ts") > F.col("ts") - gap)
+    )
+    start = F.when(F.col("_ts").isNotNull(), F.struct(F.unix_micros("_ts").alias("at"), "_line"))
+    joined = ends.join(starts, near, "left_outer").select(*key, start.alias("_start"))
+    found = joined.groupBy(*key).agg(F.max("_start").alias("_start"))
+    pairs = found.select(
+        *key,
+        ((F.unix_micros("ts") - F.col("_start.at")) / 1000.0).alias("gap_ms"),
+        F.col("_start._line.route").alias("route"),
+        F.col("_start._line.method").alias("method"),
+    )
+    return pairs if unpaired else pairs.filter(F.col("gap_ms").isNotNull())

@@ -94,6 +94,72 @@ def test_alert_job(spark, tmp_path):
     assert [r["state"] for r in store.read("alert_state").collect()] == ["resolved"]
 
 
+def test_condition_that_fails_while_running_costs_its_own_rules_only(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.replace("alert_rules", alerts.seed_default_rules(store.read("alert_rules")))
+    lines = [(i, "web", "ERROR", f"boom at line {i}", None) for i in range(30)]
+    tables.ingest_rows(spark, rows_of(spark, *lines), store.path("log_entries"))
+    bad = {r["id"] for r in store.read("alert_rules").filter("kind = 'error_rate'").collect()}
+    jobs.run_alerts(store, T0 + timedelta(minutes=1), "hub")
+    before = sorted(map(repr, store.read("alert_state").collect()))
+
+    def broken(given, window, as_of):
+        rows = given["log_entries"].select(F.col("service").alias("key"))
+        return rows.withColumn("value", F.raise_error(F.lit("no such unit")).cast("double"))
+
+    monkeypatch.setitem(alerts.CONDITIONS, "error_rate", broken)
+    done = jobs.run_alerts(store, T0 + timedelta(hours=1), "hub")
+    assert set(done.failures) == bad and all("no such unit" in text for text in done.failures.values())
+    assert done.evaluated and not bad & set(done.evaluated)
+    assert sorted(map(repr, store.read("alert_state").collect())) == before
+
+
+def test_backfill_of_days_whose_counts_are_gone_adds_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    days = [-40, -31, -29, 0]
+    lines = [(d * 86400 + i, "web", "ERROR", "boom", None) for d in days for i in range(3)]
+    tables.ingest_rows(spark, rows_of(spark, *lines), store.path("log_entries"))
+    every = jobs.bucket_list(T0 - timedelta(days=41), T0 + timedelta(minutes=5))
+    jobs.recompute(store, every)
+    jobs.run_retention(store, T0)
+    assert len(tables.list_days(spark, store.path("error_group_bucket"))) == 2
+    before = snapshot(store)
+    jobs.recompute(store, every)
+    assert snapshot(store) == before
+    assert [r["occurrences"] for r in store.read("error_groups").collect()] == [12]
+    # Open days still count what comes late.
+    more = [*lines, (-29 * 86400 + 9, "web", "ERROR", "boom", None)]
+    seen = tables.ingest_rows(spark, rows_of(spark, *more), store.path("log_entries"))
+    jobs.recompute(store, jobs.touched_buckets(seen))
+    assert [r["occurrences"] for r in store.read("error_groups").collect()] == [13]
+
+
+def test_compaction_keeps_rows_and_ledger(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    path = store.path("log_entries")
+    lines = [(i, "web", "INFO", f"line {i % 7}", None) for i in range(12)] + [(-86400, "web", "INFO", "old", None)]
+    for n in range(len(lines)):
+        tables.ingest_rows(spark, rows_of(spark, lines[n]), path)
+    tables.write_logs(rows_of(spark, (99, "api", "INFO", "no key", None)), path)
+
+    def rows():
+        return sorted(map(repr, store.read("log_entries").collect()))
+
+    def files(where):
+        return {r["day"].day: r["files"] for r in tables.partition_sizes(spark, where).collect()}
+
+    before, entries = rows(), files(tables._ledger(path))[10]
+    assert files(path) == {9: 1, 10: 13}
+    assert jobs.run_compaction(store, before=T0)["log_entries"] == []
+    assert jobs.run_compaction(store)["log_entries"] == [date(2026, 1, 10)]
+    assert files(path) == {9: 1, 10: 1} and rows() == before
+    assert files(tables._ledger(path))[10] <= min(16, entries)
+    # The ledger still knows every line.
+    tables.ingest_rows(spark, rows_of(spark, *lines), path)
+    assert rows() == before
+    assert jobs.run_compaction(store)["log_entries"] == []
+
+
 def test_retention_job(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     lines = [(-d * 86400, "web", "INFO", f"day {d}", None) for d in range(5)]

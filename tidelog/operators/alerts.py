@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,16 +82,24 @@ class Evaluation:
     failures: dict[int, str] = field(default_factory=dict)
 
 
+STAGED_AT_ONCE = 4
 FIRING_DDL = "rule_id int, kind string, key string, value double"
 
 
-def evaluate(rules: DataFrame, tables: Tables, as_of: Moment) -> Evaluation:
+def evaluate(
+    rules: DataFrame,
+    tables: Tables,
+    as_of: Moment,
+    stage: Callable[[DataFrame], DataFrame] | None = None,
+) -> Evaluation:
     """All enabled rules against the tables.
 
     Rules are configuration and choose which plans are built. Rules of one kind and window
     share one plan: its result rows are fanned out to the rules, so nothing is scanned once
     per rule. A rule whose plan cannot be built is reported in `failures` and not counted
-    as evaluated, so its state stays as it is.
+    as evaluated, so its state stays as it is. `stage` (such as `session.cut_lineage`) writes the
+    result of each plan by a job of its own, a few at a time: then the same holds for a
+    condition that fails while it runs.
     """
     spark = rules.sparkSession
     enabled = (
@@ -108,15 +119,22 @@ def evaluate(rules: DataFrame, tables: Tables, as_of: Moment) -> Evaluation:
         if rule["kind"] in CONDITIONS:
             shared.setdefault((rule["kind"], rule["window"]), []).append(rule)
 
-    result = Evaluation(spark.createDataFrame([], FIRING_DDL))
-    for (kind, window), members in shared.items():
-        ids = [rule["id"] for rule in members]
+    def measure(one: tuple[tuple[str, int], list[Row]]) -> DataFrame | Exception:
+        (kind, window), members = one
         try:
-            measured = CONDITIONS[kind](tables, window, as_of)
-            part = _fan_out(kind, measured, members)
+            part = _fan_out(kind, CONDITIONS[kind](tables, window, as_of), members)
             part.schema  # analysed here, so a broken condition only costs its own rules
+            return stage(part) if stage else part
         except Exception as problem:  # noqa: BLE001 - one broken rule must not stop the rest
-            result.failures.update({i: str(problem) for i in ids})
+            return problem
+
+    result = Evaluation(spark.createDataFrame([], FIRING_DDL))
+    with ThreadPoolExecutor(STAGED_AT_ONCE if stage else 1) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(measure), shared.items()))
+    for members, part in zip(shared.values(), parts):
+        ids = [rule["id"] for rule in members]
+        if isinstance(part, Exception):
+            result.failures.update({i: str(part) for i in ids})
             continue
         result.firing = result.firing.unionByName(part)
         result.evaluated += ids

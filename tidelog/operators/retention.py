@@ -53,6 +53,8 @@ def expire_partitions(
     """Drop expired day partitions; returns the audit rows. No data is read or rewritten."""
     keep = KEEP_DAYS.get(table, 0) if keep is None else keep
     gone = expired_days(tables.list_days(spark, path), keep, as_of)
+    if gone and table == "error_group_bucket":
+        tables.close_days(spark, path, max(gone))
     tables.drop_days(spark, path, gone)
     return audit_rows(spark, as_of, [("drop_partition", f"{table} {d.isoformat()}") for d in gone])
 

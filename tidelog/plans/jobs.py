@@ -100,8 +100,14 @@ def _recompute_errors(store: Store, inside: DataFrame, chosen: DataFrame) -> Non
 
     Only a fingerprint that occurs more often than already counted is a recurrence, so
     recomputing the same rows neither adds to a group nor reopens a resolved one. The new
-    groups are staged before and published after the buckets are replaced.
+    groups are staged before and published after the buckets are replaced. Days whose bucket
+    counts retention has dropped are closed: what was counted there is not known any more, so
+    their buckets add nothing, in particular not once more.
     """
+    closed = tables.closed_through(store.spark, store.path("error_group_bucket"))
+    if closed is not None:
+        inside = inside.filter(F.to_date("ts") > F.lit(closed))
+        chosen = chosen.filter(F.to_date("bucket") > F.lit(closed))
     rows = errors.error_rows(inside)
     new_counts = cut_lineage(errors.group_buckets(rows))
     counted = store.read("error_group_bucket").join(chosen, "bucket", "left_semi")
@@ -139,12 +145,12 @@ _CONDITION_TABLES = [
 def run_alerts(store: Store, as_of: Moment, host: str = "unknown") -> alerts.Evaluation:
     """Evaluate all rules, keep the new state, append the events of this run.
 
-    The result of the conditions is written once and used for state and events, so both
-    speak of the same moment even while logs keep arriving.
+    The result of each condition is written once and used for state and events, so both speak of
+    the same moment even while logs keep arriving. A condition that fails, when it is planned or
+    while it runs, leaves the state of its own rules alone.
     """
     rules = store.read("alert_rules")
-    done = alerts.evaluate(rules, {t: store.read(t) for t in _CONDITION_TABLES}, as_of)
-    done.firing = cut_lineage(done.firing)
+    done = alerts.evaluate(rules, {t: store.read(t) for t in _CONDITION_TABLES}, as_of, stage=cut_lineage)
     state, events = alerts.transitions(
         store.read("alert_state"), done.firing, rules, as_of, done.evaluated, host
     )
@@ -155,6 +161,18 @@ def run_alerts(store: Store, as_of: Moment, host: str = "unknown") -> alerts.Eva
     return done
 
 
+def run_compaction(store: Store, most_files: int = 8, before: Moment | None = None) -> dict[str, list]:
+    """Few files instead of many for the days of all day tables; returns the days by table.
+
+    `before` leaves younger days alone, which still get rows.
+    """
+    edge = utc(before).date() if before is not None else None
+    return {
+        table: tables.compact_days(store.spark, store.path(table), table, most_files, edge)
+        for table in DAY_TABLES
+    }
+
+
 def run_retention(store: Store, as_of: Moment, log_days: int | None = None) -> DataFrame:
     """Drop expired days, prune the other tables, record what was dropped."""
     entries = None

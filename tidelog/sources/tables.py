@@ -15,6 +15,7 @@ from tidelog.session import cut_lineage
 from tidelog.sources import ingest
 
 KEPT_VERSIONS = 3
+FILE_BYTES = 64 << 20
 KEPT_SECONDS = 86400  # a version that was current so long ago may still be read by a query
 
 
@@ -58,13 +59,7 @@ def overwrite_days(df: DataFrame, path: str) -> None:
 
     Dynamic overwrite stages the new files first, so `df` may read the table it replaces.
     """
-    (
-        df.hint("rebalance", "day")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
+    _overwrite(df.hint("rebalance", "day"), path, "day")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,6 +162,57 @@ def drop_days(spark: SparkSession, path: str, days: list[date]) -> None:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day.isoformat()}"), True)
 
 
+def close_days(spark: SparkSession, path: str, through: date) -> None:
+    """Note that the days up to `through` take no more rows. Written before they are dropped."""
+    fs, _ = _filesystem(spark, path)
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_closed-{through.isoformat()}"), True).close()
+
+
+def closed_through(spark: SparkSession, path: str) -> date | None:
+    if not exists(spark, path):
+        return None
+    fs, where = _filesystem(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    return max((date.fromisoformat(n[8:]) for n in names if n.startswith("_closed-")), default=None)
+
+
+def compact_days(
+    spark: SparkSession, path: str, table: str, most_files: int = 8, before: date | None = None
+) -> list[date]:
+    """Rewrite days of more than `most_files` files, and far more than their bytes need, into files
+    of the session's advisory partition size. Rows stay what they are, sorted as `write_logs`
+    leaves them. The days' ledger shrinks with them: one entry a line. Returns the days.
+
+    All days are replaced by one dynamic overwrite, staged first. As with `purge`, nothing else
+    may write these days meanwhile.
+    """
+    if not list_days(spark, path):
+        return []
+    many = (F.col("files") > most_files) & (F.col("files") > 8 * F.ceil(F.col("bytes") / FILE_BYTES))
+    if before is not None:
+        many = many & (F.col("day") < F.lit(before))
+    days = sorted(r["day"] for r in partition_sizes(spark, path).filter(many).select("day").collect())
+    if not days:
+        return []
+    # Files of different deliveries may have more columns than the table declares.
+    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    rows = stored.filter(F.col("day").isin(days)).hint("rebalance", "day")
+    if table == "log_entries":
+        rows = rows.sortWithinPartitions("day", "service", "ts")
+    _overwrite(rows, path, "day")
+    ledger = _ledger(path)
+    if exists(spark, ledger) and not _open_marks(spark, ledger):
+        entries = spark.read.schema(_LEDGER_DDL).parquet(ledger).filter(F.col("day").isin(days))
+        entries = entries.groupBy("key", "day", "prefix").agg(F.max("copies").alias("copies"))
+        _overwrite(entries.hint("rebalance", "day", "prefix"), ledger, "day", "prefix")
+    return days
+
+
+def _overwrite(rows: DataFrame, path: str, *folders: str) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*folders).parquet(path)
+
+
 def partition_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Bytes and files per day. Only the file listing is used: no file is opened."""
     listing = (

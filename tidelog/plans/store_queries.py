@@ -201,3 +201,29 @@ def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         writer = paired_stream(lines, PAIR_GAP, "6 hours").writeStream.option("checkpointLocation", f"{folder}/progress")
         writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+# Twelve small deliveries, then few files a day.
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, true AS few_files FROM events GROUP BY 1")
+def compacted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, _new_folder(spark))
+    path = store.path("log_entries")
+    for part in range(12):
+        tables.write_logs(_log_rows(logs(spark, sf_dir).filter(F.col("id") % 12 == part)), path)
+    jobs.run_compaction(store)
+    sizes = tables.partition_sizes(spark, path)
+    few = F.col("files") <= F.greatest(F.lit(8), 8 * F.ceil(F.col("bytes") / tables.FILE_BYTES))
+    rows = store.read("log_entries").groupBy("day").agg(F.count("*").alias("n"))
+    return rows.join(sizes.select("day", few.alias("few_files")), "day")
+
+
+# Everything is counted, the counts of the older days are dropped, everything is counted again.
+@query(ctes("logs") + "SELECT service, count(*) AS occurrences FROM logs WHERE severity = 'ERROR' GROUP BY 1")
+def closed_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _stored_logs(spark, sf_dir)
+    buckets = jobs.touched_buckets(store.read("log_entries"), 0)
+    jobs.recompute(store, buckets, PAIR_GAP)
+    counts = "error_group_bucket"
+    retention.expire_partitions(spark, store.path(counts), counts, AS_OF, keep=10)
+    jobs.recompute(store, buckets, PAIR_GAP)
+    return store.read("error_groups").groupBy("service").agg(F.sum("occurrences").alias("occurrences"))

@@ -167,15 +167,18 @@ def followed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = sorted(glob.glob(f"{folder}/in/*/*.txt"))
     files = spark.createDataFrame([(p, os.path.getsize(p), p.split("service=")[1][:4]) for p in paths], "path string, size long, service string")
     files = files.groupBy("service").agg(F.collect_list(F.struct("path", "size")).alias("files"))
-    rest = lines.filter("id % 3 = 0").join(files, "service")
+    rest = lines.filter("id % 3 = 0")
+    unseen = rest.join(files, "service", "left_anti").select("service", "line")
+    rest = rest.join(files, "service")
     rest = rest.select("line", F.get("files", F.pmod(F.hash("id"), F.size("files"))).alias("file"))
     rest = rest.select("file.path", "file.size", "line").repartition("path")
     rest.mapInPandas(_append, "n long").agg(F.sum("n")).collect()
     for path in paths[::2]:
         os.rename(path, f"{path}.1")
+    unseen.write.mode("append").partitionBy("service").text(f"{folder}/in")
     follow()
     follow(progress=f"{folder}/ended", idle_seconds=0)
-    found = spark.read.parquet(f"{folder}/out")
+    found = spark.read.schema("message string, file string").parquet(f"{folder}/out")
     return found.groupBy(F.regexp_extract("file", r"(svc\d)", 1).alias("service")).agg(
         F.count("*").alias("n"), F.countDistinct(F.regexp_extract("message", r"^\d+", 0)).alias("n_ids"), F.sum(F.length("message")).alias("chars")
     )

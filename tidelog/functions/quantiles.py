@@ -5,9 +5,10 @@ group is spread over many tasks instead:
 
 1. equal values of a group are counted (partial aggregation before the shuffle, and the
    value is part of the shuffle key);
-2. a group's value axis is cut into slots by a monotone function, ranks run inside a slot,
-   and only the few slot totals of a group are added up to get every slot's first rank;
-3. the distinct values whose rank interval covers a wanted position are picked.
+2. a group's value axis is cut into slots by a monotone function, and the few slot totals of
+   a group are added up, which gives every slot its first rank;
+3. only the slots that hold a wanted position are joined back to the distinct values, and only
+   their values are sorted; those whose rank interval covers a wanted position are picked.
 
 Nothing is sampled or approximated; the result is `lo + (hi - lo) * fraction` as in SQL's
 `percentile_cont`.
@@ -55,52 +56,63 @@ def grouped_quantiles(
     fed = fed.withColumn("_slot", _slot(F.col("_v")))
     distinct = fed.groupBy("_k", "_slot", "_v", "_bits").agg(F.count("*").alias("_n"))
 
-    in_slot = (
-        Window.partitionBy("_k", "_slot")
-        .orderBy("_v", "_bits")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = distinct.withColumn("_upto", F.sum("_n").over(in_slot))
+    def with_bit(i: int) -> Column:
+        is_set = F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
+        return F.sum(F.when(is_set, F.col("_n")).otherwise(F.lit(0)))
 
+    slots = distinct.groupBy("_k", "_slot").agg(
+        F.sum(F.when(F.col("_slot") != _NO_VALUE, F.col("_n")).otherwise(F.lit(0))).alias("_slot_n"),
+        F.max("_v").alias("_slot_max"),
+        *[with_bit(i).alias(f"_c{i}") for i in range(len(counts))],
+    )
     of_key = Window.partitionBy("_k")
-    valued = F.when(F.col("_slot") != _NO_VALUE, F.col("_n")).otherwise(F.lit(0))
-    slots = distinct.groupBy("_k", "_slot").agg(F.sum(valued).alias("_slot_n"))
+    so_far = of_key.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = [F.sum(f"_c{i}").over(of_key).alias(f"_c{i}") for i in range(len(counts))]
     slots = slots.select(
         "_k",
         "_slot",
-        (
-            F.sum("_slot_n").over(
-                of_key.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            - F.col("_slot_n")
-        ).alias("_before"),
+        "_slot_n",
+        (F.sum("_slot_n").over(so_far) - F.col("_slot_n")).alias("_before"),
         F.sum("_slot_n").over(of_key).alias("_total"),
+        F.max("_slot_max").over(of_key).alias("_max"),
+        *totals,
     )
 
-    last = F.col("_before") + F.col("_upto")
-    first = last - F.col("_n")
-    placed = ranked.join(slots, ["_k", "_slot"]).withColumns({"_first": first, "_last": last})
+    positions = [F.lit(p) * (F.col("_total") - 1) for p in quantiles.values()]
+
+    def holds(position: Column) -> Column:
+        return (F.col("_before") <= position) & (position < F.col("_before") + F.col("_slot_n"))
+
+    # A group without values has one slot, which carries its counts.
+    wanted = F.col("_total") == 0
+    for position in positions:
+        wanted = wanted | holds(F.floor(position)) | holds(F.ceil(position))
+    chosen = slots.filter(wanted).drop("_slot_n")
+    placed = distinct.drop("_bits").join(chosen, ["_k", "_slot"])
+
+    # Equal values with other bits may stand in any order: the picks only see the value.
+    in_slot = (
+        Window.partitionBy("_k", "_slot")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    last = F.col("_before") + F.sum("_n").over(in_slot)
+    placed = placed.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
 
     def at(position: Column) -> Column:
         covers = (F.col("_first") <= position) & (position < F.col("_last"))
         return F.max(F.when(covers, F.col("_v")))
 
     picked = []
-    for name, p in quantiles.items():
-        position = F.lit(p) * (F.col("_total") - 1)
+    for name, position in zip(quantiles, positions):
         picked += [
             at(F.floor(position)).alias(f"_lo_{name}"),
             at(F.ceil(position)).alias(f"_hi_{name}"),
         ]
-
-    def with_bit(i: int) -> Column:
-        is_set = F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
-        return F.sum(F.when(is_set, F.col("_n")).otherwise(F.lit(0)))
-
     grouped = placed.groupBy("_k").agg(
-        *[with_bit(i).alias(n) for i, n in enumerate(counts)],
+        *[F.max(f"_c{i}").alias(n) for i, n in enumerate(counts)],
         F.max("_total").alias("_total"),
-        F.max("_v").alias("_max"),
+        F.max("_max").alias("_max"),
         *picked,
     )
 

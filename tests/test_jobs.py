@@ -294,3 +294,22 @@ def test_versions_are_published_whole_and_old_ones_go(spark, tmp_path):
     staged = tables.stage_version(store.read("cert_expiry"), root)
     tables.publish_version(spark, root, staged, keep_seconds=0)
     assert len(tables._versions(spark, root)) == tables.KEPT_VERSIONS
+
+
+def test_buckets_prune_days_on_the_executors(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    lines = [x for d in range(4) for x in (start(d * 86400 + 5), end(d * 86400 + 9))]
+    seen = tables.ingest_rows(spark, rows_of(spark, *lines), store.path("log_entries"))
+    touched = jobs.touched_buckets(seen.filter(F.col("ts") < F.lit(T0 + timedelta(days=1))))
+    found = jobs._rows_of(store.read("log_entries"), touched)
+    assert found.count() == 2
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    jobs.recompute(store, touched)
+    assert store.read("log_rollup").count() == 1
+    got = store.read("latency_sketch").select("timed", "min_ms", "max_ms").collect()
+    assert [tuple(r) for r in got] == [(1, 4000.0, 4000.0)]
+    # A day that has no rows any more goes, the others stay.
+    jobs.recompute(store, jobs.touched_buckets(seen))
+    tables.drop_days(spark, store.path("log_entries"), [T0.date()])
+    jobs.recompute(store, touched)
+    assert len(tables.list_days(spark, store.path("log_rollup"))) == 3

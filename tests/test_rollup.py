@@ -177,3 +177,29 @@ def test_quantiles_of_null_keys(spark):
     assert {tuple(r) for r in got.collect()} == {
         (None, "a", 2.0, 3.0, 2), (None, None, 5.0, 5.0, 1), ("h", "a", 7.0, 7.0, 1), ("h", None, None, None, 0)
     }
+
+
+def test_merged_sketches_keep_ranks(spark):
+    rows = spark.range(60_000).select(
+        (F.timestamp_seconds(F.col("id") % 7200 + 1767225600)).alias("ts"),
+        F.concat(F.lit("h"), F.col("id") % 3).alias("host"),
+        F.when(F.col("id") % 3 == 0, "one").otherwise("two").alias("service"),
+        F.when(F.col("id") % 11 > 0, F.pmod(F.hash("id"), F.lit(9_000)) / 3.0).alias("dur"),
+    )
+    sketches = rollup.latency_sketches(rows)
+    assert sketches.count() == 24 * 3
+    at_once = rollup.merge_sketches(sketches, 86400, ("service",))
+    twice = rollup.merge_sketches(rollup.merge_sketches(sketches, 3600), 86400, ("service",))
+    values = {}
+    for r in rows.filter("dur is not null").collect():
+        values.setdefault(r["service"], []).append(r["dur"])
+    for merged in (at_once, twice):
+        for r in rollup.sketch_quantiles(merged).collect():
+            own = np.array(values.pop(r["service"]) if merged is twice else values[r["service"]])
+            assert (r["timed"], r["min_ms"], r["max_ms"]) == (len(own), own.min(), own.max())
+            for name, q in rollup.QUANTILES.items():
+                low, high = (own < r[name]).mean(), (own <= r[name]).mean()
+                assert low - 3 * rollup.SKETCH_RANK_ERROR <= q <= high + 3 * rollup.SKETCH_RANK_ERROR
+    assert not values
+    few = rollup.sketch_quantiles(sketches.limit(0))
+    assert few.columns == ["bucket", "host", "service", "timed", "min_ms", "max_ms", *rollup.QUANTILES] and few.count() == 0

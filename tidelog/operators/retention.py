@@ -19,6 +19,7 @@ KEEP_DAYS = {
     "host_metrics": 90,
     "log_rollup": 90,
     "endpoint_rollup": 30,
+    "latency_sketch": 90,
     "error_groups": 90,
     "error_group_bucket": 30,
     "db_metrics": 30,
@@ -28,6 +29,7 @@ KEEP_DAYS = {
 TIME_COLUMN = {
     "log_rollup": "bucket",
     "endpoint_rollup": "bucket",
+    "latency_sketch": "bucket",
     "error_group_bucket": "bucket",
     "error_groups": "last_seen",
 }

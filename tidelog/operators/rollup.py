@@ -13,6 +13,9 @@ from tidelog.functions.timing import BUCKET_SECONDS, bucket
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 APDEX_T_MS = 500
 APDEX_4T_MS = 2000
+# Size of a sketch, and the share of all values by which its ranks are off at that size.
+SKETCH_K = 400
+SKETCH_RANK_ERROR = 0.0075
 
 
 def _failed() -> Column:
@@ -98,6 +101,49 @@ def combine_rollups(rollup: DataFrame, seconds: int = 3600) -> DataFrame:
     )
 
 
+def latency_sketches(resolved: DataFrame, seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """A mergeable sketch of the durations per (bucket, host, service).
+
+    A KLL sketch has a few KB at `SKETCH_K`, however many values went in, and is built on the map
+    side first. Buckets without a duration have no row.
+    """
+    rows = resolved.filter(F.col("dur").isNotNull()).withColumn("bucket", bucket(F.col("ts"), seconds))
+    return rows.groupBy("bucket", "host", "service").agg(
+        F.count("*").alias("timed"),
+        F.min("dur").alias("min_ms"),
+        F.max("dur").alias("max_ms"),
+        F.kll_sketch_agg_double("dur", F.lit(SKETCH_K)).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, seconds: int, keys: tuple[str, ...] = ("host", "service")) -> DataFrame:
+    """Sketches of a coarser window, or of fewer keys: an hour, a month, a service on all hosts.
+
+    Merging again gives what merging at once gives, within the bound of `SKETCH_K`.
+    """
+    merged = sketches.groupBy(bucket(F.col("bucket"), seconds).alias("bucket"), *keys)
+    return merged.agg(
+        F.sum("timed").alias("timed"),
+        F.min("min_ms").alias("min_ms"),
+        F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"),
+    )
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Percentiles of each sketch, its other columns kept.
+
+    An answer is a value that occurred, whose rank is off by `SKETCH_RANK_ERROR` of all values at
+    most in 99 of 100 cases; sketches of fewer than `SKETCH_K` values are exact. The least and the
+    greatest value are kept beside the sketch and are exact always.
+    """
+    wanted = quantiles or QUANTILES
+    answers = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(q) for q in wanted.values()]))
+    found = sketches.withColumn("_answers", answers)
+    picked = {name: F.col("_answers")[i] for i, name in enumerate(wanted)}
+    return found.withColumns(picked).drop("_answers", "sketch")
+
+
 def latency_summary(rollup: DataFrame) -> DataFrame:
     """Per service: quantiles averaged over buckets by request count, and the worst bucket."""
     weight = F.greatest(F.coalesce(F.col("timed"), F.lit(0)), F.lit(1))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.timing import BUCKET_SECONDS, align, align_up, bucket, time_range, utc
@@ -29,65 +29,69 @@ def bucket_list(low: Moment, high: Moment) -> list[datetime]:
     return out
 
 
-def touched_buckets(rows: DataFrame, max_gap_seconds: int = pairing.MAX_GAP_SECONDS) -> list[datetime]:
-    """Buckets whose rollups change when `rows` are added.
+def touched_buckets(rows: DataFrame, max_gap_seconds: int = pairing.MAX_GAP_SECONDS) -> DataFrame:
+    """Buckets (column bucket) whose rollups change when `rows` are added.
 
     A line changes its own bucket. A start line can also give a duration to an end line up to
-    the maximum gap later. The number of buckets is bounded by time, not by rows.
+    the maximum gap later.
     """
-    ahead = -(-max_gap_seconds // BUCKET_SECONDS)
     own = bucket(F.col("ts"))
-    later = F.when(F.col("attrs.phase") == "start", F.lit(ahead)).otherwise(F.lit(0))
-    steps = F.sequence(F.lit(0), later)
-    micros = F.unix_micros(own)
-    starts = F.transform(steps, lambda i: micros + i.cast("bigint") * (BUCKET_SECONDS * 1_000_000))
-    found = rows.select(F.explode(starts).alias("at")).distinct().collect()
-    return sorted(datetime.fromtimestamp(r["at"] / 1e6, timezone.utc) for r in found)
+    later = F.when(F.col("attrs.phase") == "start", F.lit(_buckets_of(max_gap_seconds))).otherwise(F.lit(0))
+    return rows.select(F.explode(_steps(own, F.lit(0), later)).alias("bucket")).distinct()
 
 
-def _bucket_frame(store: Store, buckets: list[datetime]) -> DataFrame:
-    frame = store.spark.createDataFrame([(b,) for b in buckets], "bucket timestamp")
-    return F.broadcast(frame)  # bounded: 288 narrow rows for each day that is recomputed
+def _buckets_of(seconds: int) -> int:
+    return -(-seconds // BUCKET_SECONDS)
 
 
-def _rows_of(logs: DataFrame, store: Store, buckets: list[datetime]) -> DataFrame:
-    """Log rows of the given buckets; days without any of them are not read."""
-    days = sorted({b.date() for b in buckets})
-    wanted = _bucket_frame(store, buckets).withColumnRenamed("bucket", "_bucket")
-    rows = logs.filter(F.col("day").isin(days)).withColumn("_bucket", bucket(F.col("ts")))
-    return rows.join(wanted, "_bucket", "left_semi").drop("_bucket")
+def _steps(at: Column, first: Column, last: Column) -> Column:
+    """Bucket starts from `first` to `last` buckets after `at`."""
+    return F.transform(
+        F.sequence(first, last), lambda i: F.timestamp_seconds(F.unix_seconds(at) + i.cast("bigint") * BUCKET_SECONDS)
+    )
+
+
+def _rows_of(logs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Log rows of the given buckets. The buckets prune the days of the scan while it runs
+    (288 narrow rows a day at most are broadcast); other days are not read."""
+    wanted = tables.with_days(buckets).withColumnRenamed("bucket", "_bucket")
+    rows = logs.withColumn("_bucket", bucket(F.col("ts")))
+    return rows.join(F.broadcast(wanted), ["day", "_bucket"], "left_semi").drop("_bucket")
 
 
 def recompute(
     store: Store,
-    buckets: Iterable[datetime],
+    buckets: DataFrame | Iterable[datetime],
     max_gap_seconds: int = pairing.MAX_GAP_SECONDS,
 ) -> None:
     """Rebuild rollups and error counts of whole buckets from the stored logs.
 
     Everything is computed from all rows of a bucket, never added to what was there, so late
-    rows are included and running it again changes nothing. Both rollups come out of one
-    derivation.
+    rows are included and running it again changes nothing. The rollups and the sketches come
+    out of one derivation. Buckets of a frame (column bucket) stay on the executors; a list
+    stands for a range of time known beforehand, which also prunes inside a day.
     """
-    starts = sorted(set(buckets))
-    if not starts:
-        return
-    low, high = starts[0], starts[-1] + timedelta(seconds=BUCKET_SECONDS)
-    chosen = _bucket_frame(store, starts)
-    ahead = -(-max_gap_seconds // BUCKET_SECONDS)
-    stored = time_range(store.read("log_entries"), low - timedelta(seconds=BUCKET_SECONDS * ahead), high)
-    inside = time_range(stored, low, high)
-    if len(starts) * BUCKET_SECONDS < (high - low).total_seconds():
-        # Scattered buckets (late lines of other days): only they and what may pair with them.
-        around = {b - timedelta(seconds=BUCKET_SECONDS * k) for b in starts for k in range(ahead + 1)}
-        stored = _rows_of(stored, store, sorted(around))
-        inside = _rows_of(inside, store, starts)
-    pairs = pairing.pair_requests(stored, max_gap_seconds)
+    logs = store.read("log_entries")
+    ahead = _buckets_of(max_gap_seconds)
+    if isinstance(buckets, DataFrame):
+        chosen = cut_lineage(buckets.select("bucket").distinct())
+    else:
+        starts = sorted(set(buckets))
+        if not starts:
+            return
+        chosen = store.spark.createDataFrame([(b,) for b in starts], "bucket timestamp")
+        low, high = starts[0], starts[-1] + timedelta(seconds=BUCKET_SECONDS)
+        logs = time_range(logs, low - timedelta(seconds=BUCKET_SECONDS * ahead), high)
+    # Only what is rebuilt, and what may pair with it.
+    around = chosen.select(F.explode(_steps(F.col("bucket"), F.lit(-ahead), F.lit(0))).alias("bucket")).distinct()
+    inside = _rows_of(logs, chosen)
+    pairs = pairing.pair_requests(_rows_of(logs, around), max_gap_seconds)
     resolved = pairing.resolve(inside, pairs).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for table, build in (
             ("log_rollup", rollup.service_rollup),
             ("endpoint_rollup", rollup.endpoint_rollup),
+            ("latency_sketch", rollup.latency_sketches),
         ):
             tables.replace_buckets(store.spark, store.path(table), table, build(resolved), chosen)
     finally:
@@ -110,7 +114,8 @@ def _recompute_errors(store: Store, inside: DataFrame, chosen: DataFrame) -> Non
         chosen = chosen.filter(F.to_date("bucket") > F.lit(closed))
     rows = errors.error_rows(inside)
     new_counts = cut_lineage(errors.group_buckets(rows))
-    counted = store.read("error_group_bucket").join(chosen, "bucket", "left_semi")
+    wanted = F.broadcast(tables.with_days(chosen))
+    counted = store.read("error_group_bucket").join(wanted, ["day", "bucket"], "left_semi")
     change = new_counts.select("fp", "occurrences").unionByName(
         counted.select("fp", (-F.col("occurrences")).alias("occurrences"))
     )

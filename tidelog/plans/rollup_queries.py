@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.timing import recent
+from tidelog.functions.timing import bucket, recent
 from tidelog.operators import errors as E
 from tidelog.operators import pairing, rollup
 from tidelog.plans.registry import query
@@ -195,6 +195,40 @@ def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(combined, "req_per_sec", "error_rate", "apdex")
 
 
+# Percentiles of a month and of a day from merged five-minute sketches: each answer is a value that
+# occurred, and its rank in the exact data is compared with the wanted one. Three times the
+# usual error is allowed here, so that chance alone does not change the rows.
+@query(
+    ctes("logs", pairs=PAIRS_SQL, resolved=RESOLVED_SQL)
+    + """
+    SELECT span, service, bucket, count(*) AS timed, min(dur) AS min_ms, max(dur) AS max_ms,
+           true AS p50_ms, true AS p95_ms, true AS p99_ms
+    FROM (SELECT 'day' AS span, service, time_bucket(INTERVAL '1 day', ts) AS bucket, dur FROM resolved
+          UNION ALL SELECT 'days', service, to_timestamp(floor(epoch(ts) / 2592000) * 2592000) AT TIME ZONE 'UTC', dur
+          FROM resolved)
+    WHERE dur IS NOT NULL GROUP BY 1, 2, 3"""
+)
+def sketched_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = resolved(spark, sf_dir).filter(F.col("dur").isNotNull())
+    kept = rollup.latency_sketches(timed)
+    parts = []
+    for span, seconds in (("day", 86400), ("days", 30 * 86400)):
+        answers = rollup.sketch_quantiles(rollup.merge_sketches(kept, seconds, ("service",)))
+        values = timed.select("service", bucket(F.col("ts"), seconds).alias("bucket"), "dur")
+        ranks = values.join(answers, ["service", "bucket"])
+        ranks = ranks.groupBy("service", "bucket", "timed", "min_ms", "max_ms").agg(
+            *[F.count_if(F.col("dur") < F.col(p)).alias(f"{p}_low") for p in _P],
+            *[F.count_if(F.col("dur") <= F.col(p)).alias(f"{p}_high") for p in _P],
+        )
+        near = 3 * rollup.SKETCH_RANK_ERROR * F.col("timed") + 1
+        held = [
+            ((F.col(f"{p}_low") <= q * F.col("timed") + near) & (F.col(f"{p}_high") >= q * F.col("timed") - near)).alias(p)
+            for p, q in rollup.QUANTILES.items()
+        ]
+        parts.append(ranks.select(F.lit(span).alias("span"), "service", "bucket", "timed", "min_ms", "max_ms", *held))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     ROLLUPS
     + """

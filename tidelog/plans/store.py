@@ -10,7 +10,8 @@ from tidelog.sources import tables
 
 # Partitioned by day; the others are keyed and written whole as versions, or append-only.
 DAY_TABLES = [
-    "log_entries", "metrics", "host_metrics", "log_rollup", "endpoint_rollup", "error_group_bucket",
+    "log_entries", "metrics", "host_metrics", "log_rollup", "endpoint_rollup", "latency_sketch",
+    "error_group_bucket",
 ]
 VERSIONED = ["alert_rules", "alert_state", "error_groups", "cert_expiry"]
 APPENDED = ["alert_events", "maintenance_log", "db_metrics"]

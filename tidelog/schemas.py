@@ -50,6 +50,10 @@ TABLES: dict[str, str] = {
         "calls bigint, errors bigint, clienterr bigint, p50_ms double, p95_ms double, "
         "p99_ms double, max_ms double, day date"
     ),
+    "latency_sketch": (
+        "bucket timestamp, host string, service string, timed bigint, min_ms double, "
+        "max_ms double, sketch binary, day date"
+    ),
     "error_groups": (
         "fp string, host string, service string, severity string, sample string, "
         "first_seen timestamp, last_seen timestamp, occurrences bigint, state string"
@@ -91,6 +95,7 @@ def schema(table: str) -> T.StructType:
 KEYS: dict[str, list[str]] = {
     "log_rollup": ["bucket", "host", "service"],
     "endpoint_rollup": ["bucket", "host", "service", "method", "route"],
+    "latency_sketch": ["bucket", "host", "service"],
     "error_groups": ["fp"],
     "error_group_bucket": ["bucket", "fp"],
     "alert_state": ["rule_id", "service"],

@@ -77,6 +77,12 @@ def upsert_days(spark: SparkSession, path: str, table: str, new: DataFrame) -> N
     overwrite_days(merged, path)
 
 
+def with_days(buckets: DataFrame) -> DataFrame:
+    """Buckets with their days. The comparison is true for every bucket there can be: Spark prunes
+    the days of a scan by a joined frame only if that frame is filtered."""
+    return buckets.filter(F.col("bucket") >= F.lit("0001-01-01").cast("timestamp")).withColumn("day", F.to_date("bucket"))
+
+
 def replace_buckets(
     spark: SparkSession, path: str, table: str, new: DataFrame, buckets: DataFrame
 ) -> None:
@@ -84,17 +90,23 @@ def replace_buckets(
 
     Rows of other buckets on the same days are kept; other days are not read. A bucket that
     has no rows any more ends up empty, and a day without any row is dropped, since the
-    overwrite leaves days alone that it gets no row for.
+    overwrite leaves days alone that it gets no row for: it shows in their files, which are then
+    the same as before. Rows are computed and written once.
     """
     old = read_table(spark, path, table)
-    days = buckets.select(F.to_date("bucket").alias("day")).distinct()
-    kept = old.join(days, "day", "left_semi").join(buckets, "bucket", "left_anti")
+    dated = with_days(buckets)
+    days = dated.select("day").distinct()
+    kept = old.join(F.broadcast(days), "day", "left_semi").join(F.broadcast(dated), ["day", "bucket"], "left_anti")
     fresh = new.withColumn("day", F.to_date("bucket"))
-    result = cut_lineage(kept.select(*old.columns).unionByName(fresh.select(*old.columns)))
-    overwrite_days(result, path)
-    emptied = days.join(result.select("day"), "day", "left_anti").collect()  # at most the days given
-    stored = set(list_days(spark, path))
-    drop_days(spark, path, [row["day"] for row in emptied if row["day"] in stored])
+    stored = set(list_days(spark, path)) & {row["day"] for row in days.collect()}  # one row a day
+    before = {day: _files_of(spark, path, day) for day in stored}
+    overwrite_days(kept.select(*old.columns).unionByName(fresh.select(*old.columns)), path)
+    drop_days(spark, path, [day for day, files in before.items() if _files_of(spark, path, day) == files])
+
+
+def _files_of(spark: SparkSession, path: str, day: date) -> set[str]:
+    fs, where = _filesystem(spark, f"{path}/day={day.isoformat()}")
+    return {s.getPath().getName() for s in fs.listStatus(where)}
 
 
 def stage_version(df: DataFrame, root: str) -> str:

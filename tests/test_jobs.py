@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog import schemas
 from tidelog.operators import alerts, diagnose, metrics, pairing, retention, rollup, serve
-from tidelog.plans import jobs
+from tidelog.plans import jobs, standins
 from tidelog.plans.store import Store
 from tidelog.sources import ingest, tables
 
@@ -262,6 +262,14 @@ def test_verdicts_of_files(spark):
     assert diagnose.rollup_lag(logs, spark.createDataFrame([], "bucket timestamp")).first()["verdict"] == "never"
 
 
+def test_positions_do_not_hang_on_the_order_of_their_rows(spark, tmp_path):
+    prices = [(1, 0.7), (1, 0.1), (1, 0.2), (2, 84197.04), (2, 0.95)]  # 0.9999999999999999 as doubles
+    lines = spark.createDataFrame(prices, "l_orderkey bigint, l_extendedprice double")
+    lines.coalesce(1).sortWithinPartitions(F.desc("l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = standins.view(spark, str(tmp_path), "positions").collect()
+    assert {r["inode"]: r["position"] for r in found} == {1: 1, 2: 84197}
+
+
 def test_a_day_without_rows_is_dropped_when_its_buckets_are_replaced(spark, tmp_path):
     path, name = str(tmp_path / "t"), "error_group_bucket"
     first, second = datetime(2026, 1, 9, 12), datetime(2026, 1, 10, 12)

@@ -321,3 +321,12 @@ def test_buckets_prune_days_on_the_executors(spark, tmp_path):
     tables.drop_days(spark, store.path("log_entries"), [T0.date()])
     jobs.recompute(store, touched)
     assert len(tables.list_days(spark, store.path("log_rollup"))) == 3
+
+
+def test_touched_buckets_are_distinct_before_their_gap_is_spread(spark):
+    logs = rows_of(spark, (0, "s", "INFO", "x", None), (1, "s", "INFO", "y", None))
+    starts = logs.withColumn("attrs", F.struct(F.lit("start").alias("phase")))
+    touched = jobs.touched_buckets(starts, 3600)
+    assert touched.count() == 13
+    plan = touched._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Generate", 1)[1]  # the lower one is printed last

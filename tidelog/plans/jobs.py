@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,10 @@ def touched_buckets(rows: DataFrame, max_gap_seconds: int = pairing.MAX_GAP_SECO
     A line changes its own bucket. A start line can also give a duration to an end line up to
     the maximum gap later.
     """
-    own = bucket(F.col("ts"))
     later = F.when(F.col("attrs.phase") == "start", F.lit(_buckets_of(max_gap_seconds))).otherwise(F.lit(0))
-    return rows.select(F.explode(_steps(own, F.lit(0), later)).alias("bucket")).distinct()
+    # Few buckets first: a row of each start line for every bucket of a long gap would be many.
+    own = rows.select(bucket(F.col("ts")).alias("own"), later.alias("later")).distinct()
+    return own.select(F.explode(_steps(F.col("own"), F.lit(0), F.col("later"))).alias("bucket")).distinct()
 
 
 def _buckets_of(seconds: int) -> int:
@@ -87,16 +89,19 @@ def recompute(
     inside = _rows_of(logs, chosen)
     pairs = pairing.pair_requests(_rows_of(logs, around), max_gap_seconds)
     resolved = pairing.resolve(inside, pairs).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for table, build in (
-            ("log_rollup", rollup.service_rollup),
-            ("endpoint_rollup", rollup.endpoint_rollup),
-            ("latency_sketch", rollup.latency_sketches),
-        ):
-            tables.replace_buckets(store.spark, store.path(table), table, build(resolved), chosen)
-    finally:
-        resolved.unpersist()
-    _recompute_errors(store, inside, chosen)
+    # The error tables share no rows with the rollups, so their jobs fill what those leave idle.
+    with ThreadPoolExecutor(1) as beside:
+        counted = beside.submit(inheritable_thread_target(store.spark)(_recompute_errors), store, inside, chosen)
+        try:
+            for table, build in (
+                ("log_rollup", rollup.service_rollup),
+                ("endpoint_rollup", rollup.endpoint_rollup),
+                ("latency_sketch", rollup.latency_sketches),
+            ):
+                tables.replace_buckets(store.spark, store.path(table), table, build(resolved), chosen)
+        finally:
+            resolved.unpersist()
+        counted.result()
 
 
 def _recompute_errors(store: Store, inside: DataFrame, chosen: DataFrame) -> None:
@@ -112,7 +117,7 @@ def _recompute_errors(store: Store, inside: DataFrame, chosen: DataFrame) -> Non
     if closed is not None:
         inside = inside.filter(F.to_date("ts") > F.lit(closed))
         chosen = chosen.filter(F.to_date("bucket") > F.lit(closed))
-    rows = errors.error_rows(inside)
+    rows = cut_lineage(errors.error_rows(inside))  # fingerprints are taken once
     new_counts = cut_lineage(errors.group_buckets(rows))
     wanted = F.broadcast(tables.with_days(chosen))
     counted = store.read("error_group_bucket").join(wanted, ["day", "bucket"], "left_semi")

@@ -212,3 +212,10 @@ def test_infinite_duration_is_none(spark):
 
     rows = spark.createDataFrame([((float("inf"),),), ((float("nan"),),), ((2.0,),)], "attrs struct<duration_ms: double>")
     assert [r[0] for r in rows.select(_own_duration()).collect()] == [None, None, 2.0]
+
+
+def test_more_lines_are_spread_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_A_TASK", 10, raising=False)
+    lines = spark.range(0, 195, 1, 8)
+    assert files.spread_out(lines).rdd.getNumPartitions() == 20
+    assert files.spread_out(spark.range(0, 5, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -85,11 +85,15 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("row", order)
 
 
+ROWS_A_TASK = 100_000
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """Give every core a share of a source that comes in fewer pieces than there are cores
-    (one small or unsplittable file). Larger sources are left alone: nothing is shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    (one small or unsplittable file), and no task more than `ROWS_A_TASK` lines on the average: a
+    line costs far more to parse than to count. Other sources are left alone: nothing is shuffled."""
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 
 def assemble_records(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -32,3 +32,11 @@ def test_entry_contract(spark):
     assert contract.queries().keys() >= contract.oracle_sql().keys()
     assert contract.queries().keys() >= QUERIES.keys()
     assert contract.entry(spark).columns[:3] == ["bucket", "host", "service"]
+
+
+def test_rollups_are_computed_once_for_all_kinds_of_rules(spark):
+    from tidelog.plans import alert_queries
+
+    found = alert_queries._all_tables(spark, SF_DIR)
+    for name in ("log_rollup", "endpoint_rollup"):
+        assert "Aggregate" not in found[name]._jdf.queryExecution().optimizedPlan().toString()

@@ -22,6 +22,7 @@ from tidelog.plans.rollup_queries import (
     triaged_groups,
 )
 from tidelog.plans.standins import AS_OF, MONTH, WEEK, base, ctes, from_sql, logs, view
+from tidelog.session import cut_lineage
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -174,7 +175,9 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 
 def _all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return tables(spark, sf_dir, *sorted({n for needs in _NEEDS.values() for n in needs}))
+    """All tables; the rollups, which two kinds each read, are computed once, as a store has them."""
+    found = tables(spark, sf_dir, *sorted({n for needs in _NEEDS.values() for n in needs}))
+    return found | {n: cut_lineage(found[n]) for n in ("log_rollup", "endpoint_rollup")}
 
 
 def _firing_sql() -> str:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-from tidelog.llm.common import one_thread
+from tidelog.llm.common import mix, one_thread
 
 _ODD_SPACE = re.compile(r" \s|[^\S ] |^ | $")
 _LATIN = 0x250  # code points below: composed already, lower case does not depend on neighbours
@@ -17,8 +16,11 @@ _MARKS = ".,;:!?%$#&*|"  # runs of these are one unit after a word
 _RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _LONE_SPACE = re.compile(r"\S(?= \S)")
 _CACHE_BYTES = 48 << 20  # what a worker remembers of pieces, about
-_ENTRY_BYTES = 130  # of a piece and its ids beyond their lengths: two objects and a place in a dict
-_PART = 1 << 18  # characters of text split into pieces together
+_PART = 1 << 18  # characters of a text that are worked on without a cut
+_GROUP = 1 << 20  # characters of texts whose pieces are looked up together
+_PLACES = 64  # places of a piece that have a weight of their own in its hash
+with np.errstate(over="ignore"):
+    _WEIGHTS = np.cumprod(np.full(_PLACES, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
 def _is_even(text: str) -> bool:
@@ -38,6 +40,81 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of `size`, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _offsets(ends: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """`ends` with more runs of `sizes` behind the last."""
+    return np.concatenate((ends, ends[-1] + np.cumsum(sizes, dtype=np.int64)))
+
+
+class Pieces:
+    """What is known of pieces, in flat arrays: bytes and ids of all of them, found by sorted hashes.
+
+    A hash only proposes an entry, whoever asks compares the bytes. `clock` tells when an entry
+    was asked for; `forget` keeps the half asked for last.
+    """
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.dtype = dtype
+        self.clock = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending
+        self.entries = np.zeros(0, dtype=np.int32)  # in the order of the hashes
+        self.asked = np.zeros(0, dtype=np.int32)
+        self.text_at = np.zeros(1, dtype=np.int64)
+        self.text = np.zeros(0, dtype=np.uint8)
+        self.ids_at = np.zeros(1, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=self.dtype)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.entries, self.asked, self.text_at, self.text, self.ids_at, self.ids))
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the ascending `hashes` have no entry."""
+        if not len(self.hashes):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[at] != hashes)
+
+    def add(self, hashes: np.ndarray, texts: list[bytes], ids: list[bytes]) -> None:
+        at = np.searchsorted(self.hashes, hashes)
+        known = len(self.asked)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.entries = np.insert(self.entries, at, np.arange(known, known + len(hashes), dtype=np.int32))
+        self.asked = np.concatenate((self.asked, np.full(len(hashes), self.clock, dtype=np.int32)))
+        self.text_at = _offsets(self.text_at, [len(x) for x in texts])
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(texts), dtype=np.uint8)))
+        self.ids_at = _offsets(self.ids_at, [len(x) // self.dtype.itemsize for x in ids])
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), dtype=self.dtype)))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        entries = self.entries[np.searchsorted(self.hashes, hashes)]
+        self.asked[entries] = self.clock
+        return entries
+
+    def forget(self, least: int) -> None:
+        """Drops what was not asked for lately, and all if the rest has more than `least` bytes."""
+        keep = self.asked > np.partition(self.asked, len(self.asked) // 2)[len(self.asked) // 2]
+        stays = keep[self.entries]
+        self.hashes = self.hashes[stays]
+        self.entries = (np.cumsum(keep, dtype=np.int32) - 1)[self.entries[stays]]
+        self.asked = self.asked[keep]
+        for at, flat in (("text_at", "text"), ("ids_at", "ids")):
+            ends = getattr(self, at)
+            size = np.diff(ends)[keep]
+            setattr(self, flat, getattr(self, flat)[_spans(ends[:-1][keep], size)])
+            setattr(self, at, np.concatenate(([0], np.cumsum(size))))
+        if self.nbytes > least:
+            self.clear()
+
+
 class Encoder:
     """Ids as little-endian bytes of fixed width, equal to encoding each text by itself.
 
@@ -49,9 +126,10 @@ class Encoder:
     character. Strings of special tokens in a text are ordinary text. Texts with other runs of
     white space are encoded by themselves where the byte-level rule could look across a space.
 
-    The cache has two halves, young and old, of `cache_bytes` together: a piece asked for moves
-    to the young half, and when that is full the old one is dropped. Texts are worked on in
-    parts and groups of a bounded length, so memory follows neither a text nor a batch.
+    The pieces of a group of texts are hashed and looked up together; every piece is then compared with
+    the bytes of the entry found, and a group where one differs is left to the library. What is
+    remembered has `cache_bytes`; when it is full the half asked for last stays. Texts are
+    worked on in parts and groups of a bounded length, so memory follows neither a text nor a batch.
     """
 
     def __init__(self, path: str, width: int = 4, cache_bytes: int = _CACHE_BYTES) -> None:
@@ -62,7 +140,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = self.tokenizer.normalizer is None
         self.dtype = np.dtype({2: "<u2", 4: "<u4"}[width])
-        if self.tokenizer.get_vocab_size() > 2 ** (8 * width):
+        size = self.tokenizer.get_vocab_size()
+        if size > 2 ** (8 * width):
             raise ValueError("ids do not fit into the width asked for")
         self.cache_bytes = cache_bytes
         self.model = self.tokenizer.model
@@ -70,56 +149,53 @@ class Encoder:
         latin = [chr(c) if self.keeps_space else chr(c).lower() for c in range(_LATIN)]
         self.letters = {c: "".join(letters[b] for b in s.encode()) for c, s in enumerate(latin)}
         self.lead = letters[0x20] if self.keeps_space else ""
-        size = self.tokenizer.get_vocab_size()
-        self.packed = [n.to_bytes(width, "little") for n in range(size)]
-        self.line_break = self._chain(["\n"])[0]
-        self.young: dict[str, bytes] = {}  # pieces after a space, or with the line break before them
-        self.old: dict[str, bytes] = {}
-        self.young_bytes = 0
+        self.pieces = Pieces(np.dtype("<u2" if size <= 1 << 16 else "<u4"))
+        self.packed = [n.to_bytes(self.pieces.dtype.itemsize, "little") for n in range(size)]
+        self.line_break = self._chain(["\n"], self.pieces.dtype)[0]
 
-    def _chain(self, texts: list[str]) -> list[bytes]:
+    @property
+    def young_bytes(self) -> int:
+        return self.pieces.nbytes
+
+    def _chain(self, texts: list[str], dtype: np.dtype) -> list[bytes]:
         if not texts:
             return []
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        return [np.array(e.ids, dtype=dtype).tobytes() for e in found]
 
     def _word(self, letters: str) -> bytes:
         packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(letters)])
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Gives every piece an entry in the young half: from the old half, or encoded anew."""
-        young, old, letters, lead, word = self.young, self.old, self.letters, self.lead, self._word
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of every piece after a space, or with the line break before it."""
+        letters, lead, word, dtype = self.letters, self.lead, self._word, self.pieces.dtype
         marks = {"": b""}
+        known: dict[str, bytes] = {}
+        out: list[bytes] = []
         others = []
-        for piece in pieces:
-            ids = old.get(piece)
+        for n, piece in enumerate(pieces):
+            bare = piece.rstrip(_MARKS)
+            body = bare.removeprefix("\n")
+            if not body.isalpha() or ord(max(body)) >= _LATIN or not _LONGER.isdisjoint(body):
+                others.append(n)
+                out.append(b"")
+                continue
+            ids = known.get(bare)
             if ids is None:
-                bare = piece.rstrip(_MARKS)
-                body = bare.removeprefix("\n")
-                if not body.isalpha() or ord(max(body)) >= _LATIN or not _LONGER.isdisjoint(body):
-                    others.append(piece)
-                    continue
-                mark = piece[len(bare) :]
-                if mark not in marks:
-                    marks[mark] = self._chain([mark])[0]
-                ids = young.get(bare) or old.get(bare)
-                if ids is None:
-                    begin = lead if body is bare else ""
-                    ids = word(begin + body.translate(letters))
-                    if body is not bare:
-                        ids = self.line_break + ids
-                ids += marks[mark]
-            young[piece] = ids
-            self.young_bytes += _ENTRY_BYTES + len(piece) + len(ids)
-        for piece, ids in zip(others, self._chain([p if p[:1] == "\n" else " " + p for p in others])):
-            young[piece] = ids
-            self.young_bytes += _ENTRY_BYTES + len(piece) + len(ids)
-
-    def _age(self) -> None:
-        """A full young half becomes the old one; what was not asked for since is forgotten."""
-        if self.young_bytes > self.cache_bytes // 2:
-            self.old, self.young, self.young_bytes = self.young, {}, 0
+                begin = lead if body is bare else ""
+                ids = word(begin + body.translate(letters))
+                if body is not bare:
+                    ids = self.line_break + ids
+                known[bare] = ids
+            mark = piece[len(bare) :]
+            if mark not in marks:
+                marks[mark] = self._chain([mark], dtype)[0]
+            out.append(ids + marks[mark])
+        left = [pieces[n] for n in others]
+        for n, ids in zip(others, self._chain([p if p[:1] == "\n" else " " + p for p in left], dtype)):
+            out[n] = ids
+        return out
 
     def _parts(self, text: str) -> list[str]:
         """A long text in parts that begin with a lone space, where no id crosses."""
@@ -139,43 +215,70 @@ class Encoder:
             for n, part in enumerate(self._parts(text)):
                 group.append((k, part, n == 0))
                 size += len(part)
-                if size > _PART:
+                if size > _GROUP:
                     self._encode_group(group, out)
                     group, size = [], 0
         self._encode_group(group, out)
         return [own[0] if len(own) == 1 else b"".join(own) for own in out]
 
     def _encode_group(self, group: list[tuple[int, str, bool]], out: list[list[bytes]]) -> None:
-        self._age()
-        odd = [False] * len(group)  # left to the library as it is
-        split = []
-        for n, (_, text, first) in enumerate(group):
+        if self.pieces.nbytes > self.cache_bytes:
+            self.pieces.forget(self.cache_bytes // 2)
+        heads, rests, plain = [], [], []  # plain: what has pieces; the library gets the others as they are
+        for _, text, first in group:
             if not self.keeps_space:  # white space only separates
-                split.append(text.replace("\n", " ").split(" "))
+                text = text.replace("\n", " ")
             elif _is_even(text if first else text[1:]):
-                split.append(text.replace("\n", " \n").split(" "))
-            elif not _ODD_SPACE.search(text, 0 if first else 1):
-                split.append(text.split(" "))
-            else:
-                odd[n] = True
-        whole = iter(self._chain([t for (_, t, _), o in zip(group, odd) if o]))
-        begins = iter(self._chain([own.pop(0) for own in split]))
-        found = [list(map(self.young.get, own)) for own in split]
-        gaps = []
-        for own, ids in zip(split, found):
-            at = -1
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    gaps.append((ids, at, own[at]))
-            except ValueError:
-                pass
-        self._learn({piece for *_, piece in gaps})
-        for ids, at, piece in gaps:
-            ids[at] = self.young[piece]
-        pieces = iter(found)
-        for (k, _, _), o in zip(group, odd):
-            out[k].append(next(whole) if o else b"".join([next(begins), *next(pieces)]))
+                text = text.replace("\n", " \n")
+            elif _ODD_SPACE.search(text, 0 if first else 1):
+                plain.append(False)
+                continue
+            head, gap, rest = text.partition(" ")
+            heads.append(head)
+            rests.append(gap + rest)
+            plain.append(True)
+        found = self._looked_up(rests)
+        if found is None:
+            plain = [False] * len(group)
+        whole = iter(self._chain([t for (_, t, _), p in zip(group, plain) if not p], self.dtype))
+        begins = iter(self._chain(heads, self.dtype) if found is not None else [])
+        ids = iter(found or [])
+        for (k, _, _), p in zip(group, plain):
+            out[k].append(next(begins) + next(ids) if p else next(whole))
+
+    def _looked_up(self, rests: list[str]) -> list[bytes] | None:
+        """The ids of texts that are empty or begin with a space, cut before every space; None where the
+        hashes of two pieces agree."""
+        data = "".join(rests).encode()
+        if not data:
+            return [b""] * len(rests)
+        known = self.pieces
+        known.clock += 1
+        raw = np.frombuffer(data, dtype=np.uint8)
+        begin = np.flatnonzero(raw == 0x20)
+        size = np.diff(begin, append=len(raw))
+        place = np.arange(len(raw)) - np.repeat(begin, size)
+        weighed = _WEIGHTS.take(place, mode="clip")
+        weighed *= raw
+        hashes, where, which = np.unique(mix(np.add.reduceat(weighed, begin)), return_index=True, return_inverse=True)
+        new = known.missing(hashes)
+        if len(new):
+            at = where[new]
+            texts = [data[b : b + n] for b, n in zip(begin[at].tolist(), size[at].tolist())]
+            known.add(hashes[new], texts, self._learn([t[1:].decode() for t in texts]))
+        entry = known.find(hashes)[which]
+        text_at = known.text_at[entry]
+        if not np.array_equal(known.text_at[entry + 1] - text_at, size):
+            return None
+        place += np.repeat(text_at, size)
+        if not np.array_equal(known.text[place], raw):
+            return None
+        ids_at = known.ids_at[entry]
+        counts = known.ids_at[entry + 1] - ids_at
+        ids = known.ids[_spans(ids_at, counts)].astype(self.dtype, copy=False).tobytes()
+        ends = np.concatenate(([0], np.cumsum(counts))) * self.dtype.itemsize
+        ends = ends[np.cumsum([0, *[rest.count(" ") for rest in rests]])].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)

@@ -100,3 +100,10 @@ def test_query(spark):
     prints = {r.doc_id: r.fingerprint for r in found}
     assert len({(text[i], p) for i, p in prints.items()}) == len({t for t in text.values()})
     assert sum(r.near_edited for r in found) > 20 * sum(r.near_next for r in found)
+
+
+def test_the_lexicon_is_not_written_into_plans(spark):
+    frame = I.edited_fingerprints(table(spark, ROWS))
+    plans = frame._jdf.queryExecution()
+    for text in (plans.analyzed().toString(), plans.optimizedPlan().toString(), plans.executedPlan().toString()):
+        assert len(text) < 200_000

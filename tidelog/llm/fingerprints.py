@@ -41,8 +41,8 @@ def _word(term: Column) -> Column:
     return F.shiftright(F.pmod(term, F.lit(1 << _TABLE_BITS)), 6).cast("int")
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
-    """The bit table, a constant array of longs, of the terms whose share of the documents lies in `band`.
+def bit_table(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+    """One row, `bits`: an array of longs, the bit table of the terms whose share of the documents lies in `band`.
 
     A term of few documents must be in two at least. There are at most (mean distinct terms of
     a document / lower share) such terms, however many documents there are, and the table has
@@ -56,20 +56,23 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
     kept = counts.where(F.col("term").isNotNull() & (F.col("n") >= F.lit(low) * total) & (F.col("n") <= F.greatest(F.lit(high) * total, F.lit(2))))
     bit = F.expr("shiftleft(1L, cast(pmod(term, 64) as int))")
     bits = kept.groupBy(_word(F.col("term")).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    # 2**15 numbers at most, whatever the corpus; the optimiser folds the text into one constant.
-    found = dict(bits.collect())
-    packed = ",".join(str(found.get(k, 0)) for k in range(1 << (_TABLE_BITS - 6)))
-    return F.split(F.lit(packed), ",").cast("array<long>")
+    # 2**15 numbers, whatever the corpus.
+    words = docs.sparkSession.range(1 << (_TABLE_BITS - 6)).select(F.col("id").cast("int").alias("word"))
+    every_word = F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    row = words.join(bits, "word", "left").agg(F.sort_array(F.collect_list(every_word)).getField("bits").alias("bits"))
+    return written(row, "lexicon")
 
 
-def _kept(found: Column, table: Column) -> Column:
-    """Terms of the lexicon; where a text has none, all its terms."""
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> Column:
+    """The bit table as a constant array. It stands in every text of every plan it is used in, which
+    fills the driver's memory; `bit_table(...).scalar()` does not, but has no place inside a lambda."""
+    packed = ",".join(map(str, bit_table(docs, band).first().bits))
+    return F.split(F.lit(packed), ",").cast("array<long>")
 
-    def known(term: Column) -> Column:
-        return F.getbit(F.get(table, _word(term)), F.pmod(term, F.lit(64)).cast("int")) == 1
 
-    kept = F.filter(found, known)
-    return F.when(F.size(kept) > 0, kept).otherwise(found)
+def _known(found: Column, table: Column) -> Column:
+    """Terms of the lexicon."""
+    return F.filter(found, lambda term: F.getbit(F.get(table, _word(term)), F.pmod(term, F.lit(64)).cast("int")) == 1)
 
 
 def _drawn(k: int, limit: int):
@@ -95,8 +98,10 @@ def with_hashes(rows: DataFrame, text: str, name: str, table: Column) -> DataFra
     """`rows` with the subset hashes of the column `text`. Each step is a column of its own, so that
     nothing is computed twice; thin subsets are drawn from lists that are thinner already, one list
     for each subset of a halving."""
-    rows = rows.withColumn("_terms", terms(F.col(text)))
-    rows = rows.withColumn("_kept", _kept(F.col("_terms"), table)).drop("_terms")
+    rows = rows.withColumn("_terms", terms(F.col(text))).withColumn("_table", table)
+    rows = rows.withColumn("_known", _known(F.col("_terms"), F.col("_table"))).drop("_table")
+    # Where a text has no term of the lexicon, all its terms are kept.
+    rows = rows.withColumn("_kept", F.when(F.size("_known") > 0, F.col("_known")).otherwise(F.col("_terms"))).drop("_terms", "_known")
     before = ["_kept"] * _PER_HALF
     thin = []
     for n in (1, 2):
@@ -134,7 +139,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     """doc_id, text and fingerprint of every document. A null text is empty; equal texts have equal
     fingerprints. Other columns are not read; an empty table gives no rows."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = with_hashes(given, "text", "hashes", lexicon(given, band))
+    found = with_hashes(given, "text", "hashes", bit_table(given, band).scalar())
     return found.select("doc_id", "text", written_out(F.col("hashes")).alias("fingerprint"))
 
 
@@ -188,7 +193,7 @@ def edited_fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> Da
     edited_fingerprint, near_edited and near_next. Nulls and ties as in `fingerprints`.
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    table = lexicon(given, band)
+    table = bit_table(given, band).scalar()
     rows = with_next(given, lambda rows: with_hashes(rows, "text", "hashes", table), "text", "hashes")
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")

@@ -32,6 +32,7 @@ _SCREEN = 16  # in the first step l is n // 16, and at least 1
 _LONGEST = 4  # largest l of the second step
 _PIVOTS = 4  # random pivots of a shingle in each turn
 _TURNS = 2  # turns of the second step, at most
+_ENTRIES = 1 << 17  # entries of prefixes that a task lists at once, and one prefix
 _VERIFY = 8.0  # cost of comparing two sets, in list entries read
 
 
@@ -130,6 +131,16 @@ def _tokens(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int64)
 
 
+def _listed(prefixes: list[tuple]) -> pd.DataFrame:
+    """token, node, n, place, want: a row for each token of each (tokens, node, n, first place, want)."""
+    size = [len(own) for own, *_ in prefixes]
+    found = {"token": np.concatenate([np.asarray(own, dtype=np.int64) for own, *_ in prefixes])}
+    for k, (name, kind) in enumerate((("node", np.int64), ("n", np.int32), ("place", np.int32), ("want", np.int32)), 1):
+        found[name] = np.repeat(np.array([p[k] for p in prefixes], dtype=kind), size)
+    found["place"] += np.concatenate([np.arange(n, dtype=np.int32) for n in size])
+    return pd.DataFrame(found)
+
+
 def prefix_entries(sets: DataFrame) -> DataFrame:
     """token, node, n, place, want: the frequent part of every prefix.
 
@@ -146,7 +157,8 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in blocks(batches):
-            out = []
+            out: list[tuple] = []
+            held = 0
             for node, n, single, counts, tokens in batch[["node", "n", "single", "counts", "tokens"]].itertuples(index=False):
                 lack, best = missing(n), None
                 for length in range(1, min(_LONGEST, n - lack) + 1):
@@ -155,10 +167,14 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
                     if best is None or cost < best[0]:
                         best = (cost, length)
                 length = best[1]
-                for k, token in enumerate(tokens[: max(0, lack + length - single)].tolist()):
-                    out.append((token, node, n, single + k, length))
-            if out:
-                yield pd.DataFrame(out, columns=["token", "node", "n", "place", "want"])
+                own = tokens[: max(0, lack + length - single)]
+                out.append((own, node, n, single, length))
+                held += len(own)
+                if held > _ENTRIES:
+                    yield _listed(out)
+                    out, held = [], 0
+            if held:
+                yield _listed(out)
 
     rows = sets.mapInPandas(explode, "token long, node long, n int")
     counts = rows.groupBy("token").count().where("count > 1")

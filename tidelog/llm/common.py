@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,16 +201,36 @@ def blocks(batches: Iterator, rows: int = 1000) -> Iterator:
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.iloc[at : at + rows]
+        give_back()
 
 
 def text_blocks(batches: Iterator, chars: int = 1 << 20) -> Iterator:
     """The batches of a task in blocks whose texts have about `chars` characters together."""
     for batch in batches:
-        sizes = batch["text"].str.len().fillna(0).to_numpy(dtype=np.int64, na_value=0) + 64
+        # Not by `.str`: its accessor and the column refer to each other, which keeps the batch's texts.
+        sizes = np.array([len(t) if isinstance(t, str) else 0 for t in batch["text"]], dtype=np.int64) + 64
         number = (np.cumsum(sizes) - sizes) // chars
         for rows in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(number)) + 1):
             if len(rows):
                 yield batch.iloc[rows[0] : rows[-1] + 1]
+        give_back()
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call for that; None where it has no such call."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory of this worker to the system.
+
+    Freed texts and arrays otherwise stay with the process, more with every batch, and a worker
+    outlives its task: an executor holds them beside what its next stage needs.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
 
 
 def one_thread() -> None:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks
+from tidelog.llm.common import blocks, give_back
 
 KINDS = ("assign", "access", "hex")
 _NULL_ID = -(2**63) + 1  # inside tasks, for rows without doc_id
@@ -413,7 +413,9 @@ def redacted_column(text: Column, mask: str = "***") -> Column:
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _without(t, scan_text(t)[1], mask) if isinstance(t, str) else None)
+        masked = texts.map(lambda t: _without(t, scan_text(t)[1], mask) if isinstance(t, str) else None)
+        give_back()
+        return masked
 
     return redact(text)
 

@@ -40,10 +40,19 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of runs of `size`, one run after the other."""
+def _narrow(largest: int) -> type:
+    """A kind of place for at most `largest`, of 4 bytes if they do."""
+    return np.int32 if largest < 1 << 31 else np.int64
+
+
+def _spans(start: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
+    """The places start, start + 1, ... (below `limit`) of runs of `size`, one run after the other."""
     ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = _narrow(max(limit, total))
+    places = np.arange(total, dtype=kind)
+    places += np.repeat((start - ends + size).astype(kind), size)
+    return places
 
 
 def _offsets(ends: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -107,10 +116,9 @@ class Pieces:
         self.entries = (np.cumsum(keep, dtype=np.int32) - 1)[self.entries[stays]]
         self.asked = self.asked[keep]
         for at, flat in (("text_at", "text"), ("ids_at", "ids")):
-            ends = getattr(self, at)
-            size = np.diff(ends)[keep]
-            setattr(self, flat, getattr(self, flat)[_spans(ends[:-1][keep], size)])
-            setattr(self, at, np.concatenate(([0], np.cumsum(size))))
+            size = np.diff(getattr(self, at))
+            setattr(self, flat, getattr(self, flat)[np.repeat(keep, size)])  # a byte a place, no list of places
+            setattr(self, at, np.concatenate(([0], np.cumsum(size[keep]))))
         if self.nbytes > least:
             self.clear()
 
@@ -257,10 +265,14 @@ class Encoder:
         raw = np.frombuffer(data, dtype=np.uint8)
         begin = np.flatnonzero(raw == 0x20)
         size = np.diff(begin, append=len(raw))
-        place = np.arange(len(raw)) - np.repeat(begin, size)
+        kind = _narrow(len(raw))
+        place = np.arange(len(raw), dtype=kind)
+        place -= np.repeat(begin.astype(kind), size)
         weighed = _WEIGHTS.take(place, mode="clip")
         weighed *= raw
-        hashes, where, which = np.unique(mix(np.add.reduceat(weighed, begin)), return_index=True, return_inverse=True)
+        hashes = mix(np.add.reduceat(weighed, begin))
+        del weighed
+        hashes, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         new = known.missing(hashes)
         if len(new):
             at = where[new]
@@ -270,12 +282,15 @@ class Encoder:
         text_at = known.text_at[entry]
         if not np.array_equal(known.text_at[entry + 1] - text_at, size):
             return None
-        place += np.repeat(text_at, size)
+        kind = _narrow(len(known.text))
+        place = place.astype(kind, copy=False)
+        place += np.repeat(text_at.astype(kind), size)
         if not np.array_equal(known.text[place], raw):
             return None
+        del place
         ids_at = known.ids_at[entry]
         counts = known.ids_at[entry + 1] - ids_at
-        ids = known.ids[_spans(ids_at, counts)].astype(self.dtype, copy=False).tobytes()
+        ids = known.ids[_spans(ids_at, counts, len(known.ids))].astype(self.dtype, copy=False).tobytes()
         ends = np.concatenate(([0], np.cumsum(counts))) * self.dtype.itemsize
         ends = ends[np.cumsum([0, *[rest.count(" ") for rest in rests]])].tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:])]

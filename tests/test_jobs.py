@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -330,3 +331,27 @@ def test_touched_buckets_are_distinct_before_their_gap_is_spread(spark):
     assert touched.count() == 13
     plan = touched._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Generate", 1)[1]  # the lower one is printed last
+
+
+def test_each_rollup_shuffles_its_rows_once(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    lines = [start(10), end(20), (30, "web", "ERROR", "boom 1", None), (400, "web", "ERROR", "boom 2", None)]
+    tables.ingest_rows(spark, rows_of(spark, *lines), store.path("log_entries"))
+    plans = []
+    replace = tables.replace_buckets
+
+    def seen(session, path, table, new, buckets):
+        if table in ("log_rollup", "endpoint_rollup"):
+            new.collect()
+            plans.append(new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        replace(session, path, table, new, buckets)
+
+    monkeypatch.setattr(tables, "replace_buckets", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jobs.run_rollup(store, T0 + timedelta(minutes=8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and all(re.search(r"ReusedExchange \[[^\]]*_bits", p) for p in plans), plans
+    assert [(r["total"], r["timed"]) for r in store.read("log_rollup").orderBy("bucket").collect()] == [(3, 1), (1, 0)]

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,19 +88,18 @@ def recompute(
     around = chosen.select(F.explode(_steps(F.col("bucket"), F.lit(-ahead), F.lit(0))).alias("bucket")).distinct()
     inside = _rows_of(logs, chosen)
     pairs = pairing.pair_requests(_rows_of(logs, around), max_gap_seconds)
-    resolved = pairing.resolve(inside, pairs).persist(StorageLevel.MEMORY_AND_DISK)
     # The error tables share no rows with the rollups, so their jobs fill what those leave idle.
     with ThreadPoolExecutor(1) as beside:
         counted = beside.submit(inheritable_thread_target(store.spark)(_recompute_errors), store, inside, chosen)
-        try:
-            for table, build in (
-                ("log_rollup", rollup.service_rollup),
-                ("endpoint_rollup", rollup.endpoint_rollup),
-                ("latency_sketch", rollup.latency_sketches),
-            ):
-                tables.replace_buckets(store.spark, store.path(table), table, build(resolved), chosen)
-        finally:
-            resolved.unpersist()
+        # Not persisted: Spark does not see that two scans of a cached frame are the same, and each
+        # rollup would group and shuffle its rows twice.
+        resolved = cut_lineage(pairing.resolve(inside, pairs))
+        for table, build in (
+            ("log_rollup", rollup.service_rollup),
+            ("endpoint_rollup", rollup.endpoint_rollup),
+            ("latency_sketch", rollup.latency_sketches),
+        ):
+            tables.replace_buckets(store.spark, store.path(table), table, build(resolved), chosen)
         counted.result()
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from frames import logs_frame
 from pyspark.sql import functions as F
 
@@ -132,6 +135,33 @@ def test_pairs_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     assert out.count() == len(ends)
 
 
+def test_state_partitions_follow_the_cores_not_the_batch_shuffles(spark):
+    from tidelog.plans import QUERIES
+    from tidelog.session import shared_dir
+
+    name, sf_dir = "spark.sql.shuffle.partitions", "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("benchmark tables not here")
+    pattern = f"{shared_dir(spark).removeprefix('file:')}/stores/*/progress/state/[0-3]/[0-9]*"
+    known, before = set(glob.glob(pattern)), spark.conf.get(name)
+    spark.conf.set(name, "24")
+    try:
+        pairs = QUERIES["streamed_pairs"](spark, sf_dir)
+        assert spark.conf.get(name) == "24"
+        want = QUERIES["request_pairs"](spark, sf_dir).select(*pairs.columns)
+        assert sorted(map(repr, pairs.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.conf.set(name, before)
+    state = set(glob.glob(pattern)) - known
+    assert len(state) == 4 * spark.sparkContext.defaultParallelism < 4 * 24
+
+    with pipeline.state_partitions(spark, 3):
+        assert spark.conf.get(name) == "3"
+    with pytest.raises(KeyError), pipeline.state_partitions(spark):
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
 def test_live_counts_and_tail(spark, tmp_path):
     folder = tmp_path / "in"
     write_file(folder, "web-out.log", [line(1, "ERROR a"), line(2, "b"), line(301, "WARN c")])

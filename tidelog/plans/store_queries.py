@@ -21,7 +21,7 @@ from tidelog.plans.standins import AS_OF, PAIR_GAP, VIEWS, base, ctes, logs, vie
 from tidelog.plans.store import Store
 from tidelog.session import shared_dir
 from tidelog.sources import growing, ingest, tables
-from tidelog.streaming.pipeline import append_stream, paired_stream
+from tidelog.streaming.pipeline import append_stream, paired_stream, state_partitions
 
 
 def _new_folder(spark: SparkSession) -> str:
@@ -202,7 +202,9 @@ def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         delivery.select(*columns).write.mode("append").parquet(f"{folder}/in")
         lines = spark.readStream.schema(rows.select(*columns).schema).parquet(f"{folder}/in")
         writer = paired_stream(lines, PAIR_GAP, "6 hours").writeStream.option("checkpointLocation", f"{folder}/progress")
-        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+        with state_partitions(spark):
+            found = writer.trigger(availableNow=True).start(f"{folder}/out")
+        found.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 

@@ -7,9 +7,10 @@ exact, and a stream gives the same tables as a batch over the same files.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -98,6 +99,24 @@ def append_stream(
     return _trigger(writer, every).start()
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None = None) -> Iterator[None]:
+    """Streams first started inside keep their state in `count` partitions, by default one a core.
+
+    Every batch commits every store of every partition, changed or not, each as a file in the shared
+    checkpoint: seven stores a partition in `paired_stream`. So their number follows the machines, not
+    the partitions that batch shuffles are cut into. It stays what it is for the life of a checkpoint;
+    name a `count` where a stream is to grow onto more cores later.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(count or min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def live_counts(rows: DataFrame, watermark: str = "15 minutes", width: str = "5 minutes") -> DataFrame:
     """Lines, errors and warnings per bucket, host and service as they arrive.
 
@@ -129,7 +148,8 @@ def paired_stream(
     delay, not the stream. `unpaired` also gives the ends without a start, `gap_ms` NULL. Lines
     later than the watermark are missing here, not in stored rollups; lines without a service or
     a request id take no part. A request id that is
-    on many lines meets all starts of one gap at each end: what the batch form avoids.
+    on many lines meets all starts of one gap at each end: what the batch form avoids. Start it
+    within `state_partitions`.
     """
     requests = logs.select(
         "service",
